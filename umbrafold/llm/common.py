@@ -47,18 +47,24 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """64-bit hash of each word, kept for words seen lately."""
+    """64-bit hash of each word as bytes, kept for words seen lately."""
 
     limit = 1 << 19
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = self[word] = xxhash.xxh64_digest(word)
         return h
 
     def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint64)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -83,7 +89,7 @@ def shingle_hashes(ids: np.ndarray, size: int = SHINGLE) -> np.ndarray:
 
 def shingle_set(text: bytes, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct shingle hashes of a whole text."""
-    return np.unique(shingle_hashes(hashes.array(words_of(text))))
+    return distinct(shingle_hashes(hashes.array(words_of(text))))
 
 
 def signed(x: np.ndarray) -> np.ndarray:
