@@ -1,22 +1,48 @@
-"""The registered queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
+"""The registered queries of this subpackage. None has DuckDB SQL: tests hold them against brute force."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from umbrafold.llm.common import table
+from umbrafold.llm.decontaminate import contained_items
+from umbrafold.llm.ordinal import graded_by_terms, score_severity, train_severity
+from umbrafold.llm.packing import pack_documents
+from umbrafold.llm.secrets import report, secret_spans
 from umbrafold.llm.sketch_join import jaccard_components
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(secret_spans(table(spark, sf_dir, "documents")))
+
 
 def op4_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op7_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return score_severity(docs, train_severity(docs, graded_by_terms(docs, labels)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_sketch_join": op4_sketch_join}
+    own = (op3_linked_secrets, op4_sketch_join, op6_best_fit, op7_contained_items, op9_severity)
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
