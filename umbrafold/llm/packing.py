@@ -8,7 +8,9 @@ its rank among the pieces of its length.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,25 +24,35 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAN = "length long, rank_from long, rank_to long, first long, per long, at long"
 
 
+#: A comma or full stop between a letter or digit and white space is a token piece of its own in any case.
+STOP = re.compile(rb"(?<=[a-z0-9])([,.])(?=[ \n]|\Z)")
+
+
 class WordIds(dict):
-    """Token ids of a word as little-endian bytes. Words end at a space or a line feed, which the tokenizer's own splitting never crosses."""
+    """Token ids of a word as little-endian bytes, for words used lately; those before move to `old` when the table is full.
+
+    Words end at a space or a line feed, which the tokenizer's own splitting never crosses; it lowers letters itself.
+    """
 
-    limit = 400_000
+    limit = 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self[b""] = b""
+        self.encode_word, self.old = Tokenizer.from_file(path).encode, {b"": b""}
 
     def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = array("I", self.encode_word(word.decode("utf-8", "replace"), None, False, False).ids).tobytes()
         if len(self) >= self.limit:
+            self.old = self.copy()
             self.clear()
-        ids = self[word] = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
         return ids
 
     def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace(b"\n", b" ").split(b" ")))
+        return b"".join(map(self.__getitem__, STOP.sub(rb" \1", text.lower().replace(b"\n", b" ")).split(b" ")))
 
 
 _TABLES: dict[str, WordIds] = {}
@@ -48,7 +60,9 @@ _TABLES: dict[str, WordIds] = {}
 
 def _cut(path: str, end_id: int, size: int):
     def run(batches):
-        words = _TABLES.get(path) or _TABLES.setdefault(path, WordIds(path))  # kept while the worker lives
+        words = _TABLES.get(path)
+        if words is None:
+            words = _TABLES[path] = WordIds(path)  # kept while the worker lives
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
