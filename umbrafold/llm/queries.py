@@ -8,16 +8,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from umbrafold.llm.chat import format_conversations, read_back
 from umbrafold.llm.common import table
 from umbrafold.llm.decontaminate import contained_items
+from umbrafold.llm.edit_embedding import fingerprints
+from umbrafold.llm.hmm import language_model_scores
 from umbrafold.llm.ordinal import graded_by_terms, score_severity, train_severity
 from umbrafold.llm.packing import pack_documents
+from umbrafold.llm.pii import digest, personal_spans
 from umbrafold.llm.secrets import report, secret_spans
+from umbrafold.llm.site_style_tree import main_texts
 from umbrafold.llm.sketch_join import jaccard_components
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(personal_spans(table(spark, sf_dir, "documents")))
+
+
+def op2_prefix_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
+    return read_back(format_conversations(rows))
+
+
 def op3_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(secret_spans(table(spark, sf_dir, "documents")))
 
@@ -26,6 +42,10 @@ def op4_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op5_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -34,13 +54,21 @@ def op7_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return score_severity(docs, train_severity(docs, graded_by_terms(docs, labels)))
 
 
+def op10_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op3_linked_secrets, op4_sketch_join, op6_best_fit, op7_contained_items, op9_severity)
+    own = (op1_weak_labels, op2_prefix_rendering, op3_linked_secrets, op4_sketch_join, op5_edit_embedding, op6_best_fit, op7_contained_items, op8_hidden_markov, op9_severity, op10_site_style_tree)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
