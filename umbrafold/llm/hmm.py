@@ -31,24 +31,26 @@ CHUNK_TOKENS = 600_000
 END = b"\n"
 CLASSES = OWN_CLASSES + ENDINGS
 TOKEN = np.dtype([("h", "<i8"), ("c", "<u2")])
+RESCALE = 8
 
 
 class Tokens(dict):
-    """Hash and class of a word as bytes, for words seen lately. own: class by hash of the words that are classes of their own."""
+    """Hash and class of a word as bytes, for words seen lately. The last bits of a hash are the class of the word's ending.
+
+    own: class by hash of the words that are classes of their own.
+    """
 
     limit = 1 << 19
 
     def __init__(self, own: dict[int, int]):
-        self.own = own
+        self.own = {h.to_bytes(8, "little", signed=True): k.to_bytes(2, "little") for h, k in own.items()}
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        h = int.from_bytes(xxhash.xxh64_digest(word), "little", signed=True)
-        c = self.own.get(h)
-        if c is None:
-            c = OWN_CLASSES + xxhash.xxh32_intdigest(word.rstrip(b".,;:!?")[-3:]) % ENDINGS
-        value = self[word] = np.array([(h, c)], TOKEN).tobytes()
+        ending = xxhash.xxh32_intdigest(word.rstrip(b".,;:!?")[-3:]) % ENDINGS
+        h = (xxhash.xxh64_intdigest(word) & -ENDINGS | ending).to_bytes(8, "little")
+        value = self[word] = h + (self.own.get(h) or (OWN_CLASSES + ending).to_bytes(2, "little"))
         return value
 
     def array(self, text: bytes) -> np.ndarray:
@@ -95,16 +97,23 @@ class Lanes:
             self.flat[self.at[: sizes[lane]] + lane] = sequences[k]
         self.sizes = sizes
 
+        self.scaled = np.zeros(len(self.live), bool)  # every few steps, and where a sequence ends
+        self.scaled[RESCALE - 1 :: RESCALE] = True
+        self.scaled[np.append(self.live[1:] < self.live[:-1], True)] = True
+
     def forward(self, model: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Emission chances, scaled forward chances and scales, by step and lane."""
         emit = model.emit[self.flat]
         ahead = np.empty_like(emit)
-        scale = np.empty(len(self.flat))
-        for t, n in enumerate(self.live.tolist()):
-            a = self.at[t]
-            now = emit[a : a + n] * (model.start if not t else ahead[self.at[t - 1] : self.at[t - 1] + n] @ model.move)
-            scale[a : a + n] = s = now.sum(1)
-            ahead[a : a + n] = now / s[:, None]
+        scale = np.ones(len(self.flat))
+        a = 0
+        for t, (n, scaled) in enumerate(zip(self.live.tolist(), self.scaled.tolist(), strict=True)):
+            now = ahead[a : a + n]
+            np.multiply(emit[a : a + n], ahead[before : before + n] @ model.move if t else model.start, out=now)
+            if scaled:
+                scale[a : a + n] = s = now.sum(1)
+                now /= s[:, None]
+            before, a = a, a + n
         return emit, ahead, scale
 
     def likelihoods(self, model: Hmm) -> np.ndarray:
@@ -120,14 +129,20 @@ class Lanes:
     def expected(self, model: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected counts of first states, moves and emissions, and the log10 likelihood."""
         emit, ahead, scale = self.forward(model)
-        moves = np.zeros_like(model.move)
-        behind = np.ones_like(ahead)
-        for t in range(len(self.live) - 2, -1, -1):
-            n, a, b = int(self.live[t + 1]), self.at[t], self.at[t + 1]
-            onward = emit[b : b + n] * behind[b : b + n] / scale[b : b + n, None]
-            moves += ahead[a : a + n].T @ onward
-            behind[a : a + n] = onward @ model.move.T
+        behind, onward, back = np.ones_like(ahead), np.empty_like(ahead), np.ascontiguousarray(model.move.T)
+        for t in range(len(self.live) - 1, 0, -1):
+            a, b, n = int(self.at[t - 1]), int(self.at[t]), int(self.live[t])
+            now = onward[b : b + n]
+            np.multiply(emit[b : b + n], behind[b : b + n], out=now)
+            if self.scaled[t]:
+                now /= scale[b : b + n, None]
+            np.matmul(now, back, out=behind[a : a + n])
+        first = int(self.live[0])
+        step = np.repeat(np.arange(1, len(self.live)), self.live[1:])
+        previous = np.arange(first, len(self.flat)) - self.at[step] + self.at[step - 1]
+        moves = ahead[previous].T @ onward[first:]
         state = ahead * behind
+        state /= state.sum(1, keepdims=True)
         emissions = np.stack([np.bincount(self.flat, state[:, k], len(model.emit)) for k in range(len(model.start))], 1)
         return state[: self.live[0]].sum(0), moves * model.move, emissions, float(np.log10(scale).sum())
 
@@ -156,13 +171,13 @@ def count_words(training: DataFrame) -> tuple[Counts, DataFrame]:
     def run(batches):
         tokens = Tokens({})
         for batch in batches:
-            texts = [tokens.array(t) for t in column_bytes(batch, "text")]
+            texts = [tokens.array(t)["h"] for t in column_bytes(batch, "text")]
             if texts:
-                every = np.concatenate(texts)
-                h, first, n = np.unique(every["h"], return_index=True, return_counts=True)
-                yield pa.record_batch([pa.array(h), pa.array(every["c"][first].astype(np.int32)), pa.array(n.astype(np.int64))], ["h", "c", "n"])
+                every = np.sort(np.concatenate(texts))
+                first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+                yield pa.record_batch([pa.array(every[first]), pa.array(np.diff(np.append(first, len(every))))], ["h", "n"])
 
-    counted = training.select("text").mapInArrow(run, "h long, c int, n long").groupBy("h").agg(F.sum("n").alias("n"), F.min("c").alias("c"))
+    counted = training.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     counted = staged(counted, "words")
     total, words = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = counted.orderBy(F.desc("n"), "h").limit(RESOLVED).toArrow()  # RESOLVED rows
@@ -170,11 +185,11 @@ def count_words(training: DataFrame) -> tuple[Counts, DataFrame]:
     order = np.argsort(hashes)
     own = {h: k for k, h in enumerate(hashes[:OWN_CLASSES].tolist())}
     size, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in counted.groupBy("c").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # ENDINGS rows
+    for r in counted.groupBy((OWN_CLASSES + F.col("h").bitwiseAND(F.lit(ENDINGS - 1))).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # ENDINGS rows
         size[r["c"]], kinds[r["c"]] = r["n"], r["v"]
-    for k, (c, m) in enumerate(zip(top["c"].to_pylist()[:OWN_CLASSES], n[:OWN_CLASSES].tolist(), strict=True)):
-        size[c] -= m
-        kinds[c] -= 1
+    for k, (h, m) in enumerate(zip(hashes[:OWN_CLASSES].tolist(), n[:OWN_CLASSES].tolist(), strict=True)):
+        size[OWN_CLASSES + h % ENDINGS] -= m
+        kinds[OWN_CLASSES + h % ENDINGS] -= 1
         size[k] = m
     room = np.log10(size + kinds + 1)
     room[: len(own)] = np.log10(n[:OWN_CLASSES] + 1)  # a class of one word: its chance there is 1
@@ -240,13 +255,15 @@ def score_documents(documents: DataFrame, counts: Counts, words: DataFrame, mode
                 paths[part] = Lanes([texts[k]["c"] for k in part]).likelihoods(model)
             n, known, base, score, hs, times = [], [], [], [], [], []
             for path, t in zip(paths.tolist(), texts, strict=True):
-                h, c = t["h"], t["c"]
+                c = t["c"]
+                own = c < OWN_CLASSES  # these words' logs are their classes'
+                h = t["h"][~own]
                 at = np.minimum(np.searchsorted(counts.hashes, h), max(0, len(counts.hashes) - 1))
                 here = counts.hashes[at] == h if len(counts.hashes) else np.zeros(len(h), bool)
-                logs = counts.logs[at[here]].sum()
+                logs = counts.room[c[own]].sum() + counts.logs[at[here]].sum()
                 rest, m = np.unique(h[~here], return_counts=True)
                 n.append(len(t))
-                known.append(int(here.sum()))
+                known.append(int(own.sum() + here.sum()))
                 base.append(logs - len(t) * floor)
                 score.append(path + logs - counts.room[c].sum())
                 hs.append(rest)
