@@ -49,7 +49,7 @@ def words_of(text: bytes) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hash of each word as bytes, kept for words seen lately."""
 
-    limit = 1 << 19
+    limit = 1 << 18
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.limit:

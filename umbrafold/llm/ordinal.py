@@ -57,7 +57,7 @@ class Known(dict):
     def get(self, word: str):
         found = super().get(word)
         if found is None:
-            if len(self) > 1 << 19:
+            if len(self) > 1 << 18:
                 self.clear()
             found = self[word] = tuple(self.features[f] for f in word_features(word) if f in self.features)
         return found

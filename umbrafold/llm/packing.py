@@ -34,7 +34,7 @@ class WordIds(dict):
     Words end at a space or a line feed, which the tokenizer's own splitting never crosses; it lowers letters itself.
     """
 
-    limit = 500_000
+    limit = 300_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
