@@ -11,12 +11,12 @@ from umbrafold.sources.rasters import PX_SQL, RGB_SQL, pixels, rgb_pixels
 QUERIES: dict = {}
 
 
-def rounded(x: Column) -> Column:
-    return F.round(x, 9) + 0.0
+def rounded(x: Column, digits: int = 9) -> Column:
+    return F.round(x, digits) + 0.0
 
 
-def _sql_rounded(x: str) -> str:
-    return f"round(CAST({x} AS DOUBLE), 9) + 0.0"
+def _sql_rounded(x: str, digits: int = 9) -> str:
+    return f"round(CAST({x} AS DOUBLE), {digits}) + 0.0"
 
 
 def grey(name: str, body, sql: str) -> None:
@@ -29,15 +29,15 @@ def grey(name: str, body, sql: str) -> None:
     QUERIES[name] = (run, f"WITH {PX_SQL}, q AS (SELECT vec_id, pos, code, code / 255.0::DOUBLE AS v FROM px) SELECT vec_id, pos, {_sql_rounded(sql)} AS out FROM q")
 
 
-def coloured(name: str, body, sqls: dict[str, str], before: str = "") -> None:
+def coloured(name: str, body, sqls: dict[str, str], before: str = "", digits: int = 9) -> None:
     """A query on r, g, b. before: further steps of the SQL, from rgb to a table t."""
 
     def run(spark, sf_dir: str) -> DataFrame:
         px = rgb_pixels(spark, sf_dir)
         out = body((F.col("r"), F.col("g"), F.col("b")))
-        return px.select("vec_id", "pos", *[rounded(c).alias(k) for k, c in zip(sqls, out, strict=True)])
+        return px.select("vec_id", "pos", *[rounded(c, digits).alias(k) for k, c in zip(sqls, out, strict=True)])
 
-    columns = ", ".join(f"{_sql_rounded(x)} AS {k}" for k, x in sqls.items())
+    columns = ", ".join(f"{_sql_rounded(x, digits)} AS {k}" for k, x in sqls.items())
     QUERIES[name] = (run, f"WITH {RGB_SQL}{before or ', t AS (SELECT * FROM rgb)'} SELECT vec_id, pos, {columns} FROM t")
 
 
@@ -100,7 +100,7 @@ _F = "CASE WHEN {0} > 216.0 / 24389 THEN pow({0}, 1.0 / 3) ELSE (24389.0 / 27 *
 _LAB = f""", lin AS (SELECT *, {_LIN} FROM rgb),
  xyz AS (SELECT *, (0.4124564 * lr + 0.3575761 * lg + 0.1804375 * lb) / 0.95047 AS xx, 0.2126729 * lr + 0.7151522 * lg + 0.0721750 * lb AS yy, (0.0193339 * lr + 0.1191920 * lg + 0.9503041 * lb) / 1.08883 AS zz FROM lin),
  t AS (SELECT *, {_F.format("xx")} AS fx, {_F.format("yy")} AS fy, {_F.format("zz")} AS fz FROM xyz)"""
-coloured("rgb_to_lab", color.rgb_to_lab, {"l": "116 * fy - 16", "a": "500 * (fx - fy)", "b": "200 * (fy - fz)"}, _LAB)
+coloured("rgb_to_lab", color.rgb_to_lab, {"l": "116 * fy - 16", "a": "500 * (fx - fy)", "b": "200 * (fy - fz)"}, _LAB, 6)
 coloured("color_to_alpha", lambda c: (color.color_to_alpha(c, (1.0, 1.0, 1.0)),), {"a": "greatest(1 - r, 1 - g, 1 - b)"})
 
 # blend modes: the image as backdrop, the same image turned by half as source

@@ -5,18 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from umbrafold.plans import aggregates, neighbors, pointwise, relational
+from umbrafold.streaming import queries as streaming
 
-def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.explode("embedding").alias("v"))
-    code = F.least(F.greatest(F.floor((F.col("v").cast("double") + 0.6) / 1.2 * 256).cast("int"), F.lit(0)), F.lit(255))
-    return px.select(code.alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+_ALL = aggregates.QUERIES | pointwise.QUERIES | neighbors.QUERIES | relational.QUERIES | streaming.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"histogram": histogram}
+    return {name: fn for name, (fn, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql is not None}

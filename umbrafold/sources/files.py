@@ -109,7 +109,7 @@ def encoded_pnm(images: DataFrame) -> DataFrame:
 
 def cube_table(spark: SparkSession, path: str) -> DataFrame:
     """A .cube file's rows as (i, j, k, r, g, b), red fastest. One file holds one table; its size bounds the rows."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
     lines = lines.select("n", F.trim("line").alias("line"))
     size = lines.where(F.col("line").startswith("LUT_3D_SIZE")).select(F.regexp_extract("line", r"(\d+)\s*$", 1).cast("int").alias("size"))
     values = lines.where(F.col("line").rlike(r"^[-+.0-9]")).select("n", F.split("line", r"\s+").cast("array<double>").alias("v"))
@@ -133,5 +133,6 @@ JOURNAL = "seq long, kind string, payload string, document_hash string"
 
 
 def journal(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON-lines journal; lines that are no record have a null seq and their text in `torn`."""
-    return spark.read.schema(JOURNAL + ", torn string").option("columnNameOfCorruptRecord", "torn").json(path)
+    """A JSON-lines journal; lines that are no record have a null seq and their text in `torn`. Blank lines are skipped."""
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0).select("value", F.from_json("value", JOURNAL).alias("r"))
+    return lines.select("r.*", F.when(F.col("r.seq").isNull(), F.col("value")).alias("torn"))
