@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbrafold.llm.common import staged, table
+from umbrafold.llm.common import fresh, staged, table
 from umbrafold.llm.decontaminate import clean_documents
 from umbrafold.llm.ordinal import graded_by_terms, keep_harmless, train_severity
 from umbrafold.llm.packing import pack_documents
@@ -21,10 +21,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked or equal sets the document of the smallest doc_id stays, one row of it; documents without words and rows with a null doc_id stay."""
-    groups = jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("other_id")).distinct()
-    kept = docs.join(groups, F.col("doc_id") == F.col("other_id"), "left_anti")
-    return kept
+    """Of each group of linked or equal sets the document of the smallest doc_id stays; documents without words and rows with a null doc_id stay."""
+    name = fresh(docs, "other_id")
+    others = jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(others, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbrafold.llm.common import WordHashes, column_bytes, distinct, shingle_hashes, words_of
+from umbrafold.llm.common import WordHashes, column_bytes, distinct, fresh, shingle_hashes, words_of
 
 THRESHOLD = 0.75
 BLOCK_CHARS = 16_000_000
@@ -108,5 +108,6 @@ def contained_items(documents: DataFrame, items: DataFrame, threshold: float = T
 
 def clean_documents(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that contain no item. Rows with a null doc_id can't be named in a hit and stay."""
-    hit = contained_items(documents, items, threshold).select(F.col("doc_id").alias("hit_id")).distinct()
-    return documents.join(hit, F.col("doc_id") == F.col("hit_id"), "left_anti")
+    name = fresh(documents, "hit_id")
+    hit = contained_items(documents, items, threshold).select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(hit, F.col("doc_id") == F.col(name), "left_anti")

@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from umbrafold.llm.common import fresh
+
 # The base forms as the contract gives them, in Java's notation. The second entry is the group to measure and its least length.
 BASE = {
     "assign": (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12),
@@ -132,10 +134,12 @@ def redacted(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     candidates by their text, wherever it occurs in the document. Null texts stay null.
     """
     spans = secret_spans(documents).where(F.size("linked") > 0)
-    values = F.transform("linked", lambda s: F.concat(F.lit(r"\Q"), F.replace(F.substring(F.col("text"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
-    hidden = spans.select(F.xxhash64("doc_id", "text").alias("hidden_h"), F.concat_ws("|", F.array_distinct(values)).alias("hidden")).groupBy("hidden_h").agg(F.max("hidden").alias("hidden"))
-    joined = documents.withColumn("own_h", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).join(hidden, F.col("own_h") == F.col("hidden_h"), "left")
-    text = F.when(F.col("hidden").isNotNull(), F.regexp_replace("text", F.col("hidden"), F.lit(mark))).otherwise(F.col("text"))
+    own, other, hidden = (fresh(documents, n) for n in ("own_hash", "other_hash", "hidden"))
+    quoted = lambda s: F.replace(F.substring(F.col("text"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), F.lit(r"\E"), F.lit(r"\E\\E\Q"))
+    values = F.transform("linked", lambda s: F.concat(F.lit(r"\Q"), quoted(s), F.lit(r"\E")))
+    found = spans.select(F.xxhash64("doc_id", "text").alias(other), F.concat_ws("|", F.array_distinct(values)).alias(hidden)).groupBy(other).agg(F.max(hidden).alias(hidden))
+    joined = documents.withColumn(own, F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).join(found, F.col(own) == F.col(other), "left")
+    text = F.when(F.col(hidden).isNotNull(), F.regexp_replace("text", F.col(hidden), F.lit(mark))).otherwise(F.col("text"))
     for pattern, least in BASE.values():
         text = F.regexp_replace(text, pattern.replace("]+)", f"]{{{least},}}+)") if least else pattern, mark)
     out = joined.withColumn("text", text)
