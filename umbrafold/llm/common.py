@@ -44,6 +44,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def slices(batches, rows: int):
+    """The batches in parts of `rows` at most, where what a part gives rise to is much larger than itself."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A text column as UTF-8 bytes; null counts as empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbrafold.llm.common import staged
+from umbrafold.llm.common import slices, staged
 
 SAMPLE_ROWS = 20_000
 FEATURES = 512
@@ -89,7 +89,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, times: np.ndarray, grades: int
 
 
 def _document_features(batches):
-    for batch in batches:
+    for batch in slices(batches, 200):
         grade, rows = batch.column("grade").to_pylist(), []
         for g, text in zip(grade, batch.column("text").to_pylist(), strict=True):
             words = set(LETTERS.findall((text or "").lower()))

@@ -8,6 +8,7 @@ its rank among the pieces of its length.
 from __future__ import annotations
 
 import bisect
+import functools
 import re
 import zlib
 from array import array
@@ -28,6 +29,13 @@ PLAN = "length long, rank_from long, rank_to long, first long, per long, at long
 STOP = re.compile(rb"(?<=[a-z0-9])([,.])(?=[ \n]|\Z)")
 
 
+@functools.cache
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class WordIds(dict):
     """Token ids of a word as little-endian bytes, for words used lately; those before move to `old` when the table is full.
 
@@ -37,9 +45,7 @@ class WordIds(dict):
     limit = 300_000
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.encode_word, self.old = Tokenizer.from_file(path).encode, {b"": b""}
+        self.encode_word, self.old = _tokenizer(path).encode, {b"": b""}
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.old.get(word)
@@ -55,14 +61,9 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, STOP.sub(rb" \1", text.lower().replace(b"\n", b" ")).split(b" ")))
 
 
-_TABLES: dict[str, WordIds] = {}
-
-
 def _cut(path: str, end_id: int, size: int):
     def run(batches):
-        words = _TABLES.get(path)
-        if words is None:
-            words = _TABLES[path] = WordIds(path)  # kept while the worker lives
+        words = WordIds(path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
