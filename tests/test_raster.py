@@ -121,3 +121,15 @@ def test_frames_as_stream(spark, tmp_path, sf):
     q.stop()
     got = spark.sql("SELECT sum(n) AS n FROM frames").first()["n"]
     assert got == e.count()
+
+
+def test_palettes(spark):
+    from umbrafold.operators import palettes
+
+    rows = [(250, 0, 0)] * 30 + [(252, 2, 1)] * 10 + [(0, 0, 200)] * 20 + [(0, 220, 0)] * 5
+    px = spark.createDataFrame(rows, "r int, g int, b int")
+    found = palettes.median_cut(palettes.color_histogram(px), 3)
+    assert len(found) == 3
+    entry = px.select("r", palettes.nearest_entry((F.col("r"), F.col("g"), F.col("b")), found).alias("e"))
+    assert all(abs(found[r["e"]][0] - r["r"]) <= 2 for r in entry.collect())
+    assert palettes.median_cut(palettes.color_histogram(px.limit(0)), 4) == [] and len(palettes.web_palette()) == 216

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from umbrafold.functions.color import hsl_to_rgb, luminance, rgb_to_hsl, unit
 from umbrafold.operators import neighborhood as nb
+from umbrafold.operators import palettes
 from umbrafold.plans.pointwise import RGB_SQL, rounded
 from umbrafold.sources.rasters import PX_SQL, images, pixels, rgb_pixels
 
@@ -222,3 +223,25 @@ def shown_at(spark, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_orderkey") % 60).alias("t"))
     hit = (F.col("o_orderkey") == F.col("l_orderkey")) & (F.col("t") >= F.col("ends") - F.col("l_quantity")) & (F.col("t") < F.col("ends"))
     return o.join(c, hit).select("o_orderkey", "l_linenumber")
+
+
+def _rgb_codes(spark, sf_dir: str) -> DataFrame:
+    return rgb_pixels(spark, sf_dir).select("vec_id", "pos", *[F.round(F.col(k) * 255).cast("int").alias(k) for k in ("r", "g", "b")])
+
+
+@query(None)
+def median_cut_palette(spark, sf_dir: str) -> DataFrame:
+    """Each pixel's entry in a palette of 16 colours cut from all pixels."""
+    px = _rgb_codes(spark, sf_dir)
+    palette = palettes.median_cut(palettes.color_histogram(px), 16)
+    return px.select("vec_id", "pos", palettes.nearest_entry((F.col("r"), F.col("g"), F.col("b")), palette).alias("entry"))
+
+
+_WEB = "SELECT vec_id, pos, CAST((r + 25) // 51 * 36 + (g + 25) // 51 * 6 + (b + 25) // 51 AS INT) AS entry FROM c"
+
+
+@query(f"WITH {RGB_SQL}, c AS (SELECT vec_id, pos, CAST(round(r * 255) AS INT) AS r, CAST(round(g * 255) AS INT) AS g, CAST(round(b * 255) AS INT) AS b FROM rgb) {_WEB}")
+def web_palette_index(spark, sf_dir: str) -> DataFrame:
+    """The nearest of the 216 web colours, whose grid makes it a rounding."""
+    step = lambda k: F.floor((F.col(k) + 25) / 51).cast("int")
+    return _rgb_codes(spark, sf_dir).select("vec_id", "pos", (step("r") * 36 + step("g") * 6 + step("b")).alias("entry"))
