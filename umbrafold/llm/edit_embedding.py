@@ -128,6 +128,7 @@ def edited(text: str, following: str) -> str:
 
 
 GROUP_CHARS = 12_000_000
+PER_RANGE = 50
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -172,8 +173,11 @@ def fingerprints(documents: DataFrame, buckets: int = 0) -> DataFrame:
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long"))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", key)
     n = docs.count()
-    buckets = buckets or min(100_000, max(1, n // 2000))
-    cuts = np.array(sorted(set(docs.approxQuantile("key", [k / buckets for k in range(1, buckets)], 0.2 / buckets))) if buckets > 1 else [], np.int64)
+    buckets = buckets or min(50_000, max(1, n // 2000))
+    # the ranges' ends come from a share of the ids, about PER_RANGE a range; they decide on balance alone
+    share = F.pmod(F.xxhash64("key"), F.lit(max(1, n // (PER_RANGE * buckets)))) == 0
+    ids = np.sort(docs.where(share).select("key").distinct().toArrow()["key"].to_numpy()) if buckets > 1 else np.zeros(0, np.int64)
+    cuts = np.unique(ids[np.arange(1, buckets) * len(ids) // buckets]) if len(ids) else ids
     in_range = _looked_up(lambda keys: np.searchsorted(cuts, keys, "right"))
     placed = docs.withColumn("bucket", in_range("key"))
     # the first row of each bucket also goes behind the end of the one before; the very first behind the last
