@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +37,11 @@ class OrdinalModel:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def at_most(self, x: np.ndarray) -> np.ndarray:
-        """P(grade <= k) for each row and each grade but the last."""
-        return 1 / (1 + np.exp(-np.clip(self.thresholds[None, :] - (x @ self.weights)[:, None], -500, 500)))
+    def at_most(self, texts) -> np.ndarray:
+        """P(grade <= k) for each text and each grade but the last; only the features that a text has enter."""
+        known = Known(self.features)
+        score = np.array([sum(self.weights[f] * np.log1p(n) for f, n in sorted(counted(t, known).items())) for t in texts], float)
+        return 1 / (1 + np.exp(-np.clip(self.thresholds[None, :] - score[:, None], -500, 500)))
 
 
 def counted(text: str | None, known: dict[str, tuple[int, ...]]) -> dict[int, int]:
@@ -161,14 +165,9 @@ def score_severity(documents: DataFrame, model: OrdinalModel) -> DataFrame:
     """
 
     def run(batches):
-        table = Known(model.features)
         for batch in batches:
-            x = np.zeros((batch.num_rows, len(model.weights)))
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                for f, n in counted(text, table).items():
-                    x[k, f] = np.log1p(n)
-            below = model.at_most(x)
-            each = np.diff(np.column_stack((np.zeros(len(x)), below, np.ones(len(x)))), axis=1)
+            below = model.at_most(batch.column("text").to_pylist())
+            each = np.diff(np.column_stack((np.zeros(len(below)), below, np.ones(len(below)))), axis=1)
             p = 1 - below[:, 0]
             columns = [batch.column("doc_id"), pa.array(each.argmax(1).astype(np.int32)), pa.array((1 - below).sum(1)), pa.array(p), pa.array(p >= 0.5)]
             yield pa.record_batch(columns, ["doc_id", "severity", "expected_severity", "p_toxic", "toxic"])
@@ -180,20 +179,8 @@ def score_severity(documents: DataFrame, model: OrdinalModel) -> DataFrame:
 def keep_harmless(documents: DataFrame, model: OrdinalModel) -> DataFrame:
     """The rows of documents, all columns, whose p_toxic is below one half."""
 
-    def run(texts):
-        table = Known(model.features)
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in texts:
-            x = np.zeros((len(series), len(model.weights)))
-            for k, text in enumerate(series):
-                for f, n in counted(text, table).items():
-                    x[k, f] = np.log1p(n)
-            import pandas as pd
+            yield pd.Series(1 - model.at_most(series)[:, 0] < 0.5)
 
-            yield pd.Series(1 - model.at_most(x)[:, 0] < 0.5)
-
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return documents.where(F.pandas_udf(run, "boolean")("text"))
