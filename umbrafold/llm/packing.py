@@ -29,23 +29,18 @@ PLAN = "length long, rank_from long, rank_to long, first long, per long, at long
 STOP = re.compile(rb"(?<=[a-z0-9])([,.])(?=[ \n]|\Z)")
 
 
-@functools.cache
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 class WordIds(dict):
     """Token ids of a word as little-endian bytes, for words used lately; those before move to `old` when the table is full.
 
     Words end at a space or a line feed, which the tokenizer's own splitting never crosses; it lowers letters itself.
     """
 
-    limit = 300_000
+    limit = 250_000
 
     def __init__(self, path: str):
-        self.encode_word, self.old = _tokenizer(path).encode, {b"": b""}
+        from tokenizers import Tokenizer
+
+        self.encode_word, self.old = Tokenizer.from_file(path).encode, {b"": b""}
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.old.get(word)
@@ -61,9 +56,15 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, STOP.sub(rb" \1", text.lower().replace(b"\n", b" ")).split(b" ")))
 
 
+@functools.cache
+def _table(path: str) -> WordIds:
+    """One table for all tasks of a worker; it holds twice the limit at most."""
+    return WordIds(path)
+
+
 def _cut(path: str, end_id: int, size: int):
     def run(batches):
-        words = WordIds(path)
+        words = _table(path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
