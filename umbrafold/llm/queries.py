@@ -47,7 +47,7 @@ def op5_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
+    return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, lasting=True)
 
 
 def op7_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
