@@ -261,6 +261,16 @@ def test_site_style_tree(spark):
     assert site_style_tree.main_texts(df.limit(0)).count() == 0
 
 
+def test_importance_decides_inside_and_outside_an_article(spark):
+    page = lambda k: f"<body><div class='intro'>Opening {k} of its own</div><div class='top'>Same top</div><article><h1>Title {k}</h1><p>Words of page {k}</p><div class='about'>We sell shoes since 1999</div></article></body>"
+    rows = [(k, f"https://c.example/{k}", page(k)) for k in range(12)] + [(90, "https://d.example/", page(90))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for at_once in (4_000_000, -1):
+        text = {r["page_id"]: r["text"] for r in site_style_tree.main_texts(df, at_once=at_once).collect()}
+        assert all(text[k] == f"Opening {k} of its own\nTitle {k}\nWords of page {k}" for k in range(12))
+        assert text[90] == "Title 90\nWords of page 90\nWe sell shoes since 1999"
+
+
 @pytest.mark.parametrize("source", ["<p", "<a <b>", "&#xZZ; &amp", "<script>never closed", "<!-- open", "</div></p>x", "<table><tr><td>a<td>b<tr><td>c</table>d", "<![CDATA[x]]>"])
 def test_broken_pages_do_not_crash(source):
     site_style_tree.kept_text(source, 0, np.zeros(0, np.int64))

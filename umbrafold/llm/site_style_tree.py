@@ -4,8 +4,9 @@ The pages of a host are merged by the paths of their elements (names with class,
 its presentations are the sequences of its children; for a block of text, its contents. Over a host of m pages
 a node's presentation importance is the entropy of its presentations to the base m, and a text node's content importance is 1 less the
 mean of log n / log m, n being the number of pages that have a content: what all pages share says little. A
-branch's importance is the mix of both; names that say what it is (an article, a menu) move it above or below any threshold, and a page's article moves what is outside it below. Each page then
-loses the branches of low importance. Equal pages of a host count once; on a host of one page only the names tell.
+branch's importance is the mix of both. On a page with an article a weight is added inside it and taken off outside it. Each page then
+loses the branches that stay below the threshold. Names of menus, comments and the like go whatever their importance, since comments differ from
+page to page as articles do. Equal pages of a host count once; a host of one page tells nothing, so each branch's importance is the threshold there and the names decide.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from umbrafold.llm.common import staged
 
 LEAST = 0.5
 CONTENT_SHARE = 0.75
+INSIDE, OUTSIDE = 0.2, -0.2  # what an article adds to the importance of its blocks and of the page's other blocks
 
 # What HTML's element names and common class names mean.
 BLOCKS = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
@@ -154,8 +156,7 @@ def _parse(batches):
             own, shown = parse(source or "", root)
             hosts.append(_signed(root))
             pages.append(_hash(source or ""))
-            told = any(k and not n for _, _, _, n, k in own)
-            blocks.append([{"path": _signed(p), "parent": _signed(q), "content": _hash(t), "open": not (n or told)} for p, q, t, n, _ in own])
+            blocks.append([{"path": _signed(p), "parent": _signed(q), "content": _hash(t), "open": not n} for p, q, t, n, _ in own])
             styles.append([{"path": _signed(p), "style": _signed(x)} for p, x in shown])
         yield pa.record_batch([batch.column("key"), pa.array(hosts), pa.array(pages), pa.array(blocks, pa.list_(block)), pa.array(styles, pa.list_(style))], ["key", "host", "page", "blocks", "styles"])
 
@@ -178,24 +179,30 @@ def style_tree(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def low_branches(parsed: DataFrame, least: float = LEAST) -> DataFrame:
-    """(path) of the text nodes of low importance among those whose names leave it open."""
+    """(path, importance) of the text nodes that may be too low on some page, menus and the like left out. A host of one page has one row instead, of path ~host and importance least."""
     contents, styles = style_tree(parsed)
-    open_nodes = parsed.select(F.explode("blocks").alias("b")).where("b.open").select("b.path", "b.parent").distinct()
-    weighed = open_nodes.join(contents, "path").join(styles.withColumnRenamed("path", "parent"), "parent", "left")
+    open_nodes = parsed.select("host", F.explode("blocks").alias("b")).where("b.open").select("host", "b.path", "b.parent").distinct()
+    alone = parsed.groupBy("host").agg((F.min("page") == F.max("page")).alias("alone"))
+    several = open_nodes.join(alone.where("NOT alone"), "host", "left_semi")
+    weighed = several.join(contents, "path").join(styles.withColumnRenamed("path", "parent"), "parent", "left")
     importance = CONTENT_SHARE * F.col("content") + (1 - CONTENT_SHARE) * F.coalesce("presentation", F.lit(1.0))
-    return weighed.where(importance < least).select("path").distinct()
+    low = weighed.groupBy("path").agg(F.min(importance).alias("importance")).where(F.col("importance") < least - OUTSIDE)
+    return low.union(alone.where("alone").select(F.bitwise_not("host"), F.lit(least)))
 
 
-def kept_text(source: str, root: int, low: np.ndarray) -> str:
-    """The page's text without the branches whose names or importance are low; low: sorted paths. What stands outside a page's own article is low."""
+def kept_text(source: str, root: int, low: np.ndarray, importance: np.ndarray | None = None, least: float = LEAST) -> str:
+    """The page's text without the branches whose names or importance are low; low: sorted paths, of importance 0 if that is not given."""
     blocks = [b for b in parse(source, root)[0] if not b[3]]
-    if any(b[4] for b in blocks):
-        blocks = [b for b in blocks if b[4]]
-    elif len(low) and blocks:
-        paths = np.array([_signed(b[0]) for b in blocks])
-        found = low[np.minimum(np.searchsorted(low, paths), len(low) - 1)] == paths
-        blocks = [b for b, gone in zip(blocks, found.tolist(), strict=True) if not gone]
-    return "\n".join(b[2] for b in blocks)
+    weight = np.ones(len(blocks))
+    if len(low) and blocks:
+        paths = np.array([_signed(b[0]) for b in blocks] + [~_signed(root)])
+        at = np.minimum(np.searchsorted(low, paths), len(low) - 1)
+        told = np.where(low[at] == paths, 0.0 if importance is None else importance[at], 1.0)
+        weight = told[:-1] if told[-1] == 1 else np.full(len(blocks), told[-1])
+    inside = np.array([b[4] for b in blocks], bool)
+    if inside.any():
+        weight = weight + np.where(inside, INSIDE, OUTSIDE)
+    return "\n".join(b[2] for b, w in zip(blocks, weight.tolist(), strict=True) if w >= least)
 
 
 def main_texts(pages: DataFrame, least: float = LEAST, at_once: int = 4_000_000) -> DataFrame:
@@ -203,24 +210,30 @@ def main_texts(pages: DataFrame, least: float = LEAST, at_once: int = 4_000_000)
 
     Blocks stand in page order, joined by line feeds; white space inside a block is one space. A null or empty page, and one without a block that is
     kept, has an empty text. Rows with null or repeated ids are each extracted; a null url makes the host "". Other columns are ignored.
-    The low branches, 8 bytes each, go to every task if they are at most `at_once`; else they are joined with the pages that have them.
+    The low branches, 16 bytes each, go to every task if they are at most `at_once`; else they are joined with the pages that have them.
     """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("key", F.xxhash64("page_id", "url", "html"))
     parsed = staged(own.select("key", "url", "html").mapInArrow(_parse, PARSED), "parsed")
     low = staged(low_branches(parsed, least), "low")
-    none = np.zeros(0, np.int64)
+    empty = np.zeros(0, np.int64), np.zeros(0)
     if low.count() <= at_once:
-        shared = pages.sparkSession.sparkContext.broadcast(np.sort(low.toArrow()["path"].to_numpy()))
-        ready = own.withColumn("low", F.lit(None).cast("array<long>"))
+        table = low.toArrow().sort_by("path")
+        shared = pages.sparkSession.sparkContext.broadcast((table["path"].to_numpy(), table["importance"].to_numpy()))
+        ready = own.withColumn("low", F.lit(None).cast("array<struct<path:long,importance:double>>"))
     else:
         shared = None
-        each = parsed.select("key", F.explode("blocks").alias("b")).select("key", "b.path").join(low, "path").groupBy("key").agg(F.collect_set("path").alias("low"))  # as many as fit one page
+        paths = F.concat(F.transform("blocks", lambda b: b["path"]), F.array(F.bitwise_not("host")))
+        each = parsed.select("key", F.explode(F.array_distinct(paths)).alias("path")).distinct().join(low, "path")
+        each = each.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("path", "importance"))).alias("low"))  # as many as fit one page
         ready = own.join(each, "key", "left")
 
     def run(batches):
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("url", "html", "low")), strict=True)
-            texts = [kept_text(source or "", _host(url), shared.value if shared else np.sort(np.array(paths, np.int64)) if paths else none) for url, source, paths in rows]
+            texts = []
+            for url, source, own_low in rows:
+                told = shared.value if shared else (np.array([x["path"] for x in own_low], np.int64), np.array([x["importance"] for x in own_low])) if own_low else empty
+                texts.append(kept_text(source or "", _host(url), *told, least))
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return ready.select("page_id", "url", "html", "low").mapInArrow(run, "page_id long, url string, text string, n_chars long")
