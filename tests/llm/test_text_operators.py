@@ -271,6 +271,22 @@ def test_importance_decides_inside_and_outside_an_article(spark):
         assert text[90] == "Title 90\nWords of page 90\nWe sell shoes since 1999"
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<body><h1 class='post-title'>T</h1><div class='content'><p>body of the page</p></div></body>", "T\nbody of the page"),
+        ("<body><div class='entry-meta'>May</div><div class='content'><p>body of the page</p></div></body>", "May\nbody of the page"),
+        ("<body><div class='post-header'><h1>T</h1></div><div class='content'><p>body of the page</p></div></body>", "T\nbody of the page"),
+        ("<body><form id='aspnet'><nav>Home</nav><h1>T</h1><p>body of the page</p></form></body>", "T\nbody of the page"),
+        ("<body><p>body of the page</p><form><p>Your name</p></form></body>", "body of the page"),
+        ("<body><div>All pages</div><div class='post'><h1>T</h1><p>body of the page</p></div></body>", "T\nbody of the page"),
+    ],
+)
+def test_names_of_parts_do_not_hide_the_body(spark, source, text):
+    df = spark.createDataFrame([(1, "https://a.example/", source)], "page_id long, url string, html string")
+    assert [r["text"] for r in site_style_tree.main_texts(df).collect()] == [text]
+
+
 @pytest.mark.parametrize("source", ["<p", "<a <b>", "&#xZZ; &amp", "<script>never closed", "<!-- open", "</div></p>x", "<table><tr><td>a<td>b<tr><td>c</table>d", "<![CDATA[x]]>"])
 def test_broken_pages_do_not_crash(source):
     site_style_tree.kept_text(source, 0, np.zeros(0, np.int64))

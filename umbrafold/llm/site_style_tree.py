@@ -32,12 +32,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style template textarea iframe noscript noembed xmp svg math".split())
 CLOSED_BY_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 MAIN = frozenset("article main".split())
-NOISE = frozenset("aside button dialog footer form head label menu nav object select".split())
+NOISE = frozenset("aside button dialog footer head label menu nav object select".split())
 NOISE_NAMES = frozenset(
     "ad ads adsense advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification "
     "pager pagination popup promo promoted recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
 MAIN_NAMES = frozenset("article articlebody entry post story".split())
+NAMED = frozenset("blockquote dd details div dl li main ol section table tbody td tr ul".split())  # elements that such a name can make an article
+NEARLY_ALL = 0.8
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)((?:"[^"]*+"|'[^']*+'|[^'"<>])*+)>|<(/?)([a-zA-Z][^\s/<>]*+)[^<>]*+>""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 NAME = re.compile(r"[A-Za-z]+")
@@ -45,30 +47,33 @@ HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
 class Element:
-    __slots__ = ("children", "main", "name", "noise", "path")
+    __slots__ = ("children", "form", "main", "name", "noise", "path")
 
-    def __init__(self, name: str, path: int, noise: bool, main: bool):
-        self.name, self.path, self.noise, self.main, self.children = name, path, noise, main, xxhash.xxh64()
+    def __init__(self, name: str, path: int, noise: bool, main: bool, form: int = 0):
+        self.name, self.path, self.noise, self.main, self.form, self.children = name, path, noise, main, form, xxhash.xxh64()
 
 
-def _child(parent: Element, name: str, attributes: str) -> Element:
+def _child(parent: Element, name: str, attributes: str, at: int = 0) -> Element:
     words = sorted({w.lower() for _, v in ATTRIBUTE.findall(attributes) for w in NAME.findall(v)}) if attributes else []
     sign = f"{name} {' '.join(words)}"
     parent.children.update(sign.encode())
-    main = parent.main or name in MAIN or not MAIN_NAMES.isdisjoint(words)
-    noise = parent.noise or name in NOISE or not NOISE_NAMES.isdisjoint(words) or ((name == "header" or "header" in words) and not parent.main)
+    main = parent.main or name in MAIN or (name in NAMED and not MAIN_NAMES.isdisjoint(words))
+    noise = parent.noise or name in NOISE or not NOISE_NAMES.isdisjoint(words) or ((name == "header" or "header" in words) and not main)
     if name in ("body", "html"):
         noise = parent.noise
-    return Element(name, xxhash.xxh64_intdigest(sign.encode(), parent.path), noise, main)
+    form = parent.form or (at if name == "form" else 0)
+    return Element(name, xxhash.xxh64_intdigest(sign.encode(), parent.path), noise, main, form)
 
 
 def parse(source: str, root: int = 0) -> tuple[list[tuple[int, int, str, bool, bool]], list[tuple[int, int]]]:
     """Blocks (path, parent's path, text, noise, main) in page order, and presentations (path, children) of the elements.
 
+    A form is noise unless it stands around nearly all text that is not noise otherwise.
     Paths are 64-bit hashes that start from root, the host's hash. Elements that are never closed end with their parents; a paragraph ends where a block begins.
     """
     stack = [Element("", root, False, False)]
     blocks: list[tuple[int, int, str, bool, bool]] = []
+    forms: list[int] = []
     styles: list[tuple[int, int]] = []
     piece: list[str] = []
     raw, at = "", 0
@@ -80,6 +85,7 @@ def parse(source: str, root: int = 0) -> tuple[list[tuple[int, int, str, bool, b
             if text:
                 k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name in BLOCKS), 0)
                 blocks.append((stack[k].path, stack[max(0, k - 1)].path, text, stack[-1].noise, stack[-1].main))
+                forms.append(stack[-1].form)
 
     def close(down_to: int) -> None:
         while len(stack) > down_to:
@@ -122,11 +128,17 @@ def parse(source: str, root: int = 0) -> tuple[list[tuple[int, int, str, bool, b
                 piece.append(" ")
             stack[-1].children.update(name.encode())
             continue
-        stack.append(_child(stack[-1], name, m[3] or ""))
+        stack.append(_child(stack[-1], name, m[3] or "", m.end()))
     if not raw:
         piece.append(source[at:])
     flush()
     close(1)
+    if any(forms):
+        held: dict[int, int] = {}
+        for b, f in zip(blocks, forms, strict=True):
+            held[f] = held.get(f, 0) + (0 if b[3] else len(b[2]))
+        whole = NEARLY_ALL * sum(held.values())
+        blocks = [(p, q, t, n or (f > 0 and held[f] < whole), k) for (p, q, t, n, k), f in zip(blocks, forms, strict=True)]
     return blocks, styles
 
 
@@ -191,7 +203,10 @@ def low_branches(parsed: DataFrame, least: float = LEAST) -> DataFrame:
 
 
 def kept_text(source: str, root: int, low: np.ndarray, importance: np.ndarray | None = None, least: float = LEAST) -> str:
-    """The page's text without the branches whose names or importance are low; low: sorted paths, of importance 0 if that is not given."""
+    """The page's text without the branches whose names or importance are low; low: sorted paths, of importance 0 if that is not given.
+
+    Branches with an article's name are the page's article only if they hold the larger share of its important text.
+    """
     blocks = [b for b in parse(source, root)[0] if not b[3]]
     weight = np.ones(len(blocks))
     if len(low) and blocks:
@@ -200,7 +215,8 @@ def kept_text(source: str, root: int, low: np.ndarray, importance: np.ndarray |
         told = np.where(low[at] == paths, 0.0 if importance is None else importance[at], 1.0)
         weight = told[:-1] if told[-1] == 1 else np.full(len(blocks), told[-1])
     inside = np.array([b[4] for b in blocks], bool)
-    if inside.any():
+    important = weight * np.array([len(b[2]) for b in blocks])
+    if 2 * important[inside].sum() > important.sum():
         weight = weight + np.where(inside, INSIDE, OUTSIDE)
     return "\n".join(b[2] for b, w in zip(blocks, weight.tolist(), strict=True) if w >= least)
 
