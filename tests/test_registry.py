@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from umbrafold.plans import registry
 
@@ -40,3 +41,12 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_tracks_use_every_event(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp"))).alias("t"))
+    got = registry.queries()["keyframe_tracks"](spark, sf)
+    assert e.join(got, ["user_id", "event_type", "t"], "left_anti").count() == 0
+    types = {r["user_id"]: r["n"] for r in e.groupBy("user_id").agg(F.countDistinct("event_type").alias("n")).collect()}
+    times = {r["user_id"]: r["n"] for r in e.groupBy("user_id").agg(F.countDistinct("t").alias("n")).collect()}
+    assert got.count() == sum(types[u] * times[u] for u in types)
