@@ -23,7 +23,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked or equal sets the document of the smallest doc_id stays; documents without words and rows with a null doc_id stay."""
     name = fresh(docs, "other_id")
-    others = jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    others = jaccard_components(docs, count_links=False).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
     return docs.join(others, F.col("doc_id") == F.col(name), "left_anti")
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from fixtures import corpus, frame, shingles
 
 from umbrafold.llm import sketch_join
@@ -53,6 +54,35 @@ def test_frequent_keys_and_big_groups(spark, monkeypatch):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("block", [7, 1000])
+def test_links_of_big_groups_are_all_counted(spark, monkeypatch, block):
+    """A family that shares frequent keys, in several batches and blocks, against all pairs."""
+    monkeypatch.setattr(sketch_join, "SMALL_GROUP", 4)
+    monkeypatch.setattr(sketch_join, "REPEATED", 1)
+    monkeypatch.setattr(sketch_join, "BLOCK", block)
+    base, r = [f"w{k}" for k in range(200)], random.Random(3)
+    rows = [(500, " ".join(base)), (501, " ".join(base))]
+    for k in range(40):
+        own = list(base)
+        for i in r.sample(range(200), 2 + k % 4):
+            own[i] = f"x{k}_{i}"
+        rows.append((k, " ".join(own)))
+    sets = {i: shingles(t) for i, t in rows}
+    distinct = {frozenset(s) for s in sets.values()}
+    links = {i: sum(100 * len(s & o) >= 75 * len(s | o) for o in distinct if o != s) for i, s in sets.items()}
+    table = frame(spark, rows).repartition(5)
+    assert {x["doc_id"]: x["n_links"] for x in jaccard_components(table).collect()} == links and max(links.values()) > 20
+    assert {(x["doc_id"], x["n_shingles"], x["component_id"]) for x in jaccard_components(table, count_links=False).collect()} == brute(rows)
+
+
+def test_links_of_odd_rows(spark):
+    rows = [(i, t) for i, t in corpus() if i is not None and i not in (5009, 5010)]
+    sets = {i: shingles(t) for i, t in rows}
+    distinct = {frozenset(s) for s in sets.values() if s}
+    links = {i: sum(100 * len(s & o) >= 75 * len(s | o) for o in distinct if o != s) if s else 0 for i, s in sets.items()}
+    assert {x["doc_id"]: x["n_links"] for x in jaccard_components(frame(spark, rows)).collect()} == links
+
+
 def test_empty_table(spark):
     assert jaccard_components(frame(spark, [])).count() == 0
 

@@ -14,8 +14,8 @@ The common order puts words that few sets hold first, by counts over the whole c
 size; it affects cost alone, since any order gives all pairs. Candidates are verified exactly.
 
 A word held by very many sets gathers, within each batch of rows, at one of them, so no task
-receives a row per holder. These holders are compared with each other later, and only where they
-are not yet in one component.
+receives a row per holder. These holders are compared with each other later, in blocks of bounded size: all of
+them where links are counted, else only where they are not yet in one component.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ DF_BITS = 19
 REPEATED = 64  # what a sketch word counts more for each holder beside others of the same batch
 SMALL_GROUP = 64
 PARITY_LONGS = 16
+BLOCK = 1000  # holders of a frequent key that meet as many others in one group of the join
 
 
 def band_words(size: int) -> list[tuple[int, int]]:
@@ -275,12 +276,12 @@ def _verified(docs: DataFrame, sizes: DataFrame, pairs: DataFrame) -> DataFrame:
     return staged(linked.select("a", "b").distinct(), "links")
 
 
-def jaccard_components(documents: DataFrame) -> DataFrame:
-    """documents(doc_id long, text, ...) to (doc_id, n_shingles, component_id, n_links).
+def jaccard_components(documents: DataFrame, count_links: bool = True) -> DataFrame:
+    """documents(doc_id long, text, ...) to (doc_id, n_shingles, component_id, n_links); without count_links, n_links is left out.
 
     Words, shingles and links are as in op4: sets of distinct five-word shingles, linked at a Jaccard
-    similarity of at least 0.75. n_links counts the links verified between the document's distinct
-    set and other sets; links inside a component that follow from others may stay unverified.
+    similarity of at least 0.75. n_links counts all links between the document's distinct set and other distinct sets; without it
+    links inside a component that follow from others may stay unverified.
     A null text counts as empty: n_shingles 0, its own component. A null doc_id gets a null component.
     Rows that repeat a doc_id are one document whose links are those of all its rows. Other columns are ignored.
     """
@@ -306,23 +307,32 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     same = several.join(whole.select("doc_id", F.col("rep").alias("v")), "doc_id").where("u <> v").select("u", "v")  # rows that repeat a doc_id
     found = staged(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(same)), "components")
 
-    # holders of a frequent key that are still in different components; of a pair that links, the first key that both hold
+    # holders of a frequent key, all or those still in different components; of a pair that links, the first key that both hold
     # stands no later in either order than the words that may differ, and the keys before it differ
     hot = met.where("key IS NOT NULL").select("key", F.col("a").alias("doc_id"), "place", "before")
     hot = hot.join(sizes, "doc_id").groupBy("key", F.col("rep").alias("id")).agg(F.min("place").alias("place"), F.max("before").alias("before"))
     hot = staged(hot.join(found, "id", "left").select("key", "id", "place", "before", F.coalesce("component", "id").alias("c")), "hot")
-    apart = hot.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
+    apart = hot.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("holders"))
+    apart = apart.where("holders > 1" if count_links else "c0 <> c1").select("key", F.ceil(F.col("holders") / BLOCK).cast("int").alias("parts"))
     reps = sizes.where("doc_id = rep").select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), *[F.get("parity", F.lit(k)).alias(f"p{k}") for k in range(PARITY_LONGS)]).dropDuplicates(["id"])
-    left = staged(hot.join(apart, "key").join(reps, "id"), "apart")
+    # holders of block i meet those of block j in group (i, j), i <= j
+    own = hot.join(apart, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = own.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("parts", "other")
+    left = staged(own.join(reps, "id"), "apart")
     x, y = left.alias("l"), left.alias("r")
     both = F.col("l.n") + F.col("r.n")
     differ = sum((F.bit_count(F.col(f"l.p{k}").bitwiseXOR(F.col(f"r.p{k}"))) for k in range(PARITY_LONGS)), F.lit(0))
     later = (F.col("l.before") == F.col("r.before")) & (F.col("l.before") != 0)
     near = ~later & (7 * F.greatest("l.place", "r.place") <= both) & (7 * differ <= both) & (4 * F.least("l.n", "r.n") >= 3 * F.greatest("l.n", "r.n"))
-    cross = x.join(y, (F.col("l.key") == F.col("r.key")) & (F.col("l.c") < F.col("r.c")) & near).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+    met_once = (F.col("l.key") == F.col("r.key")) & (F.col("l.lo") == F.col("r.lo")) & (F.col("l.hi") == F.col("r.hi")) & ((F.col("l.own") != F.col("r.own")) | (F.col("l.lo") == F.col("l.hi")))
+    order = F.col("l.id") < F.col("r.id") if count_links else F.col("l.c") < F.col("r.c")
+    cross = x.join(y, met_once & order & near).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
     more = _verified(docs, sizes, cross)
     links = links.union(more).distinct()
     found = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(same))
+    if not count_links:
+        return whole.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
     named = found.join(degree, "id", "left").withColumnRenamed("id", "rep")
     return whole.join(named, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
