@@ -50,3 +50,8 @@ def test_tracks_use_every_event(spark, sf):
     types = {r["user_id"]: r["n"] for r in e.groupBy("user_id").agg(F.countDistinct("event_type").alias("n")).collect()}
     times = {r["user_id"]: r["n"] for r in e.groupBy("user_id").agg(F.countDistinct("t").alias("n")).collect()}
     assert got.count() == sum(types[u] * times[u] for u in types)
+
+
+def test_focus_blend_gives_every_pixel(spark, sf):
+    labels = spark.read.parquet(f"{sf}/embeddings.parquet").select("label").distinct().count()
+    assert registry.queries()["focus_blend"](spark, sf).select("label", "pos").distinct().count() == 64 * labels

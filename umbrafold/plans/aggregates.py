@@ -173,3 +173,40 @@ def focus_stack(spark, sf_dir: str) -> DataFrame:
     sharp = F.arrays_zip(F.transform(nb.weighted(F.col("codes"), nb.LAPLACE, 8, 8), F.abs).alias("sharp"), F.col("codes").alias("code"))
     px = img.select("vec_id", "label", F.posexplode(sharp).alias("pos", "s")).where("pos % 8 BETWEEN 1 AND 6 AND floor(pos / 8) BETWEEN 1 AND 6")
     return px.groupBy("label", "pos").agg(F.min_by("s.code", F.struct(-F.col("s.sharp"), F.col("vec_id"))).alias("code"))
+
+
+_NEAR = "q.vec_id = p.vec_id AND q.x = least(greatest(p.x + dx, 0), 7) AND q.y = least(greatest(p.y + dy, 0), 7)"
+_FOCUS = f"""WITH {PX_SQL}, l AS (SELECT *, pow(code / 255.0::DOUBLE, 1 / 2.2::DOUBLE) AS v FROM px),
+lap AS (SELECT p.vec_id, p.label, p.pos, p.x, p.y, pow(sum(q.v) - 4 * p.v, 2) AS s FROM l p CROSS JOIN (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) d(dx, dy) JOIN l q ON {_NEAR} GROUP BY p.vec_id, p.label, p.pos, p.x, p.y, p.v),
+e AS (SELECT p.vec_id, p.label, p.pos, round(sum(q.s) / 81, 9) AS e FROM lap p CROSS JOIN range(-4, 5) a(dx) CROSS JOIN range(-4, 5) b(dy) JOIN lap q ON {_NEAR} GROUP BY p.vec_id, p.label, p.pos),
+best AS (SELECT label, pos, arg_min(vec_id, (-e, vec_id)) AS vec_id FROM e GROUP BY label, pos),
+w AS (SELECT p, least(greatest(least(greatest(p + a, 0), 7) + b, 0), 7) AS q, count(*) AS n FROM range(0, 8) i(p), range(-2, 3) j(a), range(-2, 3) k(b) GROUP BY ALL)
+SELECT best.label, t.pos, round(sum(c.n * d.n * t.code)::DOUBLE / 625, 4) AS out FROM best JOIN px t USING (vec_id) JOIN w c ON c.p = t.x AND c.q = best.pos % 8 JOIN w d ON d.p = t.y AND d.q = best.pos // 8 GROUP BY best.label, t.pos"""
+
+
+@query(_FOCUS)
+def focus_blend(spark, sf_dir: str) -> DataFrame:
+    """Focus stack with whole borders: the layer with most Laplacian energy in a window of radius 4 claims a pixel, the first at a tie; masks are feathered twice by radius 2."""
+    import numpy as np
+    import pyarrow as pa
+
+    from umbrafold.sources.rasters import images
+
+    blur = lambda r: np.array([[sum(min(max(p + d, 0), 7) == q for d in range(-r, r + 1)) for q in range(8)] for p in range(8)])
+    window, feather = blur(4), blur(2) @ blur(2)
+
+    def energies(batches):
+        for batch in batches:
+            v = (np.array(batch.column("codes").to_pylist(), float).reshape(-1, 8, 8) / 255) ** (1 / 2.2)
+            around = np.pad(v, ((0, 0), (1, 1), (1, 1)), "edge")
+            lap = around[:, :-2, 1:-1] + around[:, 2:, 1:-1] + around[:, 1:-1, :-2] + around[:, 1:-1, 2:] - 4 * v
+            e = (window @ (lap * lap) @ window.T / 81).reshape(-1, 64)
+            yield pa.record_batch([batch.column("vec_id"), batch.column("label"), pa.array(list(e), pa.list_(pa.float64()))], ["vec_id", "label", "e"])
+
+    img = images(spark, sf_dir)
+    energy = img.mapInArrow(energies, "vec_id long, label int, e array<double>").select("vec_id", "label", F.posexplode("e").alias("at", "e"))
+    best = energy.groupBy("label", "at").agg(F.min_by("vec_id", F.struct(-F.round("e", 9), F.col("vec_id"))).alias("vec_id"))
+    px = best.join(img.select("vec_id", "codes"), "vec_id").select("label", "at", F.posexplode("codes").alias("pos", "code"))
+    part = lambda p, q: F.get(F.array(*[F.lit(int(n)) for n in feather.ravel()]), (p * 8 + q).cast("int"))
+    weight = part(F.col("pos") % 8, F.col("at") % 8) * part(F.floor(F.col("pos") / 8), F.floor(F.col("at") / 8))
+    return px.groupBy("label", "pos").agg(F.round(F.sum(weight * F.col("code")) / 625, 4).alias("out"))
