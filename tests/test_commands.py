@@ -29,6 +29,11 @@ def test_commands_by_seq(spark):
     assert state(commands.applied(layers, spark.createDataFrame([], COMMANDS))) == state(layers)
 
 
+def test_layers_deep_below_a_deleted_one_go(spark):
+    layers = spark.createDataFrame([("0", None, {}), *[(str(k), str(k - 1), {}) for k in range(1, 68)], ("kept", None, {})], LAYERS).coalesce(1)
+    assert set(state(commands.applied(layers, spark.createDataFrame([(1, "delete", "0", None, None)], COMMANDS)))) == {"kept"}
+
+
 def test_inverse_patches_restore(spark):
     layers = spark.createDataFrame([("a", None, {"x": "1", "y": "2"})], LAYERS)
     patches = spark.createDataFrame([(1, "patch", "a", None, {"x": "5", "z": "9"}), (2, "patch", "a", None, {"x": None})], COMMANDS)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def applied(layers: DataFrame, commands: DataFrame, most_levels: int = 64) -> DataFrame:
+def applied(layers: DataFrame, commands: DataFrame) -> DataFrame:
     """The layers after all commands by seq. For each layer and property the last word counts, so one aggregation does for any number of commands.
 
     A layer goes with its parent, however deep; a later create or restore brings it back, with the properties of that command.
@@ -27,12 +27,12 @@ def applied(layers: DataFrame, commands: DataFrame, most_levels: int = 64) -> Da
     props = value.groupBy("layer_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("props"))  # a layer's properties
     kept = last.where("state <> 'delete'").join(place, "layer_id").join(props, "layer_id", "left")
     kept = kept.select("layer_id", "parent", F.coalesce("props", F.create_map().cast("map<string,string>")).alias("props"))
-    for _ in range(most_levels):  # what hangs on a deleted parent goes, level by level
+    while True:  # what hangs on a deleted parent goes, level by level
         gone = kept.where("parent IS NOT NULL").join(kept.select(F.col("layer_id").alias("parent")), "parent", "left_anti").select("layer_id")
         if gone.isEmpty():
-            break
+            return kept
         kept = kept.join(gone, "layer_id", "left_anti")
-    return kept
+        kept = kept.checkpoint() if layers.sparkSession.sparkContext.getCheckpointDir() else kept.localCheckpoint()
 
 
 def inverses(layers: DataFrame, patches: DataFrame) -> DataFrame:
