@@ -31,6 +31,11 @@ def at(image: Column, x: Column, y: Column, width: int, height: int, edge: Edge
     return F.get(image, (edge(y, height) * width + edge(x, width)).cast("int"))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once for each row, however often body refers to it and from whatever lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def each_pixel(width: int, height: int, body: Callable[[Column, Column], Column]) -> Column:
     """Array of body(x, y) over the image."""
     return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda p: body(p % width, F.floor(p / width).cast("int")))
@@ -38,7 +43,7 @@ def each_pixel(width: int, height: int, body: Callable[[Column, Column], Column]
 
 def gathered(image: Column, offsets: list[tuple[int, int]], width: int, height: int, body: Callable[[Column], Column], edge: Edge = clamp) -> Column:
     """body over the array of each pixel's neighbours at the offsets."""
-    return each_pixel(width, height, lambda x, y: body(F.array(*[at(image, x + dx, y + dy, width, height, edge) for dx, dy in offsets])))
+    return bound(image, lambda img: each_pixel(width, height, lambda x, y: body(F.array(*[at(img, x + dx, y + dy, width, height, edge) for dx, dy in offsets]))))
 
 
 def square(radius: int) -> list[tuple[int, int]]:
@@ -74,7 +79,7 @@ def median(image: Column, radius: int, width: int, height: int) -> Column:
 
 def weighted(image: Column, kernel: dict[tuple[int, int], float], width: int, height: int, edge: Edge = clamp) -> Column:
     """Sums of neighbours times the kernel's weights, of its kind (whole or floating numbers)."""
-    return each_pixel(width, height, lambda x, y: sum((w * at(image, x + dx, y + dy, width, height, edge) for (dx, dy), w in kernel.items()), F.lit(0)))
+    return bound(image, lambda img: each_pixel(width, height, lambda x, y: sum((w * at(img, x + dx, y + dy, width, height, edge) for (dx, dy), w in kernel.items()), F.lit(0))))
 
 
 def gaussian_kernel(sigma: float) -> dict[tuple[int, int], float]:
@@ -90,7 +95,7 @@ def gaussian_kernel(sigma: float) -> dict[tuple[int, int], float]:
 
 def remapped(image: Column, width: int, height: int, source: Callable[[Column, Column], tuple[Column, Column]], edge: Edge = clamp) -> Column:
     """Each pixel takes the one at source(x, y): flips, shifts, shears, tilings."""
-    return each_pixel(width, height, lambda x, y: at(image, *source(x, y), width, height, edge))
+    return bound(image, lambda img: each_pixel(width, height, lambda x, y: at(img, *source(x, y), width, height, edge)))
 
 
 # 3 x 3 kernels.

@@ -36,12 +36,13 @@ def _distortion(name: str, source, sx: str, sy: str) -> None:
     """source(x, y, dx, dy, r): where a pixel comes from; dx, dy, r are its offsets and distance from the centre. The SQL says the same of its columns."""
 
     def run(spark, sf_dir: str) -> DataFrame:
-        def body(x: Column, y: Column) -> Column:
+        def body(image: Column, x: Column, y: Column) -> Column:
             dx, dy = x - 3.5, y - 3.5
-            u, v = source(x, y, dx, dy, F.sqrt(dx * dx + dy * dy))
-            return bilinear(F.col("codes"), u, v)
+            place = F.struct(*(c.cast("double").alias(k) for k, c in zip("uv", source(x, y, dx, dy, F.sqrt(dx * dx + dy * dy)), strict=True)))
+            return nb.bound(place, lambda p: bilinear(image, p["u"], p["v"]))
 
-        out = images(spark, sf_dir).select("vec_id", F.posexplode(nb.each_pixel(W, H, body)).alias("pos", "out"))
+        mapped = nb.bound(F.col("codes"), lambda image: nb.each_pixel(W, H, lambda x, y: body(image, x, y)))
+        out = images(spark, sf_dir).select("vec_id", F.posexplode(mapped).alias("pos", "out"))
         return out.select("vec_id", "pos", F.round("out", 7).alias("out"))
 
     QUERIES[name] = (
@@ -89,10 +90,9 @@ _sampled("radius_range", nb.square(1), lambda v: F.array_max(v) - F.array_min(v)
 
 def _modal(v: Column) -> Column:
     """The mean (cut to a whole number) of the values in the fullest of eight bins, the lower bin at a tie."""
-    tally = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda b: F.struct(F.size(F.filter(v, lambda c: F.floor(c / 32) == b)).alias("n"), (-b).alias("b")))
-    best = -F.array_max(tally)["b"]
-    mine = F.filter(v, lambda c: F.floor(c / 32) == best)
-    return F.floor(nb.total(mine) / F.size(mine))
+    tally = lambda own: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda b: F.struct(F.size(F.filter(own, lambda c: F.floor(c / 32) == b)).alias("n"), (-b).alias("b")))
+    mine = lambda own: nb.bound(-F.array_max(tally(own))["b"], lambda best: F.filter(own, lambda c: F.floor(c / 32) == best))
+    return nb.bound(v, lambda own: nb.bound(mine(own), lambda m: F.floor(nb.total(m) / F.size(m))))
 
 
 def oil_paint(spark, sf_dir: str) -> DataFrame:

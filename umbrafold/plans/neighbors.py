@@ -32,7 +32,7 @@ SELECT vec_id, pos, CAST({aggregate} AS BIGINT) AS out FROM n GROUP BY vec_id, p
 def _query(name: str, body, sql: str) -> None:
     def run(spark, sf_dir: str) -> DataFrame:
         img = images(spark, sf_dir)
-        return _exploded(img, body(F.col("codes")))
+        return _exploded(img, nb.bound(F.col("codes"), lambda codes: body(codes)))
 
     QUERIES[name] = (run, sql)
 
