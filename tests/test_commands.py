@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from umbrafold.functions import text
-from umbrafold.operators import commands
+from umbrafold.operators import commands, trees
 
 LAYERS, COMMANDS = "layer_id string, parent string, props map<string,string>", "seq long, kind string, layer_id string, parent string, props map<string,string>"
 
@@ -34,6 +34,14 @@ def test_layers_deep_below_a_deleted_one_go(spark):
     assert set(state(commands.applied(layers, spark.createDataFrame([(1, "delete", "0", None, None)], COMMANDS)))) == {"kept"}
 
 
+def test_trees_of_any_depth(spark):
+    chain = spark.createDataFrame([("0", None), *[(str(k), str(k - 1)) for k in range(1, 200)]], "id string, parent string")
+    got = {r["id"]: (r["depth"], r["parent"], r["path"]) for r in trees.levels(chain).collect()}
+    assert all(got[str(k)] == (k, str(k - 1) if k else None, [str(i) for i in range(k + 1)]) for k in range(200))
+    odd = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "x"), ("d", "c"), ("e", None), ("f", "a")], "id string, parent string")
+    assert {r["id"] for r in trees.hanging(odd).collect()} == {"c", "d"}
+
+
 def test_inverse_patches_restore(spark):
     layers = spark.createDataFrame([("a", None, {"x": "1", "y": "2"})], LAYERS)
     patches = spark.createDataFrame([(1, "patch", "a", None, {"x": "5", "z": "9"}), (2, "patch", "a", None, {"x": None})], COMMANDS)

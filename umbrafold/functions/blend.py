@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from umbrafold.functions.binding import stepwise
 from umbrafold.functions.color import Rgb, unit
 
 
@@ -75,7 +76,7 @@ def _clip(c: Rgb) -> Rgb:
 
 def set_lum(c: Rgb, y: Column) -> Rgb:
     d = y - lum(c)
-    return _clip(tuple(v + d for v in c))
+    return tuple(v + d for v in c)
 
 
 def set_sat(c: Rgb, s: Column) -> Rgb:
@@ -83,19 +84,20 @@ def set_sat(c: Rgb, s: Column) -> Rgb:
     return tuple(F.when(span > 0, (v - low) * s / F.when(span > 0, span).otherwise(1.0)).otherwise(0.0) for v in c)
 
 
-WHOLE: dict[str, Callable[[Rgb, Rgb], Rgb]] = {
-    "darker_color": lambda b, s: tuple(F.when(lum(s) < lum(b), y).otherwise(x) for x, y in zip(b, s, strict=True)),
-    "lighter_color": lambda b, s: tuple(F.when(lum(s) > lum(b), y).otherwise(x) for x, y in zip(b, s, strict=True)),
-    "hue": lambda b, s: set_lum(set_sat(s, sat(b)), lum(b)),
-    "saturation": lambda b, s: set_lum(set_sat(b, sat(s)), lum(b)),
-    "color": lambda b, s: set_lum(s, lum(b)),
-    "luminosity": lambda b, s: set_lum(b, lum(s)),
+#: The steps of a whole-colour mode, from the backdrop's and the source's channels.
+WHOLE: dict[str, tuple[Callable[[tuple[Column, ...]], tuple[Column, ...]], ...]] = {
+    "darker_color": (lambda v: tuple(F.when(lum(v[3:]) < lum(v[:3]), y).otherwise(x) for x, y in zip(v[:3], v[3:], strict=True)),),
+    "lighter_color": (lambda v: tuple(F.when(lum(v[3:]) > lum(v[:3]), y).otherwise(x) for x, y in zip(v[:3], v[3:], strict=True)),),
+    "hue": (lambda v: (*set_sat(v[3:], sat(v[:3])), lum(v[:3])), lambda v: set_lum(v[:3], v[3]), _clip),
+    "saturation": (lambda v: (*set_sat(v[:3], sat(v[3:])), lum(v[:3])), lambda v: set_lum(v[:3], v[3]), _clip),
+    "color": (lambda v: set_lum(v[3:], lum(v[:3])), _clip),
+    "luminosity": (lambda v: set_lum(v[:3], lum(v[3:])), _clip),
 }
 
 
 def blend_rgb(mode: str, b: Rgb, s: Rgb) -> Rgb:
     if mode in WHOLE:
-        return tuple(unit(c) for c in WHOLE[mode](b, s))
+        return stepwise((*b, *s), *WHOLE[mode], lambda v: tuple(unit(c) for c in v))
     return tuple(blend_channel(mode, x, y) for x, y in zip(b, s, strict=True))
 
 

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from umbrafold.operators import trees
+from umbrafold.operators.lineage import staged
+
 
 def applied(layers: DataFrame, commands: DataFrame) -> DataFrame:
     """The layers after all commands by seq. For each layer and property the last word counts, so one aggregation does for any number of commands.
@@ -27,12 +30,9 @@ def applied(layers: DataFrame, commands: DataFrame) -> DataFrame:
     props = value.groupBy("layer_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("props"))  # a layer's properties
     kept = last.where("state <> 'delete'").join(place, "layer_id").join(props, "layer_id", "left")
     kept = kept.select("layer_id", "parent", F.coalesce("props", F.create_map().cast("map<string,string>")).alias("props"))
-    while True:  # what hangs on a deleted parent goes, level by level
-        gone = kept.where("parent IS NOT NULL").join(kept.select(F.col("layer_id").alias("parent")), "parent", "left_anti").select("layer_id")
-        if gone.isEmpty():
-            return kept
-        kept = kept.join(gone, "layer_id", "left_anti")
-        kept = kept.checkpoint() if layers.sparkSession.sparkContext.getCheckpointDir() else kept.localCheckpoint()
+    kept = staged(kept, "layers")
+    gone = trees.hanging(kept.select(F.col("layer_id").alias("id"), "parent"))  # what hangs on a deleted parent
+    return kept.join(gone, F.col("layer_id") == F.col("id"), "left_anti")
 
 
 def inverses(layers: DataFrame, patches: DataFrame) -> DataFrame:

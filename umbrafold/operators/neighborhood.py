@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from umbrafold.functions.binding import bound
+
 Edge = Callable[[Column, int], Column]
 
 
@@ -31,11 +33,6 @@ def at(image: Column, x: Column, y: Column, width: int, height: int, edge: Edge
     return F.get(image, (edge(y, height) * width + edge(x, width)).cast("int"))
 
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once for each row, however often body refers to it and from whatever lambda."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def each_pixel(width: int, height: int, body: Callable[[Column, Column], Column]) -> Column:
     """Array of body(x, y) over the image."""
     return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda p: body(p % width, F.floor(p / width).cast("int")))

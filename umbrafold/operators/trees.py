@@ -5,21 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def levels(nodes: DataFrame, most: int = 64) -> DataFrame:
-    """(id, parent, depth, path) by one join a level; path holds the ids from the root. Raises where nodes remain that no root reaches."""
-    known = nodes.where("parent IS NULL").select("id", "parent", F.lit(0).alias("depth"), F.array("id").alias("path"))
-    out, n = known, known.count()
-    for depth in range(1, most):
-        above = known.select(F.col("id").alias("parent"), "path")
-        known = nodes.join(above, "parent").select("id", "parent", F.lit(depth).alias("depth"), F.concat("path", F.array("id")).alias("path"))
-        more = known.count()
-        if not more:
-            break
-        out, n = out.union(known), n + more
-    if n != nodes.count():
-        raise ValueError("the tree has a cycle, an orphan or more levels than allowed")
-    return out
+from umbrafold.operators.lineage import staged
+
+
+def lifted(nodes: DataFrame) -> DataFrame:
+    """(id, up, path) of nodes(id, parent): the way up as far as it goes. path ends with id; up is null where path starts with a root.
+
+    Where up is not null it names an id that is missing, or the node hangs on a cycle. Each round doubles the length of all paths, so a tree of depth d
+    takes about log2(d) joins; the tables between rounds are written. Nodes whose way is not at its end get fewer in every round unless all of them
+    hang on cycles, and then the rounds end.
+    """
+    state = nodes.select("id", F.col("parent").alias("up"), F.array("id").alias("path"), F.col("parent").isNull().alias("ended"))
+    left = None
+    while True:
+        state = staged(state, "lifted")
+        now = state.where("NOT ended").count()
+        if not now or now == left:
+            return state.select("id", "up", "path")
+        left = now
+        above = state.select(F.col("id").alias("at"), F.col("up").alias("next"), F.col("path").alias("before"), F.col("ended").alias("over"))
+        rest = state.where("NOT ended").join(above, F.col("up") == F.col("at"), "left")
+        there = F.col("at").isNotNull()
+        up, path = F.when(there, F.col("next")).otherwise(F.col("up")), F.when(there, F.concat("before", "path")).otherwise(F.col("path"))
+        state = state.where("ended").union(rest.select("id", up.alias("up"), path.alias("path"), F.coalesce("over", F.lit(True)).alias("ended")))
+
+
+def levels(nodes: DataFrame) -> DataFrame:
+    """(id, parent, depth, path) of nodes(id, parent) of any depth; path holds the ids from the root. Raises where a node reaches no root."""
+    found = lifted(nodes)
+    if not found.where("up IS NOT NULL").isEmpty():
+        raise ValueError("the tree has a cycle or an orphan")
+    size = F.size("path")
+    return found.select("id", F.when(size > 1, F.get("path", size - 2)).alias("parent"), (size - 1).alias("depth"), "path")
+
+
+def hanging(nodes: DataFrame) -> DataFrame:
+    """The ids of nodes(id, parent) whose way up ends at an id that is missing, however far up; nodes on a cycle are not among them."""
+    open_ends = lifted(nodes).where("up IS NOT NULL").select("id", "up")
+    return open_ends.join(nodes.select(F.col("id").alias("up")), "up", "left_anti").select("id").distinct()
 
 
 def problems(nodes: DataFrame) -> DataFrame:
