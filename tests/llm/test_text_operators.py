@@ -147,13 +147,36 @@ def test_containment_search(spark, monkeypatch):
     table = spark.createDataFrame(items, "item_id long, text string")
     got = [(r["doc_id"], r["item_id"]) for r in decontaminate.contained_items(frame(spark, docs), table).collect()]
     assert set(got) == expected and len(got) == len(expected) > 10
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 500)
+    monkeypatch.setattr(decontaminate, "INDEX_CHARS", 500)
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contained_items(frame(spark, docs), table).collect()} == expected
     kept = decontaminate.clean_documents(frame(spark, docs), table)
     assert kept.count() == sum(i not in {d for d, _ in expected} for i, _ in docs)
     assert decontaminate.contained_items(frame(spark, []), table).count() == 0 == decontaminate.contained_items(frame(spark, docs), table.limit(0)).count()
 
 
+def test_signatures_are_small_and_find_what_is_there():
+    r = random.Random(12)
+    items = [(k, " ".join(words(20_000 + k, (6, 12, 40, 100, 300, 900)[k % 6]))) for k in range(300)]
+    index = decontaminate.ItemIndex([(i, t.encode()) for i, t in items])
+    found, there = Counter(), Counter()
+    for i, text in items:
+        own = text.split()
+        keep = len(own) - int(r.uniform(0, 0.22) * (len(own) - 4))
+        doc = " ".join([*words(i, r.choice((50, 2000))), *own[:keep], *words(i + 1, 50)])
+        q, d = shingles(text), shingles(doc)
+        if len(q & d) >= 0.75 * len(q):
+            there[decontaminate.size_class(len(q))] += 1
+            found[decontaminate.size_class(len(q))] += i in index.ids[index.candidates(decontaminate.shingle_hashes(decontaminate.WordHashes().array(doc.encode().split())))]
+    assert len(there) >= 6 and all(found[c] >= 0.99 * n for c, n in there.items())  # recall in each size class
+    large = [t for _, t in items if len(t.split()) >= 300]
+    minima = decontaminate.ItemIndex([(k, t.encode()) for k, t in enumerate(large)])
+    assert len(minima.keys) == decontaminate.SIGNATURE * len(large) < 0.11 * len(minima.shingles)
+    own = sum(x.nbytes for x in vars(index).values() if isinstance(x, np.ndarray))
+    assert own < 32 * sum(len(t.split()) for _, t in items) + (1 << 17)
+    for n in (1, 5, 32, 33, 1000):  # the chance of falling short, by simulation of the worst case
+        assert decontaminate.least_common(n) <= 0.75 * min(n, decontaminate.SIGNATURE) + 1
+
+
 def test_forward_and_expected_counts_equal_all_paths():
     r = np.random.default_rng(3)
     model = hmm.Hmm(np.array([0.6, 0.4]), np.array([[0.7, 0.3], [0.2, 0.8]]), np.array([[0.5, 0.1], [0.2, 0.3], [0.3, 0.6]]))
@@ -278,6 +301,8 @@ def test_importance_decides_inside_and_outside_an_article(spark):
         ("<body><div class='entry-meta'>May</div><div class='content'><p>body of the page</p></div></body>", "May\nbody of the page"),
         ("<body><div class='post-header'><h1>T</h1></div><div class='content'><p>body of the page</p></div></body>", "T\nbody of the page"),
         ("<body><form id='aspnet'><nav>Home</nav><h1>T</h1><p>body of the page</p></form></body>", "T\nbody of the page"),
+        ("<body><article><h1>T</h1><div class='share-price table'>Shares rose by two</div><div class='search-engine-history'>It began with a crawler</div><div class='comment-list'>me too</div></article></body>", "T\nShares rose by two\nIt began with a crawler"),
+        ("<body><div id='topNav'>Home</div><div class='site-footer'>All rights</div><div class='newsletter_signup'>Join</div><div class='header-top'>Hello</div><p>body of the page</p></body>", "body of the page"),
         ("<body><p>body of the page</p><form><p>Your name</p></form></body>", "body of the page"),
         ("<body><div>All pages</div><div class='post'><h1>T</h1><p>body of the page</p></div></body>", "T\nbody of the page"),
     ],
@@ -287,6 +312,30 @@ def test_names_of_parts_do_not_hide_the_body(spark, source, text):
     assert [r["text"] for r in site_style_tree.main_texts(df).collect()] == [text]
 
 
+def test_the_tree_decides_on_the_table(spark, sf):
+    """Every block that names leave open is weighed by its host's tree, and the texts are those of a plain reading of these pages."""
+    import html
+    import re
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    sold = "<div class='about-us'>We sell shoes since 1999</div>"
+    more = pages.withColumn("html", F.concat(F.regexp_replace("html", "</article>", f"{sold}</article>")))
+    got = {r["page_id"]: r["text"] for r in site_style_tree.main_texts(more).collect()}
+    parsed = site_style_tree.staged(more.withColumn("key", F.col("page_id")).mapInArrow(site_style_tree._parse, site_style_tree.PARSED), "parsed")
+    sizes = {r["host"]: r["n"] for r in parsed.groupBy("host").agg(F.countDistinct("page").alias("n")).collect()}
+    decided = parsed.select("host", F.explode("blocks").alias("b")).where("b.open").groupBy("host").count().collect()
+    assert sum(r["count"] for r in decided if sizes[r["host"]] > 1) > 0.5 * sum(r["count"] for r in decided)
+    dropped = 0
+    for r in pages.collect():
+        body = re.search("<article>(.*?)</article>", r["html"], re.S)[1]
+        blocks = re.split(r"</?(?:p|h1|h2|h3|ul|li|div)[^>]*>", re.sub("<br>", " ", body))
+        plain = [" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in blocks]
+        plain = "\n".join(x for x in plain if x)
+        dropped += got[r["page_id"]] == plain
+        assert got[r["page_id"]] in (plain, f"{plain}\nWe sell shoes since 1999")
+    assert dropped > 0.5 * len(got)  # hosts with several pages: the tree finds what they share, whatever its name
+
+
 @pytest.mark.parametrize("source", ["<p", "<a <b>", "&#xZZ; &amp", "<script>never closed", "<!-- open", "</div></p>x", "<table><tr><td>a<td>b<tr><td>c</table>d", "<![CDATA[x]]>"])
 def test_broken_pages_do_not_crash(source):
     site_style_tree.kept_text(source, 0, np.zeros(0, np.int64))
