@@ -5,8 +5,9 @@ its presentations are the sequences of its children; for a block of text, its co
 a node's presentation importance is the entropy of its presentations to the base m, and a text node's content importance is 1 less the
 mean of log n / log m, n being the number of pages that have a content: what all pages share says little. A
 branch's importance is the mix of both. On a page with an article a weight is added inside it and taken off outside it. Each page then
-loses the branches that stay below the threshold. Names of menus, comments and the like go whatever their importance, since comments differ from
-page to page as articles do. Equal pages of a host count once; a host of one page tells nothing, so each branch's importance is the threshold there and the names decide.
+loses the branches that stay below the threshold. Branches that are named as menus, comments and the like go whatever their importance, since comments differ from
+page to page as articles do; where such a word only qualifies another one (share-price), it is a prior: NAMED_ONLY is taken off and the importance
+decides. Equal pages of a host count once; a host of one page tells nothing, so each branch's importance is the threshold there and the names decide.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from umbrafold.llm.common import staged
 LEAST = 0.5
 CONTENT_SHARE = 0.75
 INSIDE, OUTSIDE = 0.2, -0.2  # what an article adds to the importance of its blocks and of the page's other blocks
+NAMED_ONLY = 0.2
 
 # What HTML's element names and common class names mean.
 BLOCKS = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
@@ -37,42 +39,64 @@ NOISE_NAMES = frozenset(
     "ad ads adsense advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification "
     "pager pagination popup promo promoted recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+# words that say where or of what form a part is: in a class name a word of NOISE_NAMES stays its meaning beside them
+FORM_NAMES = frozenset("area articles bar block bottom box button col column container content first fixed float form global group holder inline inner item items last left link links list main mobile module outer page panel post posts primary right row secondary section site small stories text title top unit wrap wrapper".split())
 MAIN_NAMES = frozenset("article articlebody entry post story".split())
 NAMED = frozenset("blockquote dd details div dl li main ol section table tbody td tr ul".split())  # elements that such a name can make an article
 NEARLY_ALL = 0.8
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)((?:"[^"]*+"|'[^']*+'|[^'"<>])*+)>|<(/?)([a-zA-Z][^\s/<>]*+)[^<>]*+>""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-NAME = re.compile(r"[A-Za-z]+")
+NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
 class Element:
-    __slots__ = ("children", "form", "main", "name", "noise", "path")
+    __slots__ = ("children", "form", "main", "name", "noise", "path", "weak")
 
-    def __init__(self, name: str, path: int, noise: bool, main: bool, form: int = 0):
-        self.name, self.path, self.noise, self.main, self.form, self.children = name, path, noise, main, form, xxhash.xxh64()
+    def __init__(self, name: str, path: int, noise: bool = False, main: bool = False, weak: bool = False, form: int = 0):
+        self.name, self.path, self.noise, self.main, self.weak, self.form, self.children = name, path, noise, main, weak, form, xxhash.xxh64()
+
+
+def named(attributes: str) -> tuple[list[str], int]:
+    """The words of class, id and role, and what they say: 3 that the element is noise, 2 that it is a header, 1 that a word of noise qualifies another, 0 none of these.
+
+    A name counts as noise if its last word that isn't one of form or place is a word of noise.
+    """
+    words, says = set(), 0
+    for _, value in ATTRIBUTE.findall(attributes):
+        for token in value.strip("\"'").split():
+            own = [w.lower() for w in NAME.findall(token)]
+            words.update(own)
+            if not NOISE_NAMES.isdisjoint(own) or "header" in own:
+                head = next((w for w in reversed(own) if w not in FORM_NAMES), "")
+                says = max(says, 3 if head in NOISE_NAMES else 2 if head == "header" else 0 if NOISE_NAMES.isdisjoint(own) else 1)
+    return sorted(words), says
 
 
 def _child(parent: Element, name: str, attributes: str, at: int = 0) -> Element:
-    words = sorted({w.lower() for _, v in ATTRIBUTE.findall(attributes) for w in NAME.findall(v)}) if attributes else []
+    words, says = named(attributes) if attributes else ([], 0)
     sign = f"{name} {' '.join(words)}"
     parent.children.update(sign.encode())
     main = parent.main or name in MAIN or (name in NAMED and not MAIN_NAMES.isdisjoint(words))
-    noise = parent.noise or name in NOISE or not NOISE_NAMES.isdisjoint(words) or ((name == "header" or "header" in words) and not main)
+    noise = parent.noise or name in NOISE or says == 3 or ((name == "header" or says == 2) and not main)
+    weak = parent.weak or says == 1
     if name in ("body", "html"):
-        noise = parent.noise
+        noise, weak = parent.noise, parent.weak
     form = parent.form or (at if name == "form" else 0)
-    return Element(name, xxhash.xxh64_intdigest(sign.encode(), parent.path), noise, main, form)
+    return Element(name, xxhash.xxh64_intdigest(sign.encode(), parent.path), noise, main, weak, form)
+
 
+Block = tuple[int, int, str, bool, bool, bool]
 
-def parse(source: str, root: int = 0) -> tuple[list[tuple[int, int, str, bool, bool]], list[tuple[int, int]]]:
-    """Blocks (path, parent's path, text, noise, main) in page order, and presentations (path, children) of the elements.
+
+def parse(source: str, root: int = 0) -> tuple[list[Block], list[tuple[int, int]]]:
+    """Blocks (path, parent's path, text, noise, main, weak) in page order, and presentations (path, children) of the elements.
 
     A form is noise unless it stands around nearly all text that is not noise otherwise.
     Paths are 64-bit hashes that start from root, the host's hash. Elements that are never closed end with their parents; a paragraph ends where a block begins.
     """
-    stack = [Element("", root, False, False)]
-    blocks: list[tuple[int, int, str, bool, bool]] = []
+    stack = [Element("", root)]
+    blocks: list[Block] = []
     forms: list[int] = []
     styles: list[tuple[int, int]] = []
     piece: list[str] = []
@@ -84,7 +108,7 @@ def parse(source: str, root: int = 0) -> tuple[list[tuple[int, int, str, bool, b
             piece.clear()
             if text:
                 k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name in BLOCKS), 0)
-                blocks.append((stack[k].path, stack[max(0, k - 1)].path, text, stack[-1].noise, stack[-1].main))
+                blocks.append((stack[k].path, stack[max(0, k - 1)].path, text, stack[-1].noise, stack[-1].main, stack[-1].weak))
                 forms.append(stack[-1].form)
 
     def close(down_to: int) -> None:
@@ -138,7 +162,7 @@ def parse(source: str, root: int = 0) -> tuple[list[tuple[int, int, str, bool, b
         for b, f in zip(blocks, forms, strict=True):
             held[f] = held.get(f, 0) + (0 if b[3] else len(b[2]))
         whole = NEARLY_ALL * sum(held.values())
-        blocks = [(p, q, t, n or (f > 0 and held[f] < whole), k) for (p, q, t, n, k), f in zip(blocks, forms, strict=True)]
+        blocks = [(p, q, t, n or (f > 0 and held[f] < whole), k, w) for (p, q, t, n, k, w), f in zip(blocks, forms, strict=True)]
     return blocks, styles
 
 
@@ -155,11 +179,11 @@ def _hash(text: str) -> int:
     return _signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")))
 
 
-PARSED = "key long, host long, page long, blocks array<struct<path:long,parent:long,content:long,open:boolean>>, styles array<struct<path:long,style:long>>"
+PARSED = "key long, host long, page long, blocks array<struct<path:long,parent:long,content:long,open:boolean,weak:boolean>>, styles array<struct<path:long,style:long>>"
 
 
 def _parse(batches):
-    block = pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("content", pa.int64()), ("open", pa.bool_())])
+    block = pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("content", pa.int64()), ("open", pa.bool_()), ("weak", pa.bool_())])
     style = pa.struct([("path", pa.int64()), ("style", pa.int64())])
     for batch in batches:
         hosts, pages, blocks, styles = [], [], [], []
@@ -168,7 +192,7 @@ def _parse(batches):
             own, shown = parse(source or "", root)
             hosts.append(_signed(root))
             pages.append(_hash(source or ""))
-            blocks.append([{"path": _signed(p), "parent": _signed(q), "content": _hash(t), "open": not n} for p, q, t, n, _ in own])
+            blocks.append([{"path": _signed(p), "parent": _signed(q), "content": _hash(t), "open": not n, "weak": w} for p, q, t, n, _, w in own])
             styles.append([{"path": _signed(p), "style": _signed(x)} for p, x in shown])
         yield pa.record_batch([batch.column("key"), pa.array(hosts), pa.array(pages), pa.array(blocks, pa.list_(block)), pa.array(styles, pa.list_(style))], ["key", "host", "page", "blocks", "styles"])
 
@@ -193,17 +217,18 @@ def style_tree(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def low_branches(parsed: DataFrame, least: float = LEAST) -> DataFrame:
     """(path, importance) of the text nodes that may be too low on some page, menus and the like left out. A host of one page has one row instead, of path ~host and importance least."""
     contents, styles = style_tree(parsed)
-    open_nodes = parsed.select("host", F.explode("blocks").alias("b")).where("b.open").select("host", "b.path", "b.parent").distinct()
+    open_nodes = parsed.select("host", F.explode("blocks").alias("b")).where("b.open").select("host", "b.path", "b.parent", "b.weak").distinct()
     alone = parsed.groupBy("host").agg((F.min("page") == F.max("page")).alias("alone"))
     several = open_nodes.join(alone.where("NOT alone"), "host", "left_semi")
     weighed = several.join(contents, "path").join(styles.withColumnRenamed("path", "parent"), "parent", "left")
     importance = CONTENT_SHARE * F.col("content") + (1 - CONTENT_SHARE) * F.coalesce("presentation", F.lit(1.0))
-    low = weighed.groupBy("path").agg(F.min(importance).alias("importance")).where(F.col("importance") < least - OUTSIDE)
+    low = weighed.groupBy("path").agg(F.min(importance).alias("importance"), F.max("weak").alias("weak"))
+    low = low.where(F.col("importance") < least - OUTSIDE + F.when(F.col("weak"), NAMED_ONLY).otherwise(0.0)).select("path", "importance")
     return low.union(alone.where("alone").select(F.bitwise_not("host"), F.lit(least)))
 
 
-def kept_text(source: str, root: int, low: np.ndarray, importance: np.ndarray | None = None, least: float = LEAST) -> str:
-    """The page's text without the branches whose names or importance are low; low: sorted paths, of importance 0 if that is not given.
+def weighed(source: str, root: int, low: np.ndarray, importance: np.ndarray | None = None) -> tuple[list[Block], np.ndarray]:
+    """The page's blocks that names leave open, and the importance of each; low: sorted paths, of importance 0 if that is not given.
 
     Branches with an article's name are the page's article only if they hold the larger share of its important text.
     """
@@ -214,11 +239,18 @@ def kept_text(source: str, root: int, low: np.ndarray, importance: np.ndarray |
         at = np.minimum(np.searchsorted(low, paths), len(low) - 1)
         told = np.where(low[at] == paths, 0.0 if importance is None else importance[at], 1.0)
         weight = told[:-1] if told[-1] == 1 else np.full(len(blocks), told[-1])
+    weight = weight - NAMED_ONLY * np.array([b[5] for b in blocks], bool)
     inside = np.array([b[4] for b in blocks], bool)
     important = weight * np.array([len(b[2]) for b in blocks])
     if 2 * important[inside].sum() > important.sum():
         weight = weight + np.where(inside, INSIDE, OUTSIDE)
-    return "\n".join(b[2] for b, w in zip(blocks, weight.tolist(), strict=True) if w >= least)
+    return blocks, weight
+
+
+def kept_text(source: str, root: int, low: np.ndarray, importance: np.ndarray | None = None, least: float = LEAST) -> str:
+    """The page's text without the branches whose names or importance are low."""
+    blocks, weight = weighed(source, root, low, importance)
+    return "\n".join(b[2] for b, w in zip(blocks, weight.tolist(), strict=True) if w >= least - 1e-9)
 
 
 def main_texts(pages: DataFrame, least: float = LEAST, at_once: int = 4_000_000) -> DataFrame:
