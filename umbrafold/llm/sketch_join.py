@@ -11,7 +11,7 @@ each shingle goes with each candidate and rules most of the wrong ones out by it
 The number of words follows the size band
 (bands grow fourfold; a set close to the upper edge of its band also joins the next one).
 The common order puts words that few sets hold first, by counts over the whole corpus in a table of fixed
-size; it affects cost alone, since any order gives all pairs. Candidates are verified exactly.
+size, which follows the number of documents; it affects cost alone, since any order gives all pairs. Candidates are verified exactly.
 
 A word held by very many sets gathers, within each batch of rows, at one of them, so no task
 receives a row per holder. These holders are compared with each other later, in blocks of bounded size: all of
@@ -31,10 +31,11 @@ from pyspark.sql import functions as F
 from umbrafold.llm.common import WordHashes, column_bytes, mixed, shingle_set, signed, slices, staged
 from umbrafold.llm.components import connected_components
 
-DF_BITS = 19
+LEAST_BITS, MOST_BITS = 19, 21  # of the table of counts
 REPEATED = 64  # what a sketch word counts more for each holder beside others of the same batch
 SMALL_GROUP = 64
 PARITY_LONGS = 16
+SALTS = 32  # parts of a frequent key's holders before they are dealt to blocks
 BLOCK = 1000  # holders of a frequent key that meet as many others in one group of the join
 
 
@@ -90,8 +91,9 @@ def _digest(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def _bucket(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(64 - DF_BITS)).astype(np.int64)
+def _bucket(keys: np.ndarray, size: int) -> np.ndarray:
+    """Places of keys in a table of `size` counts, a power of two."""
+    return (keys >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
 def _add_counts(counts: np.ndarray, keys: np.ndarray, part: int = 250_000) -> None:
@@ -104,39 +106,43 @@ def _add_counts(counts: np.ndarray, keys: np.ndarray, part: int = 250_000) -> No
         own = keys[at:to]
         first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
         times = np.diff(np.append(first, len(own)))
-        np.add.at(counts, _bucket(own[first]), np.where(times > 1, times * REPEATED, 1))
+        np.add.at(counts, _bucket(own[first], len(counts)), np.where(times > 1, times * REPEATED, 1))
         at = to
 
 
-def _describe(batches):
-    """For each document its set's size, digest and short sketch; at the end of a partition, how often sketch words of each bucket occur."""
-    hashes, seen, counts = WordHashes(), set(), np.zeros(1 << DF_BITS, np.int64)
-    names = ["doc_id", "n_shingles", "hi", "lo", "sketch", "parity", "buckets", "counts"]
-    for batch in batches:
-        n, hi, lo, sketch, parity, held = [], [], [], [], [], []
-        for text in column_bytes(batch, "text"):
-            s = shingle_set(text, hashes)
-            d = _digest(s)
-            n.append(len(s))
-            hi.append(int.from_bytes(d[:8], "little", signed=True))
-            lo.append(int.from_bytes(d[8:], "little", signed=True))
-            numbers = mixed(s)
-            sketch.append(short_sketch(numbers))
-            parity.append(parity_bits(numbers))
-            if len(s) and d not in seen:
-                seen.add(d)
-                held.append(sketch_keys(s, numbers)[0])
-        if held:
-            keys = np.concatenate(held)
-            held.clear()
-            keys.sort()
-            _add_counts(counts, keys)
-        none = pa.nulls(len(n), pa.list_(pa.int64()))
-        yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sketch, pa.binary()), pa.array(parity, pa.list_(pa.int64())), none, none], names)
-    full = np.flatnonzero(counts)
-    for at in range(0, len(full), 1 << 16):
-        one, none, some = pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), full[at : at + (1 << 16)]
-        yield pa.record_batch([one, one, one, one, pa.nulls(1, pa.binary()), none, pa.array([some]), pa.array([counts[some]])], names)
+def _describe(size: int):
+    """For each document its set's size, digest and short sketch; at the end of a partition, how often sketch words of each of `size` buckets occur."""
+
+    def run(batches):
+        hashes, seen, counts = WordHashes(), set(), np.zeros(size, np.int64)
+        names = ["doc_id", "n_shingles", "hi", "lo", "sketch", "parity", "buckets", "counts"]
+        for batch in batches:
+            n, hi, lo, sketch, parity, held = [], [], [], [], [], []
+            for text in column_bytes(batch, "text"):
+                s = shingle_set(text, hashes)
+                d = _digest(s)
+                n.append(len(s))
+                hi.append(int.from_bytes(d[:8], "little", signed=True))
+                lo.append(int.from_bytes(d[8:], "little", signed=True))
+                numbers = mixed(s)
+                sketch.append(short_sketch(numbers))
+                parity.append(parity_bits(numbers))
+                if len(s) and d not in seen:
+                    seen.add(d)
+                    held.append(sketch_keys(s, numbers)[0])
+            if held:
+                keys = np.concatenate(held)
+                held.clear()
+                keys.sort()
+                _add_counts(counts, keys)
+            none = pa.nulls(len(n), pa.list_(pa.int64()))
+            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sketch, pa.binary()), pa.array(parity, pa.list_(pa.int64())), none, none], names)
+        full = np.flatnonzero(counts)
+        for at in range(0, len(full), 1 << 16):
+            one, none, some = pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), full[at : at + (1 << 16)]
+            yield pa.record_batch([one, one, one, one, pa.nulls(1, pa.binary()), none, pa.array([some]), pa.array([counts[some]])], names)
+
+    return run
 
 
 def _emit(shared):
@@ -154,7 +160,7 @@ def _emit(shared):
                     continue
                 seen.add(d)
                 keys, first = sketch_keys(s, mixed(s))
-                count = df[_bucket(keys)]
+                count = df[_bucket(keys, len(df))]
                 differ, chosen, often, places, earlier = len(s) // 3, [], [], [], []
                 for at, to, (band, _) in zip((0, first), (first, len(keys)), band_words(len(s)), strict=False):
                     k, c = keys[at:to], count[at:to]
@@ -287,9 +293,10 @@ def jaccard_components(documents: DataFrame, count_links: bool = True) -> DataFr
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    told = staged(docs.mapInArrow(_describe, "doc_id long, n_shingles long, hi long, lo long, sketch binary, parity array<long>, buckets array<long>, counts array<long>"), "described")
-    counts = told.where("buckets IS NOT NULL").select(F.inline(F.arrays_zip("buckets", "counts"))).groupBy("buckets").agg(F.sum("counts").alias("n")).toArrow()  # at most 2 ** DF_BITS rows
-    df = np.zeros(1 << DF_BITS, np.int64)
+    size = 1 << min(MOST_BITS, max(LEAST_BITS, docs.count().bit_length() + 1))
+    told = staged(docs.mapInArrow(_describe(size), "doc_id long, n_shingles long, hi long, lo long, sketch binary, parity array<long>, buckets array<long>, counts array<long>"), "described")
+    counts = told.where("buckets IS NOT NULL").select(F.inline(F.arrays_zip("buckets", "counts"))).groupBy("buckets").agg(F.sum("counts").alias("n")).toArrow()  # at most 2 ** MOST_BITS rows
+    df = np.zeros(size, np.int64)
     df[counts["buckets"].to_numpy()] = counts["n"].to_numpy()
     usual = float(np.median(df))
     shared = spark.sparkContext.broadcast((df, usual + 6 * usual**0.5 + 16 * REPEATED))
@@ -315,8 +322,9 @@ def jaccard_components(documents: DataFrame, count_links: bool = True) -> DataFr
     apart = hot.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("holders"))
     apart = apart.where("holders > 1" if count_links else "c0 <> c1").select("key", F.ceil(F.col("holders") / BLOCK).cast("int").alias("parts"))
     reps = sizes.where("doc_id = rep").select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), *[F.get("parity", F.lit(k)).alias(f"p{k}") for k in range(PARITY_LONGS)]).dropDuplicates(["id"])
-    # holders of block i meet those of block j in group (i, j), i <= j
-    own = hot.join(apart, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    # holders of block i meet those of block j in group (i, j), i <= j; a key's holders come to their blocks in SALTS parts, so no task gets all of them
+    salted = apart.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = hot.withColumn("salt", F.pmod(F.xxhash64("id", "key"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     own = own.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("parts", "other")
     left = staged(own.join(reps, "id"), "apart")
