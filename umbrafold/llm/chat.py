@@ -3,13 +3,13 @@
 A template is any function from a list of (role, text) to a string. Its output is not trusted to have any
 form: the turns' spans are found by rendering successive prefixes and comparing consecutive outputs, and the part of a
 span that is the turn's text by rendering the same turn with two probe texts. A template whose longer output
-does not start with the shorter one rewrites history, which is reported.
+does not start with the shorter one rewrites history, which is reported; there the texts' spans are found again in the whole output, by probes of each turn in it.
+What a turn costs beside the template is comparing outputs as memory; the default template keeps the turns it has rendered.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Callable
 
@@ -35,9 +35,30 @@ def unescape(text: str) -> str:
     return ESCAPED.sub(r"\1", text)
 
 
+class _Rendered(dict):
+    """Rendered turns, dropped when they hold more than `room` characters."""
+
+    room = 8_000_000
+
+    def __init__(self):
+        self.chars = 0
+
+    def __missing__(self, turn: Turn) -> str:
+        if self.chars > self.room:
+            self.clear()
+            self.chars = 0
+        role, text = turn
+        out = self[turn] = f"{HEADER}{escape(role)}{END}\n{escape(text)}{END}\n"
+        self.chars += len(out) + len(text)
+        return out
+
+
+_rendered = _Rendered()
+
+
 def marked_turns(turns: list[Turn]) -> str:
     """The default template: for each turn a header with its role, an end mark, its text and an end mark."""
-    return "".join(f"{HEADER}{escape(role)}{END}\n{escape(text)}{END}\n" for role, text in turns)
+    return "".join(map(_rendered.__getitem__, turns))
 
 
 def read_turns(formatted: str) -> list[Turn]:
@@ -52,26 +73,53 @@ def read_turns(formatted: str) -> list[Turn]:
     return [(unescape(head[len(HEADER) :]), unescape(text)) for head, text in zip(parts[::2], parts[1::2], strict=True)]
 
 
-def _common(x: str, y: str) -> int:
-    return len(os.path.commonprefix((x, y)))
+def _common(x: str, y: str, hint: int = 0) -> int:
+    """Length of the common prefix, sought from `hint` on if the strings agree so far; halves are compared as memory."""
+    low = hint if x[:hint] == y[:hint] else 0
+    high, step = min(len(x), len(y)), 64
+    low = min(low, high)
+    while low < high:
+        to = min(high, low + step)
+        if x[low:to] == y[low:to]:
+            low, step = to, step * 2
+        elif to - low == 1:
+            return low
+        else:
+            step = (to - low) // 2
+            high = to
+    return low
+
+
+def _text_span(x: str, y: str, size: int, hint: int) -> tuple[int, int]:
+    """Where the text stands in an output of `size`; x and y: the same with the probes a and b instead. Outputs without the text give an empty span."""
+    if x == y:
+        return 0, 0
+    head = _common(x, y, hint)
+    tail = _common(x[: head - len(x) - 1 : -1], y[: head - len(y) - 1 : -1])
+    return head, max(head, size - tail)
 
 
 def locate_turns(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int, int, int, int]], bool]:
     """The whole rendering; for each turn its span and its text's span (start, end, text_start, text_end); whether the template rewrites history.
 
-    A prefix's rendering counts as kept if the next one starts with it. Where it does not, the spans hold from the first
-    character that differs.
+    A prefix's rendering counts as kept if the next one starts with it. Where a template rewrites history, a prefix's offsets say nothing about the whole
+    output, so each turn is probed there once more and its span is that of its text; a turn that is not shown has an empty one.
     """
     before, spans, rewrites = template([]), [], False
-    for k, (role, text) in enumerate(turns):
+    for k, (role, _) in enumerate(turns):
         now = template(turns[: k + 1])
         kept = len(before) if now.startswith(before) else _common(before, now)
         rewrites |= kept < len(before)
         x, y = template([*turns[:k], (role, "a")]), template([*turns[:k], (role, "b")])
-        head = _common(x, y)
-        tail = _common(x[: head - len(x) - 1 : -1], y[: head - len(y) - 1 : -1])
-        spans.append((min(kept, head), len(now), head, max(head, len(now) - tail)))
+        start, end = _text_span(x, y, len(now), kept)
+        spans.append((min(kept, start), len(now), start, end))
         before = now
+    if rewrites:
+        spans = []
+        for k, (role, _) in enumerate(turns):
+            x, y = (template([*turns[:k], (role, probe), *turns[k + 1 :]]) for probe in "ab")
+            start, end = _text_span(x, y, len(before), 0)
+            spans.append((start, end, start, end))
     return before, spans, rewrites
 
 
@@ -80,11 +128,13 @@ def format_conversations(conversations: DataFrame, template: Template = marked_t
 
     spans has for each turn (start, end, text_start, text_end, in_loss), in code points; in_loss is whether the role is
     one of `trained`, and the loss mask is the text spans of these turns. Turns stand by turn, then role, then text; a null turn comes first; null roles and texts are empty;
-    repeated rows are turns of their own; rows with a null conv_id make up one conversation. Other columns are ignored. A conversation is one value of its
+    repeated rows are turns of their own; each row with a null conv_id is a conversation of its own. Other columns are ignored. A conversation is one value of its
     result, so it has to fit into a task's memory, as any single text does.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    conv = F.col("conv_id").cast("long").alias("conv_id")
+    alone = conversations.where("conv_id IS NULL").select(conv, F.array(turn).alias("turns"))
+    whole = conversations.where("conv_id IS NOT NULL").groupBy(conv).agg(F.sort_array(F.collect_list(turn)).alias("turns")).union(alone)  # a conversation's turns
 
     def run(batches):
         kind = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("text_start", pa.int64()), ("text_end", pa.int64()), ("in_loss", pa.bool_())])
