@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import importlib
 import re
 
 from fixtures import shingles
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from umbrafold.llm.common import staged
@@ -26,6 +26,8 @@ def test_stages(spark, sf):
     before, after = rows["toxicity"]
     kept = {r["doc_id"] for r in after}
     assert all(i in kept for i in before if labels.get(i) == 0)
+    toxic = [i for i in before if labels.get(i) == 1]
+    assert len(toxic) > 3 and sum(i in kept for i in toxic) <= 0.1 * len(toxic)
 
     before, after = rows["near_duplicates"]
     sets = {i: shingles(t) for i, t in before.items()}
@@ -45,17 +47,38 @@ def test_stages(spark, sf):
 
     before, after = rows["secret_scans"]
     assert {r["doc_id"] for r in after} == set(before)
-    assert not any(re.search(r"(?<![0-9a-f])[0-9a-f]{16}", r["text"]) for r in after)
+    assert not any(re.search(r"(?<![0-9a-f])[0-9a-f]{16}|AKIA[A-Z0-9]{14}", r["text"]) for r in after)
+    assigned = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{12,})""")
+    assert not any(assigned.search(r["text"]) for r in after) and any(assigned.search(t) for t in before.values())
+    untouched = {r["doc_id"]: r["text"] for r in after if "[SECRET]" not in r["text"]}
+    assert all(before[i] == t for i, t in untouched.items()) and len(untouched) > 0.5 * len(before)
     assert all(r["n_chars"] == len(r["text"]) for r in after)
 
     before, after = rows["packing"]
     assert {r["doc_id"] for r in after} == set(before)
+    places, ends = {}, {}
+    for r in after:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        ends.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+    for parts in (*places.values(), *ends.values()):
+        at = 0
+        for start, length in sorted(parts):
+            assert start == at
+            at += length
+    assert all(sum(n for _, n in parts) <= 2048 for parts in places.values())
 
 
-def test_rest_works_without_this_part(monkeypatch):
-    import __spark_entry__ as entry
-
-    found = importlib.util.find_spec
-    assert "pipeline" in entry.queries()
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name.startswith(("umbrafold.llm", "corpus_pipeline")) else found(name, *a))
-    assert entry.queries() and not any(n.startswith("op") or n == "pipeline" for n in entry.queries())
+def test_stages_take_odd_rows(spark, sf):
+    """Null ids and texts, repeated rows, extra columns with the stages' own names, and no rows at all."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("n_chars < 2000").limit(40)
+    odd = docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")).union(docs.limit(2).withColumn("text", F.lit(None).cast("string"))).union(docs.limit(2)).union(docs.limit(2).withColumn("text", F.lit("")))
+    more = staged(docs.union(odd).withColumns({c: F.lit("x") for c in ("hit_id", "other_id", "own_hash", "other_hash", "hidden", "h", "m", "linked", "rep", "key", "label")}), "odd")
+    now = more
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, more.limit(0), sf)
+        assert empty.count() == 0
+        now = staged(stage(spark, now, sf), name)
+        assert now.count() > 0
+        if name != "packing":
+            assert now.columns == more.columns == empty.columns
+            assert now.where("doc_id IS NULL").count() == 3  # these rows can't be named by another and none of them is toxic

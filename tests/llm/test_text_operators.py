@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -37,7 +38,21 @@ def test_rewriting_templates_are_detected():
     turns = [("user", "one"), ("assistant", "two"), ("user", "three")]
     assert chat.locate_turns(turns, last_marked)[2] and chat.locate_turns(turns, only_two)[2]
     formatted, spans, rewrites = chat.locate_turns(turns, last_marked)
-    assert formatted[spans[2][2] : spans[2][3]] == "three"
+    assert [formatted[c:d] for _, _, c, d in spans] == ["one", "two", "three"]
+    formatted, spans, _ = chat.locate_turns(turns, only_two)
+    assert [formatted[c:d] for _, _, c, d in spans] == ["", "two", "three"]
+
+
+def test_long_conversations_are_located_fast():
+    r = random.Random(2)
+    turns = [(("user", "assistant")[k % 2], "".join(r.choices("ab \\#", k=200))) for k in range(800)]
+    began = time.time()
+    formatted, spans, rewrites = chat.locate_turns(turns, chat.marked_turns)
+    assert time.time() - began < 3 and not rewrites
+    assert [chat.unescape(formatted[c:d]) for _, _, c, d in spans] == [t for _, t in turns]
+    for x, y in (("", ""), ("abc", "abd"), ("abc", "abc"), ("a" * 5000 + "x", "a" * 5000 + "y"), ("b", "a")):
+        plain = next((k for k, (i, j) in enumerate(zip(x, y, strict=False)) if i != j), min(len(x), len(y)))
+        assert all(chat._common(x, y, hint) == plain for hint in (0, 1, 100))
 
 
 def test_format_conversations(spark):
@@ -70,6 +85,23 @@ def test_fingerprints(spark):
     assert edit_embedding.fingerprints(odd).count() == 4 and edit_embedding.fingerprints(odd.limit(0)).count() == 0
 
 
+def test_walk_equals_a_plain_loop():
+    """Character by character, one text at a time, whatever the lengths of the texts beside it."""
+    r = random.Random(13)
+    texts = ["".join(r.choices("abcdé 语", k=n)) for n in (0, 1, 2, 63, 64, 130, 700, 3000, 9000)]
+    for text, got in zip(texts, edit_embedding.walk([edit_embedding.codes(t) for t in texts]), strict=True):
+        c, at, step, written = edit_embedding.codes(text), 0, 0, {}
+        while at < len(c):
+            written[step] = int(edit_embedding.DIGITS[c[at]])
+            at += int(edit_embedding.MOVES[step % edit_embedding.PERIOD, c[at]])
+            step += 1
+        octaves = range(6, max(step - 1, 1).bit_length() if step > 64 else 7) if len(c) else range(0)
+        kept = list(octaves)[-edit_embedding.OCTAVES :]
+        assert sorted(got) == kept
+        for k in kept:
+            assert got[k].tolist() == [written.get(s, 0) for s in edit_embedding.sampled_steps(k).tolist()]
+
+
 def test_likeness_falls_with_edits():
     r, text = random.Random(2), " ".join(words(4, 700))
     scores = []
@@ -253,6 +285,8 @@ def test_severity_is_ordered_and_holds_out(spark):
     assert np.corrcoef([x["expected_severity"] for x, _ in held], [g for _, g in held])[0, 1] > 0.9
     kept = ordinal.keep_harmless(docs, model)
     assert kept.columns == docs.columns and kept.count() == sum(not x["toxic"] for x in got)
+    labels = graded.select("doc_id", (F.col("grade") > 0).cast("int").alias("toxic"))
+    assert len(ordinal.train_from_labels(docs, labels, often=3).thresholds) == 2 and len(ordinal.train_from_labels(docs, labels, often=10**9).thresholds) == 1
     clean = ordinal.train_severity(docs, graded.where("grade = 0"))
     assert ordinal.keep_harmless(docs, clean).count() == 604
     assert ordinal.score_severity(docs.limit(0), model).count() == 0

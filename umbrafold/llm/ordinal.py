@@ -101,33 +101,40 @@ def _document_features(batches):
         yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], ["grade", "features"])
 
 
-def train_severity(documents: DataFrame, graded: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES) -> OrdinalModel:
-    """documents(doc_id, text) and graded(doc_id, grade from 0, null rows ignored) to a model.
-
-    The sample is the graded rows that come first by a hash of doc_id, `sample_rows` at most. Grades above 1 may be
-    absent; if no row is graded above 0, the model rejects nothing.
-    """
+def labelled_texts(documents: DataFrame, graded: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, grade, text), written: the graded rows that come first by a hash of doc_id, `sample_rows` at most, with their texts."""
     sample = graded.where("doc_id IS NOT NULL AND grade IS NOT NULL").select(F.col("doc_id").alias("graded_id"), F.col("grade").cast("int").alias("grade"))
     sample = sample.orderBy(F.xxhash64("graded_id"), "graded_id", "grade").limit(sample_rows)
-    texts = documents.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("graded_id")).select("grade", "text")  # sample_rows rows
-    texts = staged(texts, "labelled")
-    used = texts.mapInArrow(_document_features, "grade int, features array<string>").select("grade", F.explode("features").alias("feature"))
+    texts = documents.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("graded_id"))  # sample_rows rows
+    return staged(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "grade", "text"), "labelled")
+
+
+def severity_terms(texts: DataFrame, features: int = FEATURES) -> dict[str, int]:
+    """The features that texts of grades above 0 use more, at most `features`, the surest first and by name at a tie; none if the grades don't differ."""
+    used = texts.select("grade", "text").mapInArrow(_document_features, "grade int, features array<string>").select("grade", F.explode("features").alias("feature"))
     sizes = texts.agg(F.count("*").alias("n"), F.sum((F.col("grade") > 0).cast("long")).alias("p")).first()
     if not sizes["p"] or sizes["p"] == sizes["n"]:
-        return OrdinalModel({}, np.zeros(0), np.array([np.inf if not sizes["p"] else -np.inf]))
+        return {}
     counts = used.groupBy("feature").agg(F.sum((F.col("grade") > 0).cast("long")).alias("a"), F.sum((F.col("grade") == 0).cast("long")).alias("b"))
     expected = F.col("b") * F.lit(sizes["p"] / (sizes["n"] - sizes["p"]))
     z = (F.col("a") - expected) / F.sqrt(F.col("a") + expected + 1)
     best = counts.select("feature", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(features).collect()
-    known = {r["feature"]: k for k, r in enumerate(best)}
+    return {r["feature"]: k for k, r in enumerate(best)}
+
+
+def fitted(texts: DataFrame, known: dict[str, int], often: int = 0) -> OrdinalModel:
+    """The model of labelled_texts() on known features. often: a grade of 1 becomes 2 where one feature occurs that often; 0 leaves grades as they are."""
 
     def rows_of(batches):
         table = Known(known)
         for batch in batches:
             found = [counted(t, table) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("grade"), pa.array([list(x) for x in found], pa.list_(pa.int32())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))], ["grade", "at", "n"])
+            grade = [g + (g == 1 and 0 < often <= max(x.values(), default=0)) for g, x in zip(batch.column("grade").to_pylist(), found, strict=True)]
+            yield pa.record_batch([pa.array(grade, pa.int32()), pa.array([list(x) for x in found], pa.list_(pa.int32())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))], ["grade", "at", "n"])
 
-    gathered = texts.mapInArrow(rows_of, "grade int, at array<int>, n array<int>").collect()  # sample_rows rows
+    gathered = texts.select("grade", "text").mapInArrow(rows_of, "grade int, at array<int>, n array<int>").collect()  # sample_rows rows
+    if len({r["grade"] > 0 for r in gathered}) < 2:
+        return OrdinalModel({}, np.zeros(0), np.array([-np.inf if any(r["grade"] > 0 for r in gathered) else np.inf]))
     rows = sorted(Counter((r["grade"], *sorted(zip(r["at"], r["n"], strict=True))) for r in gathered).items())
     x, grade, times = np.zeros((len(rows), len(known))), np.array([r[0][0] for r in rows]), np.array([float(r[1]) for r in rows])
     for k, ((_, *found), _) in enumerate(rows):
@@ -137,24 +144,24 @@ def train_severity(documents: DataFrame, graded: DataFrame, sample_rows: int = S
     return OrdinalModel(known, weights, thresholds)
 
 
-def graded_by_terms(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, often: int = 4) -> DataFrame:
-    """Grades 0 to 2 from labels(doc_id, toxic 0 or 1) alone: 0 not toxic, 1 toxic, 2 toxic with a term of toxic documents `often` times or more.
+def train_severity(documents: DataFrame, graded: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES) -> OrdinalModel:
+    """documents(doc_id, text) and graded(doc_id, grade from 0, null rows ignored) to a model.
 
-    The terms are those that train_severity picks for the binary labels. Null labels are left out.
+    The sample is the graded rows that come first by a hash of doc_id, `sample_rows` at most. Grades above 1 may be
+    absent; if no row is graded above 0, the model rejects nothing.
     """
-    binary = labels.where("toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("grade"))
-    sample = binary.where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample_rows)
-    known = train_severity(documents, binary, sample_rows).features
+    texts = labelled_texts(documents, graded, sample_rows)
+    return fitted(texts, severity_terms(texts, features))
 
-    def regrade(batches):
-        table = Known(known)
-        for batch in batches:
-            most = [max(counted(t, table).values(), default=0) for t in batch.column("text").to_pylist()]
-            grade = [g and 1 + (n >= often) for g, n in zip(batch.column("grade").to_pylist(), most, strict=True)]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(grade, pa.int32())], ["doc_id", "grade"])
 
-    texts = documents.select("doc_id", "text").join(F.broadcast(sample.withColumnRenamed("doc_id", "graded_id")), F.col("doc_id") == F.col("graded_id")).select("doc_id", "grade", "text")
-    return staged(texts.mapInArrow(regrade, "doc_id long, grade int"), "graded")
+def train_from_labels(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, often: int = 4) -> OrdinalModel:
+    """A model from labels(doc_id, toxic 0 or 1) alone, graded 0 to 2: not toxic, toxic, and toxic with a term of toxic documents `often` times or more.
+
+    The terms are the model's own features, chosen once. Null labels are left out.
+    """
+    binary = labels.where("toxic IS NOT NULL").select("doc_id", F.least(F.col("toxic").cast("int"), F.lit(1)).alias("grade"))
+    texts = labelled_texts(documents, binary, sample_rows)
+    return fitted(texts, severity_terms(texts), often)
 
 
 def score_severity(documents: DataFrame, model: OrdinalModel) -> DataFrame:

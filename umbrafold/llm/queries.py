@@ -13,7 +13,7 @@ from umbrafold.llm.common import table
 from umbrafold.llm.decontaminate import contained_items
 from umbrafold.llm.edit_embedding import fingerprints
 from umbrafold.llm.hmm import language_model_scores
-from umbrafold.llm.ordinal import graded_by_terms, score_severity, train_severity
+from umbrafold.llm.ordinal import score_severity, train_from_labels
 from umbrafold.llm.packing import pack_documents
 from umbrafold.llm.pii import digest, personal_spans
 from umbrafold.llm.secrets import report, secret_spans
@@ -60,7 +60,7 @@ def op8_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return score_severity(docs, train_severity(docs, graded_by_terms(docs, labels)))
+    return score_severity(docs, train_from_labels(docs, labels))
 
 
 def op10_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
