@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from umbrafold.llm.common import fresh, staged, table
 from umbrafold.llm.decontaminate import clean_documents
-from umbrafold.llm.ordinal import graded_by_terms, keep_harmless, train_severity
+from umbrafold.llm.ordinal import keep_harmless, train_from_labels
 from umbrafold.llm.packing import pack_documents
 from umbrafold.llm.secrets import redacted
 from umbrafold.llm.sketch_join import jaccard_components
@@ -16,8 +16,7 @@ from umbrafold.llm.sketch_join import jaccard_components
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model, fitted on the labelled ones among them, takes for toxic go."""
-    labels = table(spark, sf_dir, "labels")
-    return keep_harmless(docs, train_severity(docs, graded_by_terms(docs, labels)))
+    return keep_harmless(docs, train_from_labels(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +49,17 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_rest_works_without_the_text_operators(tmp_path):
+    """A copy of the repository without the text operators, their tests and the pipeline imports, and registers all other queries."""
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root, tmp_path / "copy", ignore=lambda folder, names: [n for n in names if n in (".git", "llm", "corpus_pipeline.py", "__pycache__")])
+    code = "import __spark_entry__ as e, umbrafold; q = e.queries(); assert set(e.oracle_sql()) <= set(q); assert not any(n.startswith('op1') or n == 'pipeline' for n in q); print(umbrafold.__file__, len(q))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+    where, n = done.stdout.split()
+    assert where.startswith(str(tmp_path)) and int(n) == len(registry.queries())
+
+
 def test_tracks_use_every_event(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp"))).alias("t"))
     got = registry.queries()["keyframe_tracks"](spark, sf)
