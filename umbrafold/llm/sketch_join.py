@@ -35,7 +35,8 @@ LEAST_BITS, MOST_BITS = 19, 21  # of the table of counts
 REPEATED = 64  # what a sketch word counts more for each holder beside others of the same batch
 SMALL_GROUP = 64
 PARITY_LONGS = 16
-SALTS = 32  # parts of a frequent key's holders before they are dealt to blocks
+LARGE, SALTS = 256, 32  # groups of more rows than LARGE are joined in SALTS parts
+MOST_LARGE = 1_000_000  # groups of that kind whose keys go to every task; beyond it they are joined unsalted and adaptive execution splits them
 BLOCK = 1000  # holders of a frequent key that meet as many others in one group of the join
 
 
@@ -282,6 +283,18 @@ def _verified(docs: DataFrame, sizes: DataFrame, pairs: DataFrame) -> DataFrame:
     return staged(linked.select("a", "b").distinct(), "links")
 
 
+def _join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, spread: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with groups(on, size, ...), which holds a row for each group; the rows of a large one come in SALTS parts, by a hash of `spread`."""
+    large = groups.where(F.col(size) > LARGE).select(*on, F.lit(True).alias("is_large"))
+    if large.count() > MOST_LARGE:
+        return rows.join(groups, on, how)
+    many = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    dealt = groups.withColumn("salt", F.explode(F.when(F.col(size) > LARGE, many).otherwise(F.array(F.lit(0)))))
+    marked = rows.join(F.broadcast(large), on, "left")  # at most MOST_LARGE rows
+    marked = marked.withColumn("salt", F.when(F.col("is_large"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    return marked.join(dealt, [*on, "salt"], how).drop("salt", "is_large")
+
+
 def jaccard_components(documents: DataFrame, count_links: bool = True) -> DataFrame:
     """documents(doc_id long, text, ...) to (doc_id, n_shingles, component_id, n_links); without count_links, n_links is left out.
 
@@ -302,8 +315,8 @@ def jaccard_components(documents: DataFrame, count_links: bool = True) -> DataFr
     shared = spark.sparkContext.broadcast((df, usual + 6 * usual**0.5 + 16 * REPEATED))
 
     known = told.where("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "hi", "lo", "sketch", "parity")
-    first = known.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
-    whole = staged(known.join(first, ["hi", "lo"], "left").select("doc_id", "n_shingles", "sketch", "parity", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "sets_of")
+    first = staged(known.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "first")
+    whole = staged(_join_groups(known, first, ["hi", "lo"], "copies", ["doc_id"], "left").select("doc_id", "n_shingles", "sketch", "parity", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "sets_of")
     sizes = whole.where("n_shingles > 0 AND doc_id IS NOT NULL").distinct()
 
     keys = docs.mapInArrow(_emit(shared), "key long, doc_id long, info long, before long, hub long")
@@ -320,13 +333,13 @@ def jaccard_components(documents: DataFrame, count_links: bool = True) -> DataFr
     hot = hot.join(sizes, "doc_id").groupBy("key", F.col("rep").alias("id")).agg(F.min("place").alias("place"), F.max("before").alias("before"))
     hot = staged(hot.join(found, "id", "left").select("key", "id", "place", "before", F.coalesce("component", "id").alias("c")), "hot")
     apart = hot.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("holders"))
-    apart = apart.where("holders > 1" if count_links else "c0 <> c1").select("key", F.ceil(F.col("holders") / BLOCK).cast("int").alias("parts"))
+    apart = apart.where("holders > 1" if count_links else "c0 <> c1").select("key", "holders", F.ceil(F.col("holders") / BLOCK).cast("int").alias("parts"))
+    apart = staged(apart, "frequent")
     reps = sizes.where("doc_id = rep").select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), *[F.get("parity", F.lit(k)).alias(f"p{k}") for k in range(PARITY_LONGS)]).dropDuplicates(["id"])
-    # holders of block i meet those of block j in group (i, j), i <= j; a key's holders come to their blocks in SALTS parts, so no task gets all of them
-    salted = apart.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = hot.withColumn("salt", F.pmod(F.xxhash64("id", "key"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    # holders of block i meet those of block j in group (i, j), i <= j
+    own = _join_groups(hot, apart, ["key"], "holders", ["id"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    own = own.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("parts", "other")
+    own = own.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("parts", "other", "holders")
     left = staged(own.join(reps, "id"), "apart")
     x, y = left.alias("l"), left.alias("r")
     both = F.col("l.n") + F.col("r.n")
