@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from umbrafold.plans import aggregates, effects, neighbors, pointwise, relational
+from umbrafold.plans import adjustments, aggregates, effects, neighbors, pointwise, relational
 from umbrafold.streaming import queries as streaming
 
-_ALL = aggregates.QUERIES | pointwise.QUERIES | neighbors.QUERIES | effects.QUERIES | relational.QUERIES | streaming.QUERIES
+_ALL = aggregates.QUERIES | pointwise.QUERIES | neighbors.QUERIES | effects.QUERIES | relational.QUERIES | adjustments.QUERIES | streaming.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
