@@ -12,20 +12,25 @@ The number of words follows the size band
 (bands grow fourfold; a set close to the upper edge of its band also joins the next one).
 The common order puts words that few sets hold first, by counts over the whole corpus in a table of fixed
 size, which follows the number of documents; it affects cost alone, since any order gives all pairs. Candidates are verified exactly.
+Of a text that occurs several times the first document alone gives keys, as long as it is the most frequent such text in its bucket of a table
+of bounded size; copies beside it would only bring pairs of the same two texts again.
 
 A word held by very many sets gathers, within each batch of rows, at one of them, so no task
 receives a row per holder. These holders are compared with each other later, in blocks of bounded size: all of
-them where links are counted, else only where they are not yet in one component.
+them where links are counted, else only where they are not yet in one component. Two holders that share one of the few frequent
+keys before this one in both their orders have met at that key and don't meet again.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import chain
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from umbrafold.llm.common import WordHashes, column_bytes, mixed, shingle_set, signed, slices, staged
@@ -37,6 +42,8 @@ SMALL_GROUP = 64
 PARITY_LONGS = 16
 LARGE, SALTS = 256, 32  # groups of more rows than LARGE are joined in SALTS parts
 MOST_LARGE = 1_000_000  # groups of that kind whose keys go to every task; beyond it they are joined unsalted and adaptive execution splits them
+COPIES = 1 << 18  # buckets of texts that occur several times, of each of which the most frequent one goes to every task
+EARLIER = 4  # frequent keys before one's own that tell whether a pair has met already
 BLOCK = 1000  # holders of a frequent key that meet as many others in one group of the join
 
 
@@ -146,23 +153,43 @@ def _describe(size: int):
     return run
 
 
+def _copied(first: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digests, by their first half, and first documents of texts that occur several times: of each of COPIES buckets the most frequent one."""
+    most = F.max(F.struct("copies", "hi", "lo", "rep")).alias("most")
+    rows = first.where("copies > 1 AND rep IS NOT NULL").groupBy(F.pmod(F.xxhash64("hi"), F.lit(COPIES)).alias("bucket")).agg(most)
+    table = rows.select("most.hi", "most.lo", "most.rep").orderBy("hi").toArrow()  # at most COPIES rows
+    return tuple(table[c].to_numpy() for c in ("hi", "lo", "rep"))
+
+
+def _is_copy(doc_id: int, digest: bytes, copied: tuple[np.ndarray, np.ndarray, np.ndarray]) -> bool:
+    """Whether the table names another document as the first one of the same text; one that it lacks counts as no copy."""
+    hi, lo, rep = copied
+    own, rest = np.frombuffer(digest, np.int64)
+    at = int(np.searchsorted(hi, own))
+    while at < len(hi) and hi[at] == own:
+        if lo[at] == rest:
+            return bool(rep[at] != doc_id)
+        at += 1
+    return False
+
+
 def _emit(shared):
-    """Sketch keys (key, doc_id, info, before, hub). info: the document's weight, that is how often its keys occur on average, and
-    the key's place in its order; before: for a frequent key the one before it in that order, or 0; hub: for a frequent key the document of the batch, that of most weight, at which its holders gather."""
+    """Sketch keys (key, doc_id, info, hub). info: the document's weight, that is how often its keys occur on average, and
+    the key's place in its order; hub: for a frequent key the document of the batch, that of most weight, at which its holders gather."""
 
     def run(batches):
-        df, common = shared.value
+        df, common, copied = shared.value
         hashes, seen = WordHashes(), set()
         for batch in slices(batches, 2000):
             rows, hubs = [], {}
             for i, text in zip(batch.column("doc_id").to_pylist(), column_bytes(batch, "text"), strict=True):
                 s = shingle_set(text, hashes)
-                if i is None or not len(s) or (d := _digest(s)) in seen:
+                if i is None or not len(s) or (d := _digest(s)) in seen or _is_copy(i, d, copied):
                     continue
                 seen.add(d)
                 keys, first = sketch_keys(s, mixed(s))
                 count = df[_bucket(keys, len(df))]
-                differ, chosen, often, places, earlier = len(s) // 3, [], [], [], []
+                differ, chosen, often, places = len(s) // 3, [], [], []
                 for at, to, (band, _) in zip((0, first), (first, len(keys)), band_words(len(s)), strict=False):
                     k, c = keys[at:to], count[at:to]
                     if len(k) <= differ:
@@ -171,16 +198,14 @@ def _emit(shared):
                     chosen.append(k[order])
                     often.append(c[order] > common)
                     places.append(np.arange(len(order)))
-                    earlier.append(np.concatenate(([np.uint64(0)], k[order][:-1])))
                 k, o = np.concatenate(chosen), np.concatenate(often)
                 info = (int(np.minimum(count, 4 * common).mean()) << 32) + np.concatenate(places)
                 rows.append((i, signed(k[~o]), info[~o]))
-                for x, y, z in zip(signed(k[o]).tolist(), info[o].tolist(), signed(np.concatenate(earlier)[o]).tolist(), strict=True):
-                    hubs.setdefault(x, []).append((-(y >> 32), i, y, z))
+                for x, y in zip(signed(k[o]).tolist(), info[o].tolist(), strict=True):
+                    hubs.setdefault(x, []).append((-(y >> 32), i, y))
             keys = [r[1] for r in rows]
             docs = [np.full(len(r[1]), r[0], np.int64) for r in rows]
             infos = [r[2] for r in rows]
-            before = [np.zeros(sum(map(len, keys)), np.int64)]
             to = [np.full(sum(map(len, keys)), -1, np.int64)]
             none = [np.ones(len(to[0]), bool)]
             for x, holders in hubs.items():
@@ -189,12 +214,11 @@ def _emit(shared):
                 keys.append(np.full(len(mine), x, np.int64))
                 docs.append(mine)
                 infos.append(np.array([h[2] for h in holders], np.int64))
-                before.append(np.array([h[3] for h in holders], np.int64))
                 to.append(np.full(len(mine), hub, np.int64))
                 none.append(np.zeros(len(mine), bool))
             if keys:
-                columns = [pa.array(np.concatenate(x)) for x in (keys, docs, infos, before)]
-                out = pa.record_batch([*columns, pa.array(np.concatenate(to), mask=np.concatenate(none))], ["key", "doc_id", "info", "before", "hub"])
+                columns = [pa.array(np.concatenate(x)) for x in (keys, docs, infos)]
+                out = pa.record_batch([*columns, pa.array(np.concatenate(to), mask=np.concatenate(none))], ["key", "doc_id", "info", "hub"])
                 for at in range(0, out.num_rows, 500_000):
                     yield out.slice(at, 500_000)
 
@@ -202,33 +226,33 @@ def _emit(shared):
 
 
 def _meet(batches):
-    """Rows sorted by key to candidate pairs (a, b) and holders of frequent keys (a, key, place, before)."""
+    """Rows sorted by key to candidate pairs (a, b) and holders of frequent keys (a, key, place)."""
 
-    def out(a, b, key=None, info=None, before=None):
+    def out(a, b, key=None, info=None):
         n = len(a)
-        columns = [a, b, key, None if info is None else info & 0xFFFFFFFF, before]
-        return pa.record_batch([pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64()) for x in columns], ["a", "b", "key", "place", "before"])
+        columns = [a, b, key, None if info is None else info & 0xFFFFFFFF]
+        return pa.record_batch([pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64()) for x in columns], ["a", "b", "key", "place"])
 
-    last = [np.empty(0, np.int64)] * 4
+    last = [np.empty(0, np.int64)] * 3
     big: tuple | None = None  # the last key with more rows than fit a small group, and its document of most weight
     for batch in chain(batches, [None]):
         if batch is None:
-            key, doc, info, before = last
+            key, doc, info = last
         else:
             hub = batch.column("hub")
             hot, to = np.asarray(hub.is_valid()), np.asarray(hub.fill_null(0))
-            rows = [np.asarray(batch.column(c)) for c in ("key", "doc_id", "info", "before")]
+            rows = [np.asarray(batch.column(c)) for c in ("key", "doc_id", "info")]
             away = hot & (to != rows[1])
             if hot.any():
                 yield out(rows[1][away], to[away])
-                yield out(rows[1][hot], None, rows[0][hot], rows[2][hot], rows[3][hot])
-            key, doc, info, before = (np.concatenate((x, y[~away])) for x, y in zip(last, rows, strict=True))
+                yield out(rows[1][hot], None, rows[0][hot], rows[2][hot])
+            key, doc, info = (np.concatenate((x, y[~away])) for x, y in zip(last, rows, strict=True))
         if not len(key):
             continue
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         sizes = np.diff(np.append(starts, len(key)))
         if batch is not None:  # the last group may go on in the next batch
-            last = [x[starts[-1] :] for x in (key, doc, info, before)]
+            last = [x[starts[-1] :] for x in (key, doc, info)]
             if len(last[0]) <= SMALL_GROUP:
                 starts, sizes = starts[:-1], sizes[:-1]
             else:
@@ -243,7 +267,7 @@ def _meet(batches):
             if g < goes_on or len(members) > SMALL_GROUP:
                 big = big if g < goes_on else (int(key[starts[g]]), members[np.argmax(info[group])])
                 yield out(members, np.full(len(members), big[1]))
-                yield out(members, None, key[group], info[group], before[group])
+                yield out(members, None, key[group], info[group])
             else:
                 x, y = np.triu_indices(len(members), 1)
                 yield out(members[x], members[y])
@@ -312,43 +336,44 @@ def jaccard_components(documents: DataFrame, count_links: bool = True) -> DataFr
     df = np.zeros(size, np.int64)
     df[counts["buckets"].to_numpy()] = counts["n"].to_numpy()
     usual = float(np.median(df))
-    shared = spark.sparkContext.broadcast((df, usual + 6 * usual**0.5 + 16 * REPEATED))
-
     known = told.where("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "hi", "lo", "sketch", "parity")
     first = staged(known.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "first")
+    shared = spark.sparkContext.broadcast((df, usual + 6 * usual**0.5 + 16 * REPEATED, _copied(first)))
     whole = staged(_join_groups(known, first, ["hi", "lo"], "copies", ["doc_id"], "left").select("doc_id", "n_shingles", "sketch", "parity", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "sets_of")
     sizes = whole.where("n_shingles > 0 AND doc_id IS NOT NULL").distinct()
 
-    keys = docs.mapInArrow(_emit(shared), "key long, doc_id long, info long, before long, hub long")
+    keys = docs.mapInArrow(_emit(shared), "key long, doc_id long, info long, hub long")
     keys = keys.repartition(F.when(F.col("hub").isNull() | (F.col("hub") == F.col("doc_id")), F.col("key")).otherwise(F.col("doc_id"))).sortWithinPartitions("key")
-    met = staged(keys.mapInArrow(_meet, "a long, b long, key long, place long, before long"), "met")
+    met = staged(keys.mapInArrow(_meet, "a long, b long, key long, place long"), "met")
     links = _verified(docs, sizes, met.where("b IS NOT NULL"))
     several = whole.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("last")).where("u <> last").select("doc_id", "u")
     same = several.join(whole.select("doc_id", F.col("rep").alias("v")), "doc_id").where("u <> v").select("u", "v")  # rows that repeat a doc_id
     found = staged(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(same)), "components")
 
     # holders of a frequent key, all or those still in different components; of a pair that links, the first key that both hold
-    # stands no later in either order than the words that may differ, and the keys before it differ
-    hot = met.where("key IS NOT NULL").select("key", F.col("a").alias("doc_id"), "place", "before")
-    hot = hot.join(sizes, "doc_id").groupBy("key", F.col("rep").alias("id")).agg(F.min("place").alias("place"), F.max("before").alias("before"))
-    hot = staged(hot.join(found, "id", "left").select("key", "id", "place", "before", F.coalesce("component", "id").alias("c")), "hot")
+    # stands no later in either order than the words that may differ, and no key before it is in both
+    hot = met.where("key IS NOT NULL").select("key", F.col("a").alias("doc_id"), "place")
+    hot = hot.join(sizes, "doc_id").groupBy("key", F.col("rep").alias("id")).agg(F.min("place").alias("place"))
+    hot = staged(hot.join(found, "id", "left").select("key", "id", "place", F.coalesce("component", "id").alias("c")), "hot")
     apart = hot.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("holders"))
     apart = apart.where("holders > 1" if count_links else "c0 <> c1").select("key", "holders", F.ceil(F.col("holders") / BLOCK).cast("int").alias("parts"))
     apart = staged(apart, "frequent")
     reps = sizes.where("doc_id = rep").select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), *[F.get("parity", F.lit(k)).alias(f"p{k}") for k in range(PARITY_LONGS)]).dropDuplicates(["id"])
     # holders of block i meet those of block j in group (i, j), i <= j
     own = _join_groups(hot, apart, ["key"], "holders", ["id"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    order = Window.partitionBy("id").orderBy("place", "key")
+    own = own.withColumns({f"e{k}": F.lag("key", k + 1).over(order) for k in range(EARLIER)})
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     own = own.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("parts", "other", "holders")
     left = staged(own.join(reps, "id"), "apart")
     x, y = left.alias("l"), left.alias("r")
     both = F.col("l.n") + F.col("r.n")
     differ = sum((F.bit_count(F.col(f"l.p{k}").bitwiseXOR(F.col(f"r.p{k}"))) for k in range(PARITY_LONGS)), F.lit(0))
-    later = (F.col("l.before") == F.col("r.before")) & (F.col("l.before") != 0)
-    near = ~later & (7 * F.greatest("l.place", "r.place") <= both) & (7 * differ <= both) & (4 * F.least("l.n", "r.n") >= 3 * F.greatest("l.n", "r.n"))
+    met_before = [F.coalesce(F.col(f"l.e{i}") == F.col(f"r.e{j}"), F.lit(False)) for i in range(EARLIER) for j in range(EARLIER)]
+    near = (7 * F.greatest("l.place", "r.place") <= both) & (7 * differ <= both) & (4 * F.least("l.n", "r.n") >= 3 * F.greatest("l.n", "r.n")) & ~reduce(or_, met_before)
     met_once = (F.col("l.key") == F.col("r.key")) & (F.col("l.lo") == F.col("r.lo")) & (F.col("l.hi") == F.col("r.hi")) & ((F.col("l.own") != F.col("r.own")) | (F.col("l.lo") == F.col("l.hi")))
-    order = F.col("l.id") < F.col("r.id") if count_links else F.col("l.c") < F.col("r.c")
-    cross = x.join(y, met_once & order & near).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+    one_way = F.col("l.id") < F.col("r.id") if count_links else F.col("l.c") < F.col("r.c")
+    cross = x.join(y, met_once & one_way & near).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
     more = _verified(docs, sizes, cross)
     links = links.union(more).distinct()
     found = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(same))
