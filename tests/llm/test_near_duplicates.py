@@ -101,3 +101,17 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([*zip(ids, ids[1:], strict=False), (7, 7), (None, 3), (100, 101)], "u long, v long")
     got = {r["id"]: r["component"] for r in connected_components(edges).collect()}
     assert got == {**dict.fromkeys(ids, 0), 100: 100, 101: 100}
+
+
+def test_copies_are_told_by_whole_digest():
+    import numpy as np
+
+    from umbrafold.llm.sketch_join import _digest, _is_copy
+
+    digests = [_digest(np.array([k], np.uint64)) for k in range(5)]
+    rows = sorted((*np.frombuffer(d, np.int64).tolist(), 100 + k) for k, d in enumerate(digests[:3]))
+    hi, lo, rep = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+    assert all(not _is_copy(100 + k, d, (hi, lo, rep)) and _is_copy(200 + k, d, (hi, lo, rep)) for k, d in enumerate(digests[:3]))
+    assert not any(_is_copy(1, d, (hi, lo, rep)) for d in digests[3:])
+    assert not _is_copy(200, digests[0], (hi, lo ^ 1, rep))  # the first half alone is no match
+    assert not _is_copy(1, digests[0], (hi[:0], lo[:0], rep[:0]))
