@@ -122,6 +122,46 @@ def test_near_pairs_by_bands(spark):
     assert pairs == {(2, 1), (3, 1)}
 
 
+def test_likenesses_equal_likeness():
+    r = random.Random(6)
+    base = " ".join(words(8, 400))
+    texts = [base[: r.randint(1, len(base))] + "".join(r.choices("abc ", k=r.randint(0, 90))) for _ in range(12)] + ["a", "b", base + base[:700]]
+    prints = edit_embedding._prints_of(texts)
+    for upto, start in ((len(texts), 0), (5, 5)):
+        for i, j, found in edit_embedding.likenesses(prints, upto, start):
+            assert j == max(i + 1, start)
+            assert np.allclose(found, [edit_embedding.likeness(prints[i], p) for p in prints[j:]])
+
+
+def test_classes_of_near_texts(spark, monkeypatch):
+    """Classes against all pairs compared by brute force, with a band's documents in several blocks; pairs that miss the first document of a band count."""
+    r, rows = random.Random(9), []
+    for family in range(12):
+        base = "".join(words(100 + family, 120)[k % 120] + " " for k in range(160 + 40 * family))
+        for k in range(8):
+            text = list(base)
+            for _ in range(len(base) * k // 600):
+                text[r.randrange(len(text))] = r.choice("xyzw")
+            rows += [(1000 * k + family, "".join(text))] * (1 + (family == 3 and k == 2))
+    rows += [(9000, rows[0][1]), (9001, None), (9002, ""), (None, rows[0][1]), (9003, "a"), (9004, "a")]
+    df = spark.createDataFrame([(*x, 4, "k") for x in rows], "doc_id long, text string, class_id int, fingerprint string")
+    monkeypatch.setattr(edit_embedding, "BLOCK", 2)
+    prints = edit_embedding.own_fingerprints(df)
+    own = {(x["doc_id"], x["fingerprint"]) for x in prints.collect()}
+    assert len(own) == len({x for x in rows if x[0] is not None}) and all(p == q for i, p in own for j, q in own if dict(rows)[i] == dict(rows)[j])
+    full = sorted(x for x in own if "|" in x[1])
+    near = {(i, j) for k, (j, p) in enumerate(full) for i, q in full[k + 1 :] if edit_embedding.likeness(p, q) >= 0.75}
+    pairs = {(x["doc_id"], x["near_id"]): x["likeness"] for x in edit_embedding.near_pairs(prints).collect()}
+    assert set(pairs) <= near and all(s == pytest.approx(edit_embedding.likeness(dict(own)[i], dict(own)[j])) for (i, j), s in pairs.items())
+    cls = {x["doc_id"]: x["class_id"] for x in edit_embedding.near_classes(prints).collect()}
+    together = sum(cls.get(i, i) == cls.get(j, j) for i, j in near)
+    assert len(near) > 100 and together >= 0.98 * len(near)
+    got = edit_embedding.fingerprints(df, buckets=3, classes=edit_embedding.near_classes(prints)).collect()
+    assert len(got) == len(rows) and all(x["class_id"] == (None if x["doc_id"] is None else cls.get(x["doc_id"], x["doc_id"])) for x in got)
+    assert cls[9000] == 0 and cls[9004] == 9003 and 9001 not in cls
+    assert edit_embedding.near_classes(edit_embedding.own_fingerprints(df.limit(0))).count() == 0
+
+
 def test_packing(spark):
     rows = corpus(30) + [(7000 + k, "same length here") for k in range(50)]
     got = packing.pack_documents(frame(spark, rows), TOKENIZER, size=64).collect()

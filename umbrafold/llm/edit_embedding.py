@@ -6,23 +6,28 @@ outputs differ in few steps (the Hamming distance). The fingerprint keeps the ou
 in each octave of steps (the last OCTAVES that the text reaches, each of which weighs as many steps as it spans), one hexadecimal digit each.
 The likeness of two fingerprints is the share of steps at which the outputs agree, corrected for chance.
 
-Candidates for near-duplicates are found by banding these samples and verified by the fingerprints.
+Near-duplicates are found by banding these samples and verified by the fingerprints; documents that verified pairs connect form a class.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbrafold.llm.common import staged
+from umbrafold.llm.common import column_bytes, staged
+from umbrafold.llm.components import connected_components
 
 SAMPLES = 48
 OCTAVES = 5
+CHANCE = 0.09  # of two unrelated characters to have one digit
 PERIOD = 4096
 SEED = 20240501
 
@@ -117,8 +122,7 @@ def likeness(x: str, y: str) -> float:
         total += weight * inside.sum()
         if own is not None and other is not None:
             agree += weight * ((own == other) & inside).sum()
-    chance = 0.09  # of two unrelated characters to have one digit
-    return float(min(1.0, max(0.0, (agree / total - chance) / (1 - chance)))) if total else float(nx == ny)
+    return float(min(1.0, max(0.0, (agree / total - CHANCE) / (1 - CHANCE)))) if total else float(nx == ny)
 
 
 def edited(text: str, following: str) -> str:
@@ -129,33 +133,67 @@ def edited(text: str, following: str) -> str:
 
 GROUP_CHARS = 12_000_000
 PER_RANGE = 50
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long"
+SENT = "doc_id long, packed binary, tie long, key long, bucket int, ahead boolean, class_id long"
+NO_ID = -(1 << 63)
 
 
-def _compare(rows: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
-    """rows: (doc_id, text, following text)."""
-    texts = [x for _, text, following in rows for x in (text, edited(text, following), following)]
-    distinct = {t: k for k, t in enumerate(dict.fromkeys(texts))}
-    prints = [fingerprint(len(t), f) for t, f in zip(distinct, walk([codes(t) for t in distinct]), strict=True)]
-    own, new, after = ([prints[distinct[t]] for t in texts[k::3]] for k in range(3))
+def _prints_of(texts: list[str]) -> list[str]:
+    """The fingerprint of each text; equal texts are walked once."""
+    at = {t: k for k, t in enumerate(dict.fromkeys(texts))}
+    prints = [fingerprint(len(t), f) for t, f in zip(at, walk([codes(t) for t in at]), strict=True)]
+    return [prints[at[t]] for t in texts]
+
+
+def own_fingerprints(documents: DataFrame) -> DataFrame:
+    """documents(doc_id, text, ...) to (doc_id, fingerprint) without a shuffle. A null text is empty; rows with a null doc_id are left out."""
+
+    def run(batches):
+        ids, texts, chars = [], [], 0
+        for batch in batches:
+            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                ids.append(i)
+                texts.append(text or "")
+                chars += len(texts[-1])
+                if chars > GROUP_CHARS or len(ids) >= 20_000:
+                    yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(_prints_of(texts), pa.string())], ["doc_id", "fingerprint"])
+                    ids, texts, chars = [], [], 0
+        if ids:
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(_prints_of(texts), pa.string())], ["doc_id", "fingerprint"])
+
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    return docs.mapInArrow(run, "doc_id long, fingerprint string")
+
+
+def _compare(rows: list[tuple[int | None, int | None, str, str]]) -> pa.RecordBatch:
+    """rows: (doc_id, class_id, text, following text)."""
+    texts = [x for _, _, text, following in rows for x in (text, edited(text, following), following)]
+    prints = _prints_of(texts)
+    own, new, after = (prints[k::3] for k in range(3))
     sha = [hashlib.sha256(t.encode()).hexdigest() for t in texts[1::3]]
     columns = [
-        pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[1]) for r in rows], pa.int64()), pa.array(sha, pa.string()), pa.array(own, pa.string()), pa.array(new, pa.string()),
+        pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[2]) for r in rows], pa.int64()), pa.array(sha, pa.string()), pa.array(own, pa.string()), pa.array(new, pa.string()),
         pa.array([likeness(x, y) for x, y in zip(own, new, strict=True)], pa.float64()), pa.array([likeness(x, y) for x, y in zip(own, after, strict=True)], pa.float64()),
+        pa.array([r[1] for r in rows], pa.int64()),
     ]
-    return pa.record_batch(columns, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+    return pa.record_batch(columns, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id"])
 
 
 def _in_order(batches):
-    """Rows (doc_id, text, bucket, ahead) by bucket and doc_id; the row ahead of a bucket's end only serves as the next text."""
-    last, ready, chars = None, [], 0
+    """SENT rows by bucket and key, a document's class before its text; the row ahead of a bucket's end only serves as the next text."""
+    last, ready, chars, known = None, [], 0, (None, None)
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        for i, text, bucket, ahead in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "bucket", "ahead")), strict=True):
-            text = text or ""
-            if last is not None and last[2] == bucket and not last[3]:
-                ready.append((last[0], last[1], text))
-                chars += len(last[1])
-            last = (i, text, bucket, ahead)
+        for i, packed, key, bucket, ahead, cls in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "packed", "key", "bucket", "ahead", "class_id")), strict=True):
+            if packed is None:
+                known = (key, cls)
+                continue
+            text = unpack(packed).decode()
+            if last is not None and last[3] == bucket and not last[4]:
+                ready.append((last[0], last[1], last[2], text))
+                chars += len(last[2])
+            own = i if i is None or known[0] != i else known[1]
+            last = (i, own, text, bucket, ahead)
             if chars > GROUP_CHARS or len(ready) >= 20_000:
                 yield _compare(ready)
                 ready, chars = [], 0
@@ -163,14 +201,15 @@ def _in_order(batches):
         yield _compare(ready)
 
 
-def fingerprints(documents: DataFrame, buckets: int = 0) -> DataFrame:
+def fingerprints(documents: DataFrame, buckets: int = 0, classes: DataFrame | None = None) -> DataFrame:
     """documents(doc_id, text, ...) to RESULT's columns: fingerprints of each text and of its edited text, and likenesses.
 
-    The next document follows by doc_id, then text; the last one's is the first. A null text is empty. Rows with a null doc_id come first. Repeated rows
-    are documents of their own. Documents are dealt by ranges of doc_id; each range also gets the row after its end.
+    The next document follows by doc_id, then a hash of the text; the last one's is the first. A null text is empty. Rows with a null doc_id come first. Repeated rows
+    are documents of their own. Documents are dealt by ranges of doc_id; each range also gets the row after its end. Texts are compressed for that way.
+    With classes(doc_id, class_id), as of near_classes(), class_id is the document's class (itself where none is listed, null without doc_id); without, it is left out.
     Other columns are ignored.
     """
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long"))
+    key = F.coalesce(F.col("doc_id"), F.lit(NO_ID).cast("long"))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", key)
     n = docs.count()
     buckets = buckets or min(50_000, max(1, n // 2000))
@@ -178,61 +217,176 @@ def fingerprints(documents: DataFrame, buckets: int = 0) -> DataFrame:
     share = F.pmod(F.xxhash64("key"), F.lit(max(1, n // (PER_RANGE * buckets)))) == 0
     ids = np.sort(docs.where(share).select("key").distinct().toArrow()["key"].to_numpy()) if buckets > 1 else np.zeros(0, np.int64)
     cuts = np.unique(ids[np.arange(1, buckets) * len(ids) // buckets]) if len(ids) else ids
-    in_range = _looked_up(lambda keys: np.searchsorted(cuts, keys, "right"))
-    placed = docs.withColumn("bucket", in_range("key"))
+    in_range = F.pandas_udf(lambda keys: _ranges(cuts, keys), "int")
     # the first row of each bucket also goes behind the end of the one before; the very first behind the last
+    placed = docs.select("key", in_range("key").alias("bucket"))
     order = sorted((r["bucket"], r["first"]) for r in placed.groupBy("bucket").agg(F.min("key").alias("first")).collect())  # a row for each bucket
-    firsts, to = np.array([f for _, f in order], np.int64), np.array([order[k - 1][0] for k in range(len(order))], np.int64)
-    behind = _looked_up(lambda keys: _found(firsts, to, keys))
-    own = F.struct("bucket", F.lit(False).alias("ahead"))
-    copy = F.struct(F.col("behind").alias("bucket"), F.lit(True).alias("ahead"))
-    dealt = placed.withColumn("behind", behind("key")).withColumn("c", F.explode(F.when(F.col("behind") < 0, F.array(own)).otherwise(F.array(own, copy))))
-    dealt = dealt.select("doc_id", "text", "key", "c.bucket", "c.ahead").repartition(max(1, len(order)), "bucket")
-    ordered = dealt.sortWithinPartitions("bucket", "ahead", "key", "text").drop("key")
-    return ordered.mapInArrow(_in_order, RESULT)
-
+    firsts = np.array([f for _, f in order], np.int64)
+    before = [order[k - 1][0] for k in range(len(order))]
 
-def _looked_up(fn):
-    """A column function from longs to ints by numpy."""
-
-    def run(keys: pd.Series) -> pd.Series:
-        return pd.Series(fn(keys.to_numpy(np.int64)).astype(np.int32))
+    def send(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            own = np.searchsorted(cuts, keys, "right")
+            at = np.minimum(np.searchsorted(firsts, keys), len(firsts) - 1)
+            texts = column_bytes(batch, "text")
+            packed, ties = [pack(t) for t in texts], [xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts]
+            copies = np.flatnonzero(firsts[at] == keys)
+            for rows, bucket, ahead in ((np.arange(len(keys)), own, False), (copies, np.array([before[k] for k in at[copies].tolist()], np.int64), True)):
+                take = rows.tolist()
+                yield pa.record_batch(
+                    [batch.column("doc_id").take(pa.array(rows)), pa.array([packed[k] for k in take], pa.binary()), pa.array([ties[k] for k in take], pa.int64()),
+                     pa.array(keys[rows]), pa.array(bucket.astype(np.int32)), pa.array([ahead] * len(rows), pa.bool_()), pa.nulls(len(rows), pa.int64())],
+                    ["doc_id", "packed", "tie", "key", "bucket", "ahead", "class_id"],
+                )
+
+    dealt = docs.mapInArrow(send, SENT)
+    if classes is not None:
+        others = classes.where("class_id <> doc_id").select(F.col("doc_id").alias("key"), "class_id")
+        nothing = F.lit(None)
+        told = others.select(nothing.cast("long").alias("doc_id"), nothing.cast("binary").alias("packed"), nothing.cast("long").alias("tie"), "key", in_range("key").alias("bucket"), F.lit(False).alias("ahead"), "class_id")
+        dealt = dealt.union(told)
+    dealt = dealt.repartition(max(1, len(order)), "bucket")
+    # nulls come first, so a document's class stands before its text
+    result = dealt.sortWithinPartitions("bucket", "ahead", "key", "tie").mapInArrow(_in_order, RESULT)
+    return result if classes is not None else result.drop("class_id")
+
+
+def _ranges(cuts: np.ndarray, keys: pd.Series) -> pd.Series:
+    return pd.Series(np.searchsorted(cuts, keys.to_numpy(np.int64), "right").astype(np.int32))
+
+
+LEAST = 0.75
+BANDED_OCTAVES = 3
+BANDS = 6
+ROWS = 6
+SALTS = 16
+PART = 1000
+BLOCK = 512
+
+
+@functools.cache
+def _draws(octave: int) -> np.ndarray:
+    """BANDS disjoint draws of ROWS of an octave's samples."""
+    return np.random.default_rng((SEED, octave, 1)).permutation(len(sampled_steps(octave)))[: BANDS * ROWS].reshape(BANDS, ROWS)
+
+
+def bands_of(value: str) -> list[int]:
+    """Keys of a fingerprint: itself, and the draws of its last BANDED_OCTAVES octaves, but those past the text's end. Empty texts have none."""
+    octaves = _parsed(value)[1]
+    out = [value.encode()] if octaves else []
+    for k in sorted(octaves)[-BANDED_OCTAVES:]:
+        drawn = [row.tobytes() for row in octaves[k][_draws(k)]]
+        out += [b"%d:%d:" % (k, b) + row for b, row in enumerate(drawn) if row.strip(b"0")]
+    return [xxhash.xxh64_intdigest(x) - (1 << 63) for x in out]
+
+
+def likenesses(prints: list[str], upto: int, start: int):
+    """For each of the first `upto` fingerprints, none of them empty: its position, the next one's (`start` at least), and its likeness() to all from there on."""
+    parsed = [_parsed(p)[1] for p in prints]
+    low = np.array([min(x) for x in parsed])
+    digits = {}
+    for k in sorted(set().union(*parsed)):
+        none = np.full(len(next(x[k] for x in parsed if k in x)), 48, np.uint8)
+        digits[k] = np.stack([x.get(k, none) for x in parsed])
+    for i in range(upto):
+        j = max(i + 1, start)
+        agree, total = np.zeros(len(prints) - j), np.full(len(prints) - j, 1e-9)
+        for k, d in digits.items():
+            inside = ((d[i] != 48) | (d[j:] != 48)) & (k >= np.maximum(low[i], low[j:]))[:, None]
+            weight = ((2 << k) if k == _FIRST else (1 << k)) / d.shape[1]
+            total += weight * inside.sum(1)
+            agree += weight * ((d[i] == d[j:]) & inside).sum(1)
+        yield i, j, np.clip((agree / total - CHANCE) / (1 - CHANCE), 0, 1)
+
+
+PAIRS = "doc_id long, near_id long, likeness double"
+
+
+def _pairs(rows: list[tuple[int, int, float]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "near_id", "likeness"])
+
+
+def _across(least: float):
+    """Rows in order of band, pair of blocks and block to the near pairs of different classes, one of each block where the blocks are two."""
+
+    def near(place: list | None, rows: list[tuple]):
+        if len({cls for _, cls, _, _ in rows}) < 2:
+            return
+        in_lo = sum(block == place[1] for _, _, block, _ in rows)
+        for i, start, near_by in likenesses([r[3] for r in rows], in_lo, 0 if place[1] == place[2] else in_lo):
+            for j in (np.flatnonzero(near_by >= least) + start).tolist():
+                (x, a, *_), (y, b, *_) = rows[i], rows[j]
+                if a != b:
+                    yield max(x, y), min(x, y), float(near_by[j - start])
+
+    def run(batches):
+        at, rows = None, []
+        for batch in batches:
+            for *place, i, cls, block, value in zip(*(batch.column(c).to_pylist() for c in ("band", "lo", "hi", "doc_id", "class", "block", "fingerprint")), strict=True):
+                if place != at:
+                    yield _pairs(list(near(at, rows)))
+                    at, rows = place, []
+                rows.append((i, cls, block, value))
+        yield _pairs(list(near(at, rows)))
 
-    return F.pandas_udf(run, "int")
+    return run
 
 
-def _found(firsts: np.ndarray, to: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(firsts, keys), len(firsts) - 1)
-    return np.where(firsts[at] == keys, to[at], -1)
+def near_classes(prints: DataFrame, least: float = LEAST) -> DataFrame:
+    """Classes (doc_id, class_id) of the documents that near_pairs() connects; class_id is the smallest doc_id of the class. Documents without a pair are not listed."""
+    pairs = near_pairs(prints, least)
+    return connected_components(pairs.select(F.col("doc_id").alias("u"), F.col("near_id").alias("v"))).select(F.col("id").alias("doc_id"), F.col("component").alias("class_id"))
 
 
-def near_pairs(prints: DataFrame, least: float = 0.75, rows: int = 6) -> DataFrame:
-    """Pairs (doc_id, near_id, likeness) from fingerprints(): equal bands of sampled steps, verified by the whole fingerprints.
+def near_pairs(prints: DataFrame, least: float = LEAST) -> DataFrame:
+    """Pairs (doc_id, near_id, likeness), likeness at least `least`, from (doc_id, fingerprint): documents that share a band, verified by whole fingerprints.
 
-    In each band the documents meet at the one of the smallest doc_id, so a band of many copies gives a pair for each copy; near_id is that document.
-    A pair of texts with likeness s agrees in a given band with a chance of about s ** rows.
+    Each document meets the smallest doc_id of each of its bands first. Where a band's documents are not in one class then, those of different classes
+    meet as well, in pairs of blocks of about BLOCK. So every near pair that shares a band is given or connected by pairs that are; a family of copies needs a pair each.
+    Two texts whose likeness is s over the banded octaves, a share a = s + 0.09 (1 - s) of equal digits, share a band with a chance of about
+    1 - (1 - a ** ROWS) ** (BANDS * BANDED_OCTAVES): 0.98 at 0.75, more above, and copies always do. Empty texts have no bands; rows with a null doc_id are left out; the rows of a repeated doc_id are one document.
     """
 
-    def bands(batches):
+    def banded(batches):
         for batch in batches:
-            ids, keys = [], []
-            for i, value in zip(batch.column("doc_id").to_pylist(), batch.column("fingerprint").to_pylist(), strict=True):
-                for octave, digits in (_parsed(value)[1].items() if i is not None else ()):
-                    text = digits.tobytes().decode()
-                    ids += [i] * (len(text) // rows)
-                    keys += [f"{octave}:{k}:{text[k : k + rows]}" for k in range(0, len(text) - rows + 1, rows) if text[k : k + rows].strip("0")] + [None] * sum(not text[k : k + rows].strip("0") for k in range(0, len(text) - rows + 1, rows))
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, pa.string())], ["doc_id", "band"])
-
-    known = prints.select("doc_id", "fingerprint")
-    banded = staged(known.mapInArrow(bands, "doc_id long, band string").where("band IS NOT NULL"), "bands")
-    centre = banded.groupBy("band").agg(F.min("doc_id").alias("near_id"))
-    pairs = banded.join(centre, "band").where("doc_id <> near_id").select("doc_id", "near_id").distinct()
-    other = known.select(F.col("doc_id").alias("near_id"), F.col("fingerprint").alias("other"))
-    joined = pairs.join(known, "doc_id").join(other, "near_id")
+            found = [bands_of(v) for v in batch.column("fingerprint").to_pylist()]
+            ids = np.repeat(batch.column("doc_id").to_numpy(), [len(x) for x in found])
+            yield pa.record_batch([pa.array([b for x in found for b in x], pa.int64()), pa.array(ids, pa.int64())], ["band", "doc_id"])
+
+    known = prints.select("doc_id", "fingerprint").where("doc_id IS NOT NULL")
+    keys = known.mapInArrow(banded, "band long, doc_id long")
+    first = keys.groupBy("band").agg(F.min("doc_id").alias("near_id"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("near_id < last")
+    # frequent bands and their first documents are split by a hash of the other document
+    salted = first.select("band", "near_id", (1 + F.col("n") / PART).cast("int").alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    star = keys.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["band", "salt"])
+    star = staged(star.select("band", "doc_id", "near_id", "parts"), "bands")
+
+    asked = star.where("doc_id <> near_id").groupBy("doc_id", "near_id").agg(F.max("parts").alias("parts"))
+    asked = staged(asked.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts")).cast("int")), "asked")
+    ends = asked.groupBy("near_id").agg(F.max("parts").alias("parts"))
+    ends = ends.join(known.select(F.col("doc_id").alias("near_id"), F.col("fingerprint").alias("other")), "near_id").distinct()
+    ends = ends.select("near_id", "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
     def verified(batches):
         for batch in batches:
-            score = [likeness(x, y) for x, y in zip(batch.column("fingerprint").to_pylist(), batch.column("other").to_pylist(), strict=True)]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("near_id"), pa.array(score, pa.float64())], ["doc_id", "near_id", "likeness"])
-
-    return joined.mapInArrow(verified, "doc_id long, near_id long, likeness double").where(F.col("likeness") >= least)
+            values = (batch.column(c).to_pylist() for c in ("doc_id", "near_id", "fingerprint", "other"))
+            scored = [(i, j, likeness(x, y)) for i, j, x, y in zip(*values, strict=True)]
+            yield _pairs([r for r in scored if r[2] >= least])
+
+    pairs = asked.join(known, "doc_id").join(ends, ["near_id", "part"]).select("doc_id", "near_id", "fingerprint", "other").mapInArrow(verified, PAIRS)
+    pairs = staged(pairs.groupBy("doc_id", "near_id").agg(F.max("likeness").alias("likeness")), "pairs")
+
+    classes = connected_components(pairs.select(F.col("doc_id").alias("u"), F.col("near_id").alias("v"))).select(F.col("id").alias("doc_id"), "component")
+    member = star.select("band", "doc_id").join(classes, "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("class"))
+    member = staged(member, "members")
+    several = member.groupBy("band").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("band")
+    rest = member.join(several, "band").join(known, "doc_id")
+    # copies of one text in one class ask once
+    rest = staged(rest.groupBy("band", "class", "fingerprint").agg(F.min("doc_id").alias("doc_id")), "rest")
+    sizes = rest.groupBy("band").agg(((F.count("*") + (BLOCK - 1)) / BLOCK).cast("int").alias("blocks"))
+    split = rest.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("blocks")).cast("int"))
+    meeting = split.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "doc_id", "class", "block", "fingerprint")
+    across = meeting.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "block").mapInArrow(_across(least), PAIRS)
+    return pairs.union(staged(across.groupBy("doc_id", "near_id").agg(F.max("likeness").alias("likeness")), "across"))

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from umbrafold.llm.chat import format_conversations, read_back
-from umbrafold.llm.common import table
+from umbrafold.llm.common import staged, table
 from umbrafold.llm.decontaminate import contained_items
-from umbrafold.llm.edit_embedding import fingerprints
+from umbrafold.llm.edit_embedding import fingerprints, near_classes, own_fingerprints
 from umbrafold.llm.hmm import language_model_scores
 from umbrafold.llm.ordinal import score_severity, train_from_labels
 from umbrafold.llm.packing import pack_documents
@@ -43,7 +43,8 @@ def op4_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return fingerprints(docs, classes=near_classes(staged(own_fingerprints(docs), "fingerprints")))
 
 
 def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
