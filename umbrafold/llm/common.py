@@ -8,8 +8,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SHINGLE = 5
+#: A key is sent to every task if it has more than one in so many rows; no more keys than this can.
+HOT_KEYS = 2000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _WEIGHTS = tuple(np.uint64(w) for w in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
@@ -36,6 +39,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joined_apart(many: DataFrame, key: str, few: DataFrame, fan: str, total: int) -> DataFrame:
+    """many left-joined with few on `key`, which is unique in few.
+
+    `fan` is a column of few: how many rows of many have the key, at most; total is their sum or more. Keys of more than
+    total / HOT_KEYS rows, fewer than HOT_KEYS of them, are sent to every task; the rows of the others are shuffled.
+    """
+    share = F.coalesce(F.col(fan), F.lit(0).cast("long")) * HOT_KEYS
+    hot = F.broadcast(few.where(share > total))
+    rest = many.join(hot.select(key), key, "left_anti").join(few.where(share <= total), key, "left")
+    return many.join(hot, key).unionByName(rest)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     taken = {c.lower() for c in df.columns}

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from umbrafold.llm.alignment import aligned, link_report, tokenized
 from umbrafold.llm.chat import format_conversations, read_back
 from umbrafold.llm.common import staged, table
 from umbrafold.llm.decontaminate import contained_items
@@ -16,13 +17,14 @@ from umbrafold.llm.hmm import language_model_scores
 from umbrafold.llm.ordinal import score_severity, train_from_labels
 from umbrafold.llm.packing import pack_documents
 from umbrafold.llm.pii import digest, personal_spans
+from umbrafold.llm.prefix_trie import prefix_trie, regrouped
 from umbrafold.llm.record_files import record_round_trip
 from umbrafold.llm.secrets import report, secret_spans
 from umbrafold.llm.site_style_tree import main_texts
 from umbrafold.llm.sketch_join import jaccard_components
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
+BYTE_LEVEL, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,12 +72,20 @@ def op10_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*regrouped(table(spark, sf_dir, "conversations")))
+
+
 def op12_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_round_trip(table(spark, sf_dir, "documents"), BYTE_LEVEL)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_report(aligned(tokenized(table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_weak_labels, op2_prefix_rendering, op3_linked_secrets, op4_sketch_join, op5_edit_embedding, op6_best_fit, op7_contained_items, op8_hidden_markov, op9_severity, op10_site_style_tree, op12_record_files)
+    own = (op1_weak_labels, op2_prefix_rendering, op3_linked_secrets, op4_sketch_join, op5_edit_embedding, op6_best_fit, op7_contained_items, op8_hidden_markov, op9_severity, op10_site_style_tree, op11_prefix_trie, op12_record_files, op13_token_alignment)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 

@@ -83,11 +83,10 @@ def crc32c(parts: list[bytes]) -> np.ndarray:
         at = end * LANE - n
         raw[at : at + n] = np.frombuffer(p, np.uint8)
         raw[at : at + 4] ^= 255
-    words, low, high = raw.view("<u4").reshape(-1, LANE // 4), *_word_tables()
-    state = np.zeros(len(words), np.uint32)
-    for k in range(LANE // 4):
-        state = state ^ words[:, k]
-        state = low[state & 0xFFFF] ^ high[state >> 16]
+    words, low, high = np.ascontiguousarray(raw.view("<u2").reshape(-1, LANE // 2).T), *_word_tables()
+    state = np.zeros(words.shape[1], np.uint32)
+    for k in range(0, LANE // 2, 2):
+        state = low[words[k] ^ state.astype(np.uint16)] ^ high[words[k + 1] ^ (state >> np.uint32(16)).astype(np.uint16)]
     level = 0
     while len(state) > len(parts):  # each part's lanes, from its last on, go together in pairs
         half = (lanes + 1) // 2
@@ -127,9 +126,10 @@ def _opened(folder: str) -> tuple[fs.FileSystem, str]:
 
 
 class _Shards:
-    """The files that one task writes, each of SHARD_BYTES or a record more."""
+    """The files that one task writes, each of `most` bytes or a record more."""
 
-    def __init__(self, folder: str, part: int):
+    def __init__(self, folder: str, part: int, most: int):
+        self.most = most
         self.store, self.path = _opened(folder)
         self.store.create_dir(self.path, recursive=True)
         self.prefix, self.n, self.out = f"{part:07d}-{uuid.uuid4().hex[:12]}", 0, None
@@ -137,7 +137,7 @@ class _Shards:
     def write(self, records: list[bytes]) -> list[tuple[str, int]]:
         places = []
         for r in records:
-            if self.out is None or self.at >= SHARD_BYTES:
+            if self.out is None or self.at >= self.most:
                 self.close()
                 self.name, self.at = f"{self.prefix}-{self.n:05d}.rec", 0
                 self.out, self.n = self.store.open_output_stream(f"{self.path}/{self.name}"), self.n + 1
@@ -152,13 +152,13 @@ class _Shards:
             self.out = None
 
 
-def _writer(folder: str, tokenizer_path: str, end_id: int):
+def _writer(folder: str, tokenizer_path: str, end_id: int, shard_bytes: int):
     def run(batches):
         encode, end, at, shards = byte_level(tokenizer_path).encode, np.array([end_id], "<u4").tobytes(), 0, None
         part = TaskContext.get().partitionId()
         for batch in slices(batches, 256):
             if shards is None:
-                shards = _Shards(folder, part)
+                shards = _Shards(folder, part, shard_bytes)
             ids, data, rows = batch.column("doc_id").to_pylist(), [], []
             for i, text in zip(ids, batch.column("text").to_pylist(), strict=True):
                 tokens = np.frombuffer(encode(text) + end, "<u4")
@@ -177,7 +177,7 @@ def _writer(folder: str, tokenizer_path: str, end_id: int):
     return run
 
 
-def write_records(documents: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0) -> DataFrame:
+def write_records(documents: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes documents(doc_id, text, ...) to record files in the folder, in ascending doc_id order, and returns their index.
 
     The index (doc_id, part, file, offset, length, n_tokens, at, start) is a written table; start counts the tokens of all
@@ -189,7 +189,7 @@ def write_records(documents: DataFrame, folder: str, tokenizer_path: str, end_id
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     order = ["doc_id", "tie", "nth"]  # repeated ids, even repeated rows, don't all go to one task
     dealt = rows.select("*", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("nth")).repartitionByRange(*order).sortWithinPartitions(*order)
-    index = staged(dealt.select("doc_id", "text").mapInArrow(_writer(folder, tokenizer_path, end_id), INDEX), "index")
+    index = staged(dealt.select("doc_id", "text").mapInArrow(_writer(folder, tokenizer_path, end_id, shard_bytes), INDEX), "index")
     totals = sorted((r["part"], r["n"]) for r in index.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())  # a row for each task
     before = np.cumsum([0, *(n for _, n in totals)])
     bases = spark.createDataFrame([(p, int(b)) for (p, _), b in zip(totals, before, strict=False)], "of_part int, base long")
@@ -197,7 +197,7 @@ def write_records(documents: DataFrame, folder: str, tokenizer_path: str, end_id
     return joined.select(*index.columns, (F.col("base") + F.col("at")).alias("start"))
 
 
-def _reader(folder: str, with_ids: bool):
+def _reader(folder: str, with_ids: bool, at_once: int):
     def run(batches):
         store, path = _opened(folder)
         name, source = None, None
@@ -210,7 +210,7 @@ def _reader(folder: str, with_ids: bool):
                         source.close()
                     name, source = files[k], store.open_input_file(f"{path}/{files[k]}")
                 last = k  # records that follow each other in a file are read at once
-                while last + 1 < len(files) and files[last + 1] == name and offsets[last + 1] == offsets[last] + sizes[last] and offsets[last + 1] + sizes[last + 1] - offsets[k] <= READ_BYTES:
+                while last + 1 < len(files) and files[last + 1] == name and offsets[last + 1] == offsets[last] + sizes[last] and offsets[last + 1] + sizes[last + 1] - offsets[k] <= at_once:
                     last += 1
                 block = source.read_at(offsets[last] + sizes[last] - offsets[k], offsets[k])
                 records += [block[o - offsets[k] : o - offsets[k] + n] for o, n in zip(offsets[k : last + 1], sizes[k : last + 1], strict=True)]
@@ -234,14 +234,14 @@ def _reader(folder: str, with_ids: bool):
     return run
 
 
-def read_records(index: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
+def read_records(index: DataFrame, folder: str, with_ids: bool = False, at_once: int = READ_BYTES) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids]) of the index's records, read from the files at their offsets and verified.
 
     Any rows of an index may be asked for, in any order; those that follow each other in a file are read together. A record
     that its length or checksum belies raises CorruptRecord.
     """
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    return index.select("file", "offset", "length", "start").mapInArrow(_reader(folder, with_ids), schema)
+    return index.select("file", "offset", "length", "start").mapInArrow(_reader(folder, with_ids, at_once), schema)
 
 
 def shuffled(index: DataFrame, seed: int, parts: int) -> DataFrame:

@@ -16,8 +16,8 @@ import numpy as np
 
 #: A space that begins a piece of its own, whatever stands before it.
 SPACE = re.compile("(?<=.) (?=[^\\s\u180e])", re.DOTALL)
-#: A line feed between visible ASCII characters is a piece of its own.
-LINE = re.compile(r"(?<=[!-~])\n(?=[!-~])")
+#: A comma or full stop after a letter and before a space or the end is a piece of its own.
+STOP = re.compile("(?<=[A-Za-z])([.,])(?= |\\Z)")
 #: Letters that make one piece of the pattern together, with a space before them if there is one.
 LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 LONGEST = 64
@@ -27,14 +27,10 @@ class IrregularSpace(ValueError):
     """A cut at every space would part a run of white space."""
 
 
-def starts_plain(word: str) -> bool:
-    return word[:1].strip("\u180e").strip() != ""
-
-
 class Kept(dict):
     """Values by word, from `find`, kept for words used lately: what is older moves to `old` when the table is full."""
 
-    limit = 400_000
+    limit = 500_000
 
     def __init__(self, find):
         self.find, self.old = find, {}
@@ -62,43 +58,45 @@ class ByteLevelIds:
         self.tokenizer.encode_special_tokens = True
         self.merge = self.tokenizer.model.tokenize
         self.characters = {b: c for c, b in _byte_of_character().items()}
-        self.marks = {m: self.ids(m) for m in "\n.,"}
-        self.spaced, self.lined = Kept(self._spaced), Kept(self._lined)
+        self.marks = {f"\0{m}": self.ids(m) for m in ".,"}
+        self.line_feed, self.words = self.ids("\n"), Kept(self._word)
 
     def ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, None, False, False).ids).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
+    def _letters(self, piece: str) -> bytes:
         """Of letters that the pattern leaves whole: the merges alone."""
         return array("I", [t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.characters))]).tobytes()
 
-    def _spaced(self, word: str) -> bytes:
-        """Of a space and the word. A comma or full stop after letters is a piece of its own."""
+    def _word(self, word: str) -> bytes:
+        """Of a space and the word, of a word that a line feed leads, or of a mark."""
+        if word.isascii() and word.isalpha():
+            return array("I", [t.id for t in self.merge(self.characters[32] + word)]).tobytes()
         if LETTERS.fullmatch(word):
-            return self._piece(f" {word}")
-        if word[-1:] in (".", ",") and LETTERS.fullmatch(word, 0, len(word) - 1):
-            return self.spaced[word[:-1]] + self.marks[word[-1]]
-        if not starts_plain(word):
+            return self._letters(f" {word}")
+        if word in self.marks:
+            return self.marks[word]
+        if LETTERS.fullmatch(word, 1) and word[0] == "\n":
+            return self.line_feed + self._letters(word[1:])
+        rest = word[1:] if word[:1] == "\n" else word
+        if not rest[:1].strip("\u180e").strip():  # none, or more white space
             raise IrregularSpace
-        first, *more = LINE.split(word)
-        return self.spaced[first] + b"".join(map(self.lined.__getitem__, more)) if more else self.ids(f" {word}")
-
-    def _lined(self, word: str) -> bytes:
-        """Of a line feed and the word."""
-        if LETTERS.fullmatch(word):
-            return self.marks["\n"] + self._piece(word)
-        if word[-1:] in (".", ",") and LETTERS.fullmatch(word, 0, len(word) - 1):
-            return self.lined[word[:-1]] + self.marks[word[-1]]
-        return self.ids(f"\n{word}")
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a whole text."""
-        first, *words = text.split(" ")
-        try:
-            return self.ids(first) + b"".join(map(self.spaced.__getitem__, words))
-        except IrregularSpace:
-            first, *words = SPACE.split(text)
-            return self.ids(first) + b"".join(self.ids(f" {w}") for w in words)
+        return self.ids(word if word[0] == "\n" else f" {word}")
+
+    def encode(self, text: str, after_space: bool = False) -> bytes:
+        """The ids of a whole text, or of a space and the text.
+
+        White space that other characters follow begins a piece, whatever stands before it. Line feeds and stops become
+        words too: the former keep a space before them, which the word's first character tells from a real one.
+        """
+        if "\0" not in text:
+            first, *words = STOP.sub(" \0\\1", text.replace("\n", " \n")).split(" ")
+            try:
+                return (self.words[first] if after_space else self.ids(first)) + b"".join(map(self.words.__getitem__, words))
+            except IrregularSpace:
+                pass
+        first, *words = SPACE.split(f" {text}" if after_space else text)
+        return self.ids(first) + b"".join(self.ids(f" {w}") for w in words)
 
     def token_bytes(self) -> dict[int, bytes]:
         """The bytes of each id."""
