@@ -166,5 +166,5 @@ def test_odd_texts_are_aligned(spark, whole, monkeypatch, frequent):
 def test_links_and_groups_of_given_tokens(spark):
     rows = [(1, [5, 6, 7], [1, 4, 6], [8, 9, 10], [2, 4, 6]), (2, [], [], [], [])]
     got = {r["doc_id"]: r for r in alignment.aligned(spark.createDataFrame(rows, alignment.TOKENS)).collect()}
-    assert [(x >> 32, x & 0xFFFFFFFF) for x in got[1]["links"]] == [(5, 8), (6, 8), (6, 9), (7, 10)]
-    assert (got[1]["groups"], got[1]["n_groups"], got[2]["groups"], got[2]["links"]) == ("5,6|8,9;7|10", 2, "", [])
+    assert list(zip(got[1]["link_a"], got[1]["link_b"], strict=True)) == [(5, 8), (6, 8), (6, 9), (7, 10)]
+    assert (got[1]["groups"], got[1]["n_groups"], got[2]["groups"], got[2]["link_a"]) == ("5,6|8,9;7|10", 2, "", [])

@@ -1,9 +1,8 @@
 """Alignment of two tokenizers over the same texts, by the byte offsets at which tokens end.
 
 Python only tokenizes: it gives each document its ids and the bytes at which its tokens end, for both tokenizers. What
-follows are array functions of Spark. The ends of both sides, sorted together, part the text at every token's end; each part
-lies in one token of either side, so it is one link, and an end that both sides have closes a group. An item's place among
-the sorted ends less its place on its own side is the number of the other side's tokens before it, so no token is looked up.
+follows are array functions of Spark. The ends of both sides part the text at every token's end; each part lies in one token of
+either side, so it is one link, and an end that both sides have (array_intersect) closes a group.
 
 How many links of the corpus hold a pair of ids comes from one count of exploded links. Pairs that make up a given share of
 all links, which bounds their number, are sent to every task; the others are joined by shuffle.
@@ -12,6 +11,7 @@ all links, which bounds their number, are sent to every task; the others are joi
 from __future__ import annotations
 
 import functools
+import re
 from array import array
 
 import numpy as np
@@ -20,10 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbrafold.llm.common import slices, staged
-from umbrafold.llm.token_ids import Kept, byte_level, lengths
+from umbrafold.llm.token_ids import ByteLevelIds, IrregularSpace, Kept, cut, lengths
 
 #: A pair is sent to every task if it holds more than one link in so many; no more pairs than this can.
 FREQUENT = 1 << 18
+#: Words whose ids a worker keeps, for both sides.
+KEPT = 200_000
+#: What a piece must not hold for the cuts of token_ids to hold on its side too.
+CROSSING = re.compile("[^▁]▁|[A-Za-z][.,]|\n")
 TOKENS = "doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
 
 
@@ -37,29 +41,41 @@ class BothIds:
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
 
-        self.a, self.pieces = byte_level(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
-        self.a_lengths, ids = lengths(self.a.token_bytes()), range(self.pieces.get_piece_size())
-        self.b_bytes = {i: _piece_bytes(self.pieces.id_to_piece(i), self.pieces.is_byte(i)) for i in ids}
-        self.b_lengths = lengths(self.b_bytes)
-        self.split = any("▁" in self.pieces.id_to_piece(i).lstrip("▁") for i in ids)  # a piece that reaches into the next word
-        self.words = Kept(self._b)
+        self.a, self.pieces = ByteLevelIds(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.a_bytes, ids = self.a.token_bytes(), range(self.pieces.get_piece_size())
+        names = [self.pieces.id_to_piece(i) for i in ids]
+        self.b_bytes = {i: _piece_bytes(names[i], self.pieces.is_byte(i)) for i in ids}
+        self.a_lengths, self.b_lengths = lengths(self.a_bytes), lengths(self.b_bytes)
+        self.crossed = any(CROSSING.search(names[i]) for i in ids if not self.pieces.is_byte(i))
+        self.words = Kept(self._word, KEPT)
 
-    def _b(self, text: str) -> bytes:
+    def _b(self, text: str) -> list[int]:
+        """Of a space and the text, or, after a line feed, of the text without the space."""
         ids = self.pieces.encode(text)
         if b"".join(map(self.b_bytes.__getitem__, ids)) != f" {text}".encode():
             raise UnequalBytes
-        return array("I", ids).tobytes()
+        return ids
+
+    def _word(self, word: str) -> tuple[bytes, bytes]:
+        a = self.a.word(word)
+        if word in self.a.marks:
+            ids = self._b(f"\n{word[1]}")[2:]
+        else:  # the first piece is the added space
+            ids = self._b(word)[1:] if word[0] == "\n" else self._b(word)
+        return a, array("I", ids).tobytes()
 
     def encode(self, text: str) -> tuple[bytes, bytes]:
         """Ids of both sides as little-endian unsigned 32-bit numbers; none where bytes differ or the text is empty."""
         if not text:
             return b"", b""
         try:
-            if self.split or "  " in text or text[0] == " " or text[-1] == " ":
-                b = self._b(text)
-            else:  # no piece reaches over a space between two words
-                b = b"".join(map(self.words.__getitem__, text.split(" ")))
-            return self.a.encode(text, after_space=True), b
+            if "\0" not in text and not self.crossed:
+                try:  # no piece of either side reaches over a cut
+                    pairs = list(map(self.words.__getitem__, cut(text)))
+                    return b"".join([a for a, _ in pairs]), b"".join([b for _, b in pairs])
+                except IrregularSpace:
+                    pass
+            return self.a.encode(f" {text}"), array("I", self._b(text)).tobytes()
         except UnequalBytes:
             return b"", b""
 
@@ -70,7 +86,7 @@ def _piece_bytes(piece: str, is_byte: bool) -> bytes:
 
 @functools.cache
 def both_ids(a_path: str, b_path: str) -> BothIds:
-    """One for all tasks of a worker, with at most twice Kept.limit words for each side."""
+    """One for all tasks of a worker, with at most twice KEPT words."""
     return BothIds(a_path, b_path)
 
 
@@ -105,53 +121,74 @@ def _long(value: int) -> Column:
     return F.lit(value).cast("long")
 
 
-def _items(ends: Column, side: int) -> Column:
-    """Each end with its side and place, in an order by end, then side."""
-    return F.transform(ends, lambda e, i: F.shiftleft(e.cast("long"), 32) + (i + _long(side)))
-
+def _places(n: Column) -> Column:
+    """0 to n, as an array."""
+    return F.sequence(F.lit(0), n)
 
-def _part(items: Column, a_high: Column, b_low: Column):
-    """The link (A id and B id) of the part that an end closes, or, at the second of two equal ends, the tokens of A and B up to it, negated."""
 
-    def part(x: Column, p: Column) -> Column:
-        place = x.bitwiseAND(_long(PLACE))
-        other = p - place
-        again = F.shiftright(F.get(items, p - 1), 32) == F.shiftright(x, 32)
-        of_b = F.when(again, -F.shiftleft(other, 32) - place - 1).otherwise(a_high[other].bitwiseOR(b_low[place]))
-        return F.when(x.bitwiseAND(_long(SIDE)) == 0, a_high[place].bitwiseOR(b_low[other])).otherwise(of_b)
+def _repeated(ids: Column, at: Column, place: str) -> Column:
+    """ids with a token once more for each of `at`, whose `place` it is: slices that each begin with the token the last ended with."""
 
-    return part
+    def piece(k: Column) -> Column:
+        start = F.coalesce(F.get(at, k - 1)[place], F.lit(0))
+        end = F.coalesce(F.get(at, k)[place], F.size(ids) - 1)
+        return F.slice(ids, start + 1, end - start + 1)
 
+    return F.flatten(F.transform(_places(F.size(at)), piece))
 
-def _group(cuts: Column, a_text: Column, b_text: Column):
-    """Text of the k-th group: A ids, a bar, B ids. Cuts are the numbers of tokens of A and B up to each group's end, negated."""
 
-    def side(text: Column, start: Column, end: Column) -> Column:
-        return F.when(end - start == 1, text[start]).otherwise(F.array_join(F.slice(text, start.cast("int") + 1, (end - start).cast("int")), ","))
+def _groups() -> Column:
+    """Text of all groups. Stretches of single tokens are cut from `singles`, the groups between them from the ids."""
+    first, last, singles, a, b = (F.col(c) for c in ("first", "last", "singles", "a_text", "b_text"))
 
-    def group(x: Column, k: Column) -> Column:
-        end, start = -x, -F.coalesce(F.get(cuts, k - 1), _long(0))
-        return F.concat(side(a_text, F.shiftright(start, 32), F.shiftright(end, 32)), F.lit("|"), side(b_text, start.bitwiseAND(_long(LOW)), end.bitwiseAND(_long(LOW))))
+    def piece(k: Column) -> Column:
+        s, e, before = F.get(first, k), F.get(last, k), F.get(last, k - 1)
+        start, end = F.coalesce(before["p"] + 2, F.lit(0)), F.coalesce(s["p"], F.size(singles))
+        stretch = F.when(end > start, F.array_join(F.slice(singles, start + 1, end - start), ";"))
+        side = lambda text, i, more: F.array_join(F.slice(text, s[i] + 1, e[i] + more - s[i] + 1), ",")
+        group = F.concat(side(a, "i", 1 - e["of_b"]), F.lit("|"), side(b, "j", e["of_b"]))
+        return F.when((end > start) | s.isNotNull(), F.concat_ws(";", stretch, group))
 
-    return group
+    return F.array_join(F.transform(_places(F.size(first)), piece), ";")
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """tokens(doc_id, a_ids, a_ends, b_ids, b_ends) to (doc_id, n_a, n_b, n_groups, links, groups).
+    """tokens(doc_id, a_ids, a_ends, b_ids, b_ends) to (doc_id, n_a, n_b, n_groups, link_a, link_b, groups).
 
-    links has a 64-bit value for each pair of an A and a B token whose bytes overlap, in order: the A id times 2^32 plus the
-    B id. groups is the text of the groups between common ends, empty without tokens. Both sides must end at the same byte.
+    link_a and link_b are the ids of each pair of an A and a B token whose bytes overlap, in order. groups is the text of the
+    groups between common ends, empty without tokens. Both sides must end at the same byte.
 
-    Each step is a projection of its own: what a lambda refers to is then computed once, and what has none is compiled.
+    Every end closes a link. Ends of one side alone are few where tokenizers agree: at such an end the other side's token
+    goes on, so it is repeated in the list of links, and runs of such ends are the groups of several tokens. A lone end's
+    place among all ends, less the lone ends of B before it, is the place of the A token there; likewise for B. Each step
+    is a projection of its own, so that what lambdas refer to is computed once and what has none is compiled.
     """
-    kept = ["doc_id", "a_ids", "b_ids", "n_groups"]
-    marked = tokens.select(*kept[:3], F.size(F.array_intersect("a_ends", "b_ends")).cast("long").alias("n_groups"), F.concat(_items(F.col("a_ends"), 0), _items(F.col("b_ends"), SIDE)).alias("items"))
-    sorted_ = marked.select(*kept, F.sort_array("items").alias("items"), F.transform("a_ids", lambda i: F.shiftleft(i.cast("long"), 32)).alias("a_high"), F.col("b_ids").cast("array<long>").alias("b_low"))
-    parted = sorted_.select(*kept, F.transform("items", _part(F.col("items"), F.col("a_high"), F.col("b_low"))).alias("parts"))
-    text = lambda c: F.col(c).cast("array<string>").alias(c)
-    cut = parted.select("doc_id", *(F.size(c).cast("long").alias(f"n_{c[0]}") for c in kept[1:3]), "n_groups", text("a_ids"), text("b_ids"), F.filter("parts", lambda x: x >= 0).alias("links"), F.filter("parts", lambda x: x < 0).alias("cuts"))
-    groups = F.array_join(F.transform("cuts", _group(F.col("cuts"), F.col("a_ids"), F.col("b_ids"))), ";")
-    return cut.select("doc_id", "n_a", "n_b", "n_groups", "links", groups.alias("groups"))
+    ids = ["doc_id", "a_ids", "b_ids"]
+    ends = tokens.select(*ids, F.array_intersect("a_ends", "b_ends").alias("both"), F.array_except("a_ends", "b_ends").alias("alone_a"), F.array_except("b_ends", "a_ends").alias("alone_b"))
+    later = lambda c, k: F.transform(c, lambda e: e + F.lit(k))  # noqa: E731  lone ends are told by a fraction
+    tagged = lambda c, side: F.transform(c, lambda e, t: F.shiftleft(e.cast("long"), 32) + (t + _long(side)))
+    merged = ends.select(*ids, F.size("both").cast("long").alias("n_groups"), F.sort_array(F.concat(F.col("both").cast("array<double>"), later("alone_a", 0.25), later("alone_b", 0.5))).alias("all_ends"), F.sort_array(F.concat(tagged("alone_a", 0), tagged("alone_b", SIDE))).alias("alone"))
+    found = merged.select(*ids, "n_groups", "alone", F.filter(_places(F.greatest(F.size("all_ends") - 1, F.lit(0))), lambda p: F.get("all_ends", p) != F.floor(F.get("all_ends", p))).alias("at"))
+
+    def lone(x: Column, k: Column) -> Column:
+        own, of_b, p = x.bitwiseAND(_long(PLACE)).cast("int"), F.shiftright(x, 31).bitwiseAND(_long(1)).cast("int"), F.get("at", k)
+        b_before = F.when(of_b == 1, own).otherwise(k - own)
+        return F.struct(p.alias("p"), (p - b_before).alias("i"), (p - k + b_before).alias("j"), of_b.alias("of_b"))
+
+    placed = found.select(*ids, "n_groups", F.transform("alone", lone).alias("lone"))
+    next_to = lambda d: lambda x, k: F.coalesce(F.get("lone", k + d)["p"], F.lit(-9)) != x["p"] + d
+    kept = ["doc_id", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), "n_groups"]
+    split = placed.select(*ids, *kept[1:], F.filter("lone", lambda x: x["of_b"] == 1).alias("a_goes_on"), F.filter("lone", lambda x: x["of_b"] == 0).alias("b_goes_on"), F.filter("lone", next_to(-1)).alias("first"), F.filter("lone", next_to(1)).alias("last"))
+    linked = split.select("doc_id", "n_a", "n_b", "n_groups", "first", "last", _repeated(F.col("a_ids"), F.col("a_goes_on"), "i").alias("link_a"), _repeated(F.col("b_ids"), F.col("b_goes_on"), "j").alias("link_b"), F.col("a_ids").cast("array<string>").alias("a_text"), F.col("b_ids").cast("array<string>").alias("b_text"))
+    text = lambda c: F.col(c).cast("array<string>")
+    joined = linked.select("*", F.zip_with(text("link_a"), text("link_b"), lambda x, y: F.concat(x, F.lit("|"), y)).alias("singles"))
+    return joined.select("doc_id", "n_a", "n_b", "n_groups", "link_a", "link_b", _groups().alias("groups"))
+
+
+def links_of(alignments: DataFrame, *keys: str) -> DataFrame:
+    """A row for each link: (keys..., link), the A id times 2^32 plus the B id."""
+    each = alignments.select(*keys, F.posexplode("link_a").alias("p", "a"), "link_b")
+    return each.select(*keys, F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.get("link_b", F.col("p")).cast("long")).alias("link"))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -168,8 +205,8 @@ def link_report(alignments: DataFrame) -> DataFrame:
     n_best counts the links whose pair is one of the commonest of its B id in the corpus, count_sum sums their pairs' counts.
     Rows with a null or repeated doc_id each have their row. An empty table gives an empty result.
     """
-    rows = staged(alignments.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", "n_groups", "links", F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")), "alignments")
-    links = rows.select("row", F.explode("links").alias("link"))
+    rows = staged(alignments.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", "n_groups", "link_a", "link_b", F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")), "alignments")
+    links = links_of(rows, "row")
     counts = staged(pair_counts(links), "pair_counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     known = counts.select(F.col("link").alias("pair"), "n", "best")
@@ -180,4 +217,4 @@ def link_report(alignments: DataFrame) -> DataFrame:
     found = sums(often).union(sums(seldom)).groupBy("row").agg(F.sum("s").alias("s"), F.sum("k").alias("k")).withColumnRenamed("row", "of_row")
     out = rows.join(found, F.col("row") == F.col("of_row"), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
-    return out.select("doc_id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), zero("k").alias("n_best"), zero("s").alias("count_sum"), "groups_sha256")
+    return out.select("doc_id", "n_a", "n_b", "n_groups", F.size("link_a").cast("long").alias("n_links"), zero("k").alias("n_best"), zero("s").alias("count_sum"), "groups_sha256")

@@ -27,13 +27,21 @@ class IrregularSpace(ValueError):
     """A cut at every space would part a run of white space."""
 
 
+def cut(text: str) -> list[str]:
+    """Words that a space stood before, but for the first.
+
+    White space that other characters follow begins a piece, whatever stands before it. Line feeds and stops become words
+    too: a line feed leads its word, a stop follows a zero character, which the text must not hold. A word that is empty or
+    begins with white space, other than one line feed and a visible character, tells of a longer run: then no cut holds.
+    """
+    return STOP.sub(" \0\\1", text.replace("\n", " \n")).split(" ")
+
+
 class Kept(dict):
     """Values by word, from `find`, kept for words used lately: what is older moves to `old` when the table is full."""
 
-    limit = 500_000
-
-    def __init__(self, find):
-        self.find, self.old = find, {}
+    def __init__(self, find, limit: int = 500_000):
+        self.find, self.limit, self.old = find, limit, {}
 
     def __missing__(self, word: str):
         value = self.old.get(word)
@@ -59,7 +67,7 @@ class ByteLevelIds:
         self.merge = self.tokenizer.model.tokenize
         self.characters = {b: c for c, b in _byte_of_character().items()}
         self.marks = {f"\0{m}": self.ids(m) for m in ".,"}
-        self.line_feed, self.words = self.ids("\n"), Kept(self._word)
+        self.line_feed, self.words = self.ids("\n"), Kept(self.word)
 
     def ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, None, False, False).ids).tobytes()
@@ -68,7 +76,7 @@ class ByteLevelIds:
         """Of letters that the pattern leaves whole: the merges alone."""
         return array("I", [t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.characters))]).tobytes()
 
-    def _word(self, word: str) -> bytes:
+    def word(self, word: str) -> bytes:
         """Of a space and the word, of a word that a line feed leads, or of a mark."""
         if word.isascii() and word.isalpha():
             return array("I", [t.id for t in self.merge(self.characters[32] + word)]).tobytes()
@@ -83,19 +91,15 @@ class ByteLevelIds:
             raise IrregularSpace
         return self.ids(word if word[0] == "\n" else f" {word}")
 
-    def encode(self, text: str, after_space: bool = False) -> bytes:
-        """The ids of a whole text, or of a space and the text.
-
-        White space that other characters follow begins a piece, whatever stands before it. Line feeds and stops become
-        words too: the former keep a space before them, which the word's first character tells from a real one.
-        """
+    def encode(self, text: str) -> bytes:
+        """The ids of a whole text."""
         if "\0" not in text:
-            first, *words = STOP.sub(" \0\\1", text.replace("\n", " \n")).split(" ")
+            first, *words = cut(text)
             try:
-                return (self.words[first] if after_space else self.ids(first)) + b"".join(map(self.words.__getitem__, words))
+                return self.ids(first) + b"".join(map(self.words.__getitem__, words))
             except IrregularSpace:
                 pass
-        first, *words = SPACE.split(f" {text}" if after_space else text)
+        first, *words = SPACE.split(text)
         return self.ids(first) + b"".join(self.ids(f" {w}") for w in words)
 
     def token_bytes(self) -> dict[int, bytes]:
@@ -122,5 +126,5 @@ def lengths(token_bytes: dict[int, bytes]) -> np.ndarray:
 
 @functools.cache
 def byte_level(path: str) -> ByteLevelIds:
-    """One for all tasks of a worker, with at most twice Kept.limit words for each way to lead in."""
+    """One for all tasks of a worker, with at most twice the limit of words."""
     return ByteLevelIds(path)
