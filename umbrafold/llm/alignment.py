@@ -25,7 +25,7 @@ from umbrafold.llm.token_ids import ByteLevelIds, IrregularSpace, Kept, cut, len
 #: A pair is sent to every task if it holds more than one link in so many; no more pairs than this can.
 FREQUENT = 1 << 18
 #: Words whose ids a worker keeps, for both sides.
-KEPT = 200_000
+KEPT = 120_000
 #: What a piece must not hold for the cuts of token_ids to hold on its side too.
 CROSSING = re.compile("[^▁]▁|[A-Za-z][.,]|\n")
 TOKENS = "doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
@@ -101,7 +101,7 @@ def _tokenizer(a_path: str, b_path: str):
 
     def run(batches):
         both = both_ids(a_path, b_path)
-        for batch in slices(batches, 256):
+        for batch in slices(batches, 64):
             pairs = [both.encode(t or "") for t in batch.column("text").to_pylist()]
             columns = [*arrays([a for a, _ in pairs], both.a_lengths), *arrays([b for _, b in pairs], both.b_lengths)]
             yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), *columns], [c.split()[0] for c in TOKENS.split(", ")])
@@ -138,18 +138,22 @@ def _repeated(ids: Column, at: Column, place: str) -> Column:
 
 
 def _groups() -> Column:
-    """Text of all groups. Stretches of single tokens are cut from `singles`, the groups between them from the ids."""
-    first, last, singles, a, b = (F.col(c) for c in ("first", "last", "singles", "a_text", "b_text"))
+    """Text of all groups. Pairs of single tokens between two groups of several are written at once, as Spark writes an array of pairs."""
+    first, last, a, b = (F.col(c) for c in ("first", "last", "a_ids", "b_ids"))
 
     def piece(k: Column) -> Column:
         s, e, before = F.get(first, k), F.get(last, k), F.get(last, k - 1)
-        start, end = F.coalesce(before["p"] + 2, F.lit(0)), F.coalesce(s["p"], F.size(singles))
-        stretch = F.when(end > start, F.array_join(F.slice(singles, start + 1, end - start), ";"))
-        side = lambda text, i, more: F.array_join(F.slice(text, s[i] + 1, e[i] + more - s[i] + 1), ",")
+        i, j = F.coalesce(before["i"] + 2 - before["of_b"], F.lit(0)), F.coalesce(before["j"] + 1 + before["of_b"], F.lit(0))
+        n = F.coalesce(s["i"], F.size(a)) - i
+        pairs = F.when(n > 0, F.arrays_zip(F.slice(a, i + 1, n).alias("a"), F.slice(b, j + 1, n).alias("b")).cast("string"))
+        side = lambda ids, at, more: F.array_join(F.slice(ids, s[at] + 1, e[at] + more - s[at] + 1).cast("array<string>"), ",")
         group = F.concat(side(a, "i", 1 - e["of_b"]), F.lit("|"), side(b, "j", e["of_b"]))
-        return F.when((end > start) | s.isNotNull(), F.concat_ws(";", stretch, group))
+        return F.when((n > 0) | s.isNotNull(), F.concat_ws(";", pairs, group))
 
-    return F.array_join(F.transform(_places(F.size(first)), piece), ";")
+    out = F.array_join(F.transform(_places(F.size(first)), piece), ";")
+    for written, meant in (("[{", ""), ("}]", ""), ("}, {", ";"), (", ", "|")):
+        out = F.replace(out, F.lit(written), F.lit(meant))
+    return out
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
@@ -179,10 +183,7 @@ def aligned(tokens: DataFrame) -> DataFrame:
     next_to = lambda d: lambda x, k: F.coalesce(F.get("lone", k + d)["p"], F.lit(-9)) != x["p"] + d
     kept = ["doc_id", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), "n_groups"]
     split = placed.select(*ids, *kept[1:], F.filter("lone", lambda x: x["of_b"] == 1).alias("a_goes_on"), F.filter("lone", lambda x: x["of_b"] == 0).alias("b_goes_on"), F.filter("lone", next_to(-1)).alias("first"), F.filter("lone", next_to(1)).alias("last"))
-    linked = split.select("doc_id", "n_a", "n_b", "n_groups", "first", "last", _repeated(F.col("a_ids"), F.col("a_goes_on"), "i").alias("link_a"), _repeated(F.col("b_ids"), F.col("b_goes_on"), "j").alias("link_b"), F.col("a_ids").cast("array<string>").alias("a_text"), F.col("b_ids").cast("array<string>").alias("b_text"))
-    text = lambda c: F.col(c).cast("array<string>")
-    joined = linked.select("*", F.zip_with(text("link_a"), text("link_b"), lambda x, y: F.concat(x, F.lit("|"), y)).alias("singles"))
-    return joined.select("doc_id", "n_a", "n_b", "n_groups", "link_a", "link_b", _groups().alias("groups"))
+    return split.select("doc_id", "n_a", "n_b", "n_groups", _repeated(F.col("a_ids"), F.col("a_goes_on"), "i").alias("link_a"), _repeated(F.col("b_ids"), F.col("b_goes_on"), "j").alias("link_b"), _groups().alias("groups"))
 
 
 def links_of(alignments: DataFrame, *keys: str) -> DataFrame:
