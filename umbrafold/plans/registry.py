@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from umbrafold.plans import adjustments, aggregates, effects, neighbors, pointwise, relational, tiled
+from umbrafold.plans import adjustments, aggregates, compositing, effects, neighbors, pointwise, relational, tiled
 from umbrafold.streaming import queries as streaming
 
-_ALL = tiled.QUERIES | aggregates.QUERIES | pointwise.QUERIES | neighbors.QUERIES | effects.QUERIES | relational.QUERIES | adjustments.QUERIES | streaming.QUERIES
+_ALL = tiled.QUERIES | compositing.QUERIES | aggregates.QUERIES | pointwise.QUERIES | neighbors.QUERIES | effects.QUERIES | relational.QUERIES | adjustments.QUERIES | streaming.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
