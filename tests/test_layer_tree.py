@@ -6,9 +6,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from umbrafold.functions import noise
-from umbrafold.operators import layer_tree, tiles
+from umbrafold.operators import layer_tree, resampling, tiles
 
 LAYERS = "doc long, id long, parent long, ord long, group boolean, mode string, opacity double, through boolean, clipped boolean, visible boolean"
 N = 6
@@ -122,3 +123,40 @@ def test_noise_kernels_are_of_the_place_and_odd_pixels_are_defined(spark):
     df = spark.createDataFrame(rows, "image long, x long, y long, v double, width long, height long")
     assert whole(tiles.cut(df, 4), 4, (2, 3)).tolist() == [[7, 0, 0], [0, 0, 4]]
     assert tiles.filtered(tiles.cut(df.where("v > 100"), 4), 4, 2, tiles.median(1)).count() == 0
+
+
+def plain_resample(img: np.ndarray, dst: int, radius: float, weight, widens: bool = True) -> np.ndarray:
+    """Along rows, pixel by pixel."""
+    src, out = img.shape[1], np.zeros((img.shape[0], dst))
+    scale = max(src / dst, 1) if widens else 1
+    for i in range(dst):
+        c = (i + 0.5) * src / dst
+        taps = range(int(np.ceil(c - radius * scale - 0.5)), int(np.floor(c + radius * scale - 0.5)) + 1)
+        w = [float(weight((j + 0.5 - c) / scale)) for j in taps]
+        for j, v in zip(taps, w, strict=True):
+            out[:, i] += img[:, min(max(j, 0), src - 1)] * v / sum(w)
+    return out
+
+
+def lanczos(d: float) -> float:
+    return 1.0 if d == 0 else 3 * np.sin(np.pi * d) * np.sin(np.pi * d / 3) / (np.pi * d) ** 2 if abs(d) < 3 else 0.0
+
+
+@pytest.mark.parametrize("width, height", [(9, 40), (50, 7), (1, 1), (19, 22), (300, 2)])
+def test_resampled_tiles_equal_a_plain_resampling(spark, width, height):
+    img = image(19, 22, 3)
+    for kind, radius, weight in (("triangle", 1, lambda d: max(1 - abs(d), 0)), ("lanczos3", 3, lanczos)):
+        got = whole(resampling.resampled(cut(spark, img, 6), 6, F.lit(width), F.lit(height), kind), 6, (height, width))
+        assert np.allclose(got, plain_resample(plain_resample(img, width, radius, weight).T, height, radius, weight).T, atol=1e-9)
+
+
+def test_the_axis_with_the_smaller_image_in_between_comes_first(spark):
+    img = image(2, 300, 4)
+    tall = cut(spark, img, 16)
+    plan = resampling.resampled(tall, 16, F.lit(3000), F.lit(1), "lanczos3")
+    assert np.allclose(whole(plan, 16, (1, 3000)), plain_resample(plain_resample(img.T, 1, 3, lanczos).T, 3000, 3, lanczos), atol=1e-9)
+    first = tall.select((F.lit(3000) * F.col("height") <= F.col("width") * F.lit(1)).alias("across_first")).distinct().collect()
+    assert [r[0] for r in first] == [False]
+    w = resampling.weights(7, 3, "mitchell", 0, 3)
+    assert np.allclose(w.sum(1), 1) and resampling.weights(5, 5, "lanczos3", 0, 5).round(9).tolist() == np.eye(5).tolist()
+    assert resampling.weights(4, 2, "nearest", 0, 2).sum(1).tolist() == [1, 1]

@@ -43,10 +43,15 @@ def _tiles_of(batches, side: int) -> Iterator[tuple]:
 
 
 def cut(pixels: DataFrame, side: int) -> DataFrame:
-    """pixels(image, x, y, v, width, height) to tiles. Pixels that no row gives are 0; those outside the image are left out. Of repeated ones the largest counts."""
+    """pixels(image, x, y, v, width, height) to all tiles of their images. Pixels that no row gives are 0; those outside the image are left out. Of repeated ones the largest counts."""
+    long = lambda c: F.col(c).cast("long").alias(c)
     inside = pixels.where("x >= 0 AND y >= 0 AND x < width AND y < height")
     tx, ty = (F.floor(F.col(c) / side).alias(f"t{c}") for c in "xy")
-    grouped = inside.groupBy(F.col("image").cast("long").alias("image"), tx, ty).agg(F.max(F.col("width").cast("long")).alias("width"), F.max(F.col("height").cast("long")).alias("height"), F.array_sort(F.collect_list(F.struct(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("v").cast("double").alias("v")))).alias("found"))
+    found = inside.groupBy(long("image"), tx, ty).agg(F.array_sort(F.collect_list(F.struct(long("y"), long("x"), F.col("v").cast("double").alias("v")))).alias("found"))
+    sizes = pixels.groupBy(long("image")).agg(F.max(long("width")).alias("width"), F.max(long("height")).alias("height"))
+    count = lambda c: F.sequence(F.lit(0).cast("long"), F.ceil(F.col(c) / side) - 1)
+    grid = sizes.select("*", F.explode(count("width")).alias("tx")).select("*", F.explode(count("height")).alias("ty"))
+    grouped = grid.join(found, ["image", "tx", "ty"], "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<y:bigint,x:bigint,v:double>>")))
     w, h = F.least(F.lit(side), F.col("width") - F.col("tx") * side), F.least(F.lit(side), F.col("height") - F.col("ty") * side)
     placed = grouped.select("*", F.transform("found", lambda p: (p["y"] - F.col("ty") * side) * w + p["x"] - F.col("tx") * side).alias("at"), (w * h).alias("n"))
 
@@ -55,7 +60,7 @@ def cut(pixels: DataFrame, side: int) -> DataFrame:
             rows = []
             for r in batch.to_pylist():
                 flat = np.zeros(r["n"])
-                flat[r["at"]] = [p["v"] for p in r["found"]]
+                flat[np.array(r["at"], np.int64)] = [p["v"] for p in r["found"]]
                 rows.append((*(r[c] for c in ("image", "tx", "ty", "width", "height")), flat))
             yield _batch(rows, TILES)
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbrafold.functions import noise
-from umbrafold.operators import tiles
+from umbrafold.operators import resampling, tiles
 from umbrafold.plans import adjustments, neighbors
 from umbrafold.sources.rasters import PX_SQL, RGB_SQL, pixels, rgb_pixels
 
@@ -115,3 +115,31 @@ def blend_dissolve(spark, sf_dir: str) -> DataFrame:
 
 _DISSOLVE = noise.start_sql("x", "(y + 8 * vec_id)", noise.DISSOLVE_X, noise.DISSOLVE_Y, 7)
 QUERIES["blend_dissolve"] = (blend_dissolve, f"WITH {RGB_SQL}, {_steps_sql('rgb', 'u', _DISSOLVE, noise.DISSOLVE_SHIFTS)} SELECT vec_id, pos, round(CASE WHEN (z >> 40) / 16777216.0::DOUBLE < 0.6 THEN g ELSE r END, 9) AS out FROM u")
+
+
+# resampling to 41 pixels across and half as many again down, by weights in a table
+_FORMS = {
+    "triangle": (1, "greatest(1 - abs(d), 0)"),
+    "mitchell": (2, "CASE WHEN abs(d) < 1 THEN (7 * pow(abs(d), 3) - 12 * d * d + 16 / 3.0::DOUBLE) / 6 WHEN abs(d) < 2 THEN (-7 / 3.0::DOUBLE * pow(abs(d), 3) + 12 * d * d - 20 * abs(d) + 32 / 3.0::DOUBLE) / 6 ELSE 0 END"),
+    "lanczos3": (3, "CASE WHEN d = 0 THEN 1 WHEN abs(d) < 3 THEN 3 * sin(pi() * d) * sin(pi() * d / 3) / (pi() * pi() * d * d) ELSE 0 END"),
+}
+
+
+def _taps_sql(name: str, src: str, dst: str, kind: str) -> str:
+    radius, form = _FORMS[kind]
+    scale = f"greatest({src} / CAST({dst} AS DOUBLE), 1)"
+    return f"""{name}0 AS (SELECT image, {src} AS n, i.i, (i.i + 0.5) * {src} / {dst}::DOUBLE AS c, {scale} AS s FROM sizes, (SELECT unnest(range(400)) AS i) i WHERE i.i < {dst}),
+{name}1 AS (SELECT image, n, i, j.j, (j.j + 0.5 - c) / s AS d FROM {name}0, (SELECT unnest(range(-20, 400)) AS j) j WHERE j.j >= ceil(c - {radius} * s - 0.5) AND j.j <= floor(c + {radius} * s - 0.5)),
+{name}2 AS (SELECT image, i, least(greatest(j, 0), n - 1) AS j, {form} AS w FROM {name}1),
+{name} AS MATERIALIZED (SELECT image, i, j, sum(w) / sum(sum(w)) OVER (PARTITION BY image, i) AS w FROM {name}2 GROUP BY image, i, j)"""
+
+
+for _kind in _FORMS:
+
+    def resample(spark, sf_dir: str, kind: str = _kind) -> DataFrame:
+        out = resampling.resampled(sheets(spark, sf_dir), SIDE, F.lit(41), F.floor(F.col("height") * 3 / 2), kind)
+        return tiles.spread(out, SIDE).select("image", "x", "y", F.round("v", 7).alias("out"))
+
+    QUERIES[f"resample_{_kind}"] = (resample, f"""WITH {SHEET_SQL}, {_taps_sql("tx", "width", "41", _kind)}, {_taps_sql("ty", "height", "(height * 3 // 2)", _kind)},
+across AS MATERIALIZED (SELECT s.image, t.i AS x, s.y, sum(s.v * t.w) AS v FROM sheet s JOIN tx t ON t.image = s.image AND t.j = s.x GROUP BY ALL)
+SELECT a.image, a.x, t.i AS y, round(sum(a.v * t.w), 7) AS out FROM across a JOIN ty t ON t.image = a.image AND t.j = a.y GROUP BY ALL""")
