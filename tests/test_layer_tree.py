@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from umbrafold.functions import noise
-from umbrafold.operators import layer_tree, resampling, tiles
+from umbrafold.operators import layer_effects, layer_tree, resampling, tiles
 
 LAYERS = "doc long, id long, parent long, ord long, group boolean, mode string, opacity double, through boolean, clipped boolean, visible boolean"
 N = 6
@@ -160,3 +160,24 @@ def test_the_axis_with_the_smaller_image_in_between_comes_first(spark):
     w = resampling.weights(7, 3, "mitchell", 0, 3)
     assert np.allclose(w.sum(1), 1) and resampling.weights(5, 5, "lanczos3", 0, 5).round(9).tolist() == np.eye(5).tolist()
     assert resampling.weights(4, 2, "nearest", 0, 2).sum(1).tolist() == [1, 1]
+
+
+def test_effects_follow_the_outline_and_not_the_tiles(spark):
+    img = np.where(image(23, 17, 6) > 200, 255.0, 0.0)
+    img[4:12, 5:15] = 255
+    img[7, 9] = 100
+    inside = img >= 128
+    padded = np.pad(inside, 8)
+
+    def nearest(y: int, x: int) -> float:
+        at = np.argwhere(padded != padded[y + 8, x + 8]) - 8
+        dy, dx = np.abs(at[:, 0] - y), np.abs(at[:, 1] - x)
+        return float((np.maximum(dy, dx) + (2**0.5 - 1) * np.minimum(dy, dx)).min())
+
+    d = np.array([[(nearest(y, x) - 0.5) * (-1 if inside[y, x] else 1) for x in range(23)] for y in range(17)])
+    d = np.where((np.abs(d) <= 0.5) & (img > 0) & (img < 255), 0.5 - img / 255, d)
+    m = layer_effects.margin(3.0, 0.5)
+    run = lambda kernel: whole(tiles.filtered(cut(spark, img, 6), 6, m, kernel, "zero"), 6, img.shape)
+    assert np.allclose(run(layer_effects.stroke(3.0, "center", 0.5)), np.clip(np.clip(2 - d, 0, 1) - np.clip(-1 - d, 0, 1), 0, 1) * 0.5, atol=1e-9)
+    assert np.allclose(run(layer_effects.glow(3.0, 0.5)), np.clip(1 - (d - 1.5) / 3, 0, 1), atol=1e-9)
+    assert np.allclose(run(layer_effects.glow(3.0, 0.0, 0.5, inner=True)), np.clip((np.clip(1 + d / 3, 0, 1) - 0.5) / 0.5, 0, 1) * img / 255, atol=1e-9)

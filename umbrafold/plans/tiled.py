@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbrafold.functions import noise
-from umbrafold.operators import resampling, tiles
+from umbrafold.operators import layer_effects, resampling, tiles
 from umbrafold.plans import adjustments, neighbors
 from umbrafold.sources.rasters import PX_SQL, RGB_SQL, pixels, rgb_pixels
 
@@ -117,6 +117,26 @@ _DISSOLVE = noise.start_sql("x", "(y + 8 * vec_id)", noise.DISSOLVE_X, noise.DIS
 QUERIES["blend_dissolve"] = (blend_dissolve, f"WITH {RGB_SQL}, {_steps_sql('rgb', 'u', _DISSOLVE, noise.DISSOLVE_SHIFTS)} SELECT vec_id, pos, round(CASE WHEN (z >> 40) / 16777216.0::DOUBLE < 0.6 THEN g ELSE r END, 9) AS out FROM u")
 
 
+# effects along the outline of what a sheet covers
+def _outline_sql(reach: int, out: str) -> str:
+    """`out` from s, the signed distance, and v, the coverage."""
+    length = "greatest(abs(dx), abs(dy)) + (sqrt(2) - 1) * least(abs(dx), abs(dy))"
+    return f"""WITH {SHEET_SQL}, asked AS MATERIALIZED (
+  SELECT p.image, p.x, p.y, p.v, p.x + dx AS sx, p.y + dy AS sy, {length} AS d FROM sheet p CROSS JOIN range({-reach}, {reach + 1}) a(dx) CROSS JOIN range({-reach}, {reach + 1}) b(dy)),
+n AS (SELECT a.image, a.x, a.y, a.v, a.d, coalesce(q.v, 0) >= 128 AS covered FROM asked a LEFT JOIN sheet q ON q.image = a.image AND q.x = a.sx AND q.y = a.sy),
+t AS (SELECT image, x, y, v, CASE WHEN v >= 128 THEN 0.5 - coalesce(min(d) FILTER (NOT covered), 1e9) ELSE coalesce(min(d) FILTER (covered), 1e9) - 0.5 END AS t FROM n GROUP BY image, x, y, v),
+s AS (SELECT image, x, y, v / 255.0::DOUBLE AS v, CASE WHEN abs(t) <= 0.5 AND v > 0 AND v < 255 THEN 0.5 - v / 255.0::DOUBLE ELSE t END AS s FROM t)
+SELECT image, x, y, round({out}, 6) AS out FROM s"""
+
+
+_UNIT = "least(greatest({0}, 0), 1)"
+_GROWN = lambda by: _UNIT.format(f"0.5::DOUBLE + {by}::DOUBLE - s")
+for _position, _inner, _outer in (("outside", 0.0, 2.5), ("inside", -2.5, 0.0), ("center", -1.25, 1.25)):
+    _query(f"effect_stroke_{_position}", 5, layer_effects.stroke(2.5, _position, 0.8), "zero", _outline_sql(5, f"{_UNIT.format(f'{_GROWN(_outer)} - {_GROWN(_inner)}')} * 0.8::DOUBLE"), 6)
+_query("effect_outer_glow", 6, layer_effects.glow(3.0, 0.2, 0.75, 0.6), "zero", _outline_sql(6, f"{_UNIT.format('(' + _UNIT.format('1 - (s - 0.6::DOUBLE) / 3') + ' - 0.25::DOUBLE) / 0.75::DOUBLE')} * 0.6::DOUBLE"), 6)
+_query("effect_inner_glow", 5, layer_effects.glow(3.0, inner=True), "zero", _outline_sql(5, f"{_UNIT.format('1 + s / 3')} * v"), 6)
+
+
 # resampling to 41 pixels across and half as many again down, by weights in a table
 _FORMS = {
     "triangle": (1, "greatest(1 - abs(d), 0)"),
