@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from umbrafold.functions.blend import blend_channel
 from umbrafold.operators import events as ev
 from umbrafold.operators import images as im
-from umbrafold.operators import trees
+from umbrafold.operators import style_runs, trees
 from umbrafold.sources.rasters import PX_SQL, images, pixels
 
 QUERIES: dict = {}
@@ -229,3 +229,23 @@ def fft_power(spark, sf_dir: str) -> DataFrame:
 @query(None)
 def dither_diffusion(spark, sf_dir: str) -> DataFrame:
     return im.error_diffused(images(spark, sf_dir))
+
+
+_RUN = """runs AS (SELECT l_orderkey AS text, l_partkey % 50 - 3 AS s, l_partkey % 50 - 3 + CAST(l_quantity AS BIGINT) % 20 AS e, l_linenumber AS ord,
+  CASE WHEN l_returnflag <> 'N' THEN l_returnflag || l_linestatus END AS family, CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey % 3 END AS weight FROM lineitem),
+cut AS (SELECT text, greatest(s, 0) AS s, least(e, 40) AS e, ord, family, weight FROM runs WHERE greatest(s, 0) < least(e, 40))"""
+
+
+@query(f"""WITH {_RUN}, places AS (SELECT text, s AS at_ FROM cut UNION SELECT text, e FROM cut UNION SELECT o_orderkey, 0 FROM orders UNION SELECT o_orderkey, 40 FROM orders),
+parts AS (SELECT text, at_ AS s, lead(at_) OVER (PARTITION BY text ORDER BY at_) AS e FROM places),
+valued AS (SELECT p.text, p.s, p.e, coalesce((max({{'o': c.ord, 'v': c.family}}) FILTER (c.family IS NOT NULL)).v, 'PLAIN') AS family, coalesce((max({{'o': c.ord, 'v': c.weight}}) FILTER (c.weight IS NOT NULL)).v, 4) AS weight
+  FROM parts p LEFT JOIN cut c ON c.text = p.text AND c.s <= p.s AND c.e > p.s WHERE p.e IS NOT NULL GROUP BY p.text, p.s, p.e),
+marked AS (SELECT *, CASE WHEN lag(family) OVER w = family AND lag(weight) OVER w = weight THEN 0 ELSE 1 END AS fresh FROM valued WINDOW w AS (PARTITION BY text ORDER BY s)),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY text ORDER BY s) AS run FROM marked)
+SELECT text, CAST(min(s) AS BIGINT) AS "start", CAST(max(e) AS BIGINT) AS "end", any_value(family) AS family, CAST(any_value(weight) AS BIGINT) AS weight FROM numbered GROUP BY text, run""")
+def style_stretches(spark, sf_dir: str) -> DataFrame:
+    """Each order is a text of 40 places, its lines are runs of overrides, of which the later ones win."""
+    line, start = _table(spark, sf_dir, "lineitem"), F.col("l_partkey") % 50 - 3
+    runs = line.select(F.col("l_orderkey").alias("text"), start.alias("start"), (start + F.col("l_quantity").cast("long") % 20).alias("end"), F.col("l_linenumber").alias("ord"), F.when(F.col("l_returnflag") != "N", F.concat("l_returnflag", "l_linestatus")).alias("family"), F.when(F.col("l_linenumber") % 2 == 0, (F.col("l_suppkey") % 3).cast("long")).alias("weight"))
+    base = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("text"), F.lit(40).alias("length"), F.lit("PLAIN").alias("family"), F.lit(4).cast("long").alias("weight"))
+    return style_runs.resolved(base, runs, ["family", "weight"])
