@@ -118,7 +118,7 @@ def test_results_do_not_depend_on_tiles(spark, edge, mode, side, margin):
 def test_noise_kernels_are_of_the_place_and_odd_pixels_are_defined(spark):
     got = whole(tiles.filtered(cut(spark, image(20, 11, 2), 7), 7, 0, tiles.clouds(3, 6.0)), 7, (11, 20))
     y, x = np.mgrid[0:11, 0:20]
-    assert np.array_equal(got, np.floor((noise.clouds_grid(3, (x + 0.5) / 6, (y + 0.5) / 6) * 0.5 + 0.5) * 255 + 0.5))
+    assert np.array_equal(got, 0.5 * (noise.clouds_grid(3, (x + 0.5) / 6, (y + 0.5) / 6) + 1))
     rows = [(0, 0, 0, 5.0, 3, 2), (0, 0, 0, 7.0, 3, 2), (0, 9, 9, 1.0, 3, 2), (0, 2, 1, 4.0, 3, 2)]
     df = spark.createDataFrame(rows, "image long, x long, y long, v double, width long, height long")
     assert whole(tiles.cut(df, 4), 4, (2, 3)).tolist() == [[7, 0, 0], [0, 0, 4]]

@@ -51,3 +51,15 @@ def test_noise_is_uniform_and_gradients_vanish_on_the_lattice():
     assert np.allclose(noise.perlin_grid(5, x / 8 + 256, y / 8), noise.perlin_grid(5, x / 8, y / 8))
     half = noise.clouds_grid(5, x[:, 40:] / 9, y[:, 40:] / 9)
     assert np.array_equal(half, noise.clouds_grid(5, x / 9, y / 9)[:, 40:])
+
+
+def test_a_place_draws_from_its_own_stream(spark):
+    df = spark.createDataFrame([(x, y) for x in (-3, 0, 9) for y in (0, 5)], "x long, y long")
+    for r in df.select("x", "y", *(noise.signed_draw(7, F.col("x"), F.col("y"), k).alias(f"d{k}") for k in (1, 2, 4))).collect():
+        state = plain_hash(7, r["x"], r["y"])
+        for k in range(1, 5):
+            state = (state + 0x9E3779B97F4A7C15) & M
+            z = ((state ^ (state >> 30)) * 0xBF58476D1CE4E5B9) & M
+            z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & M
+            if k != 3:
+                assert r[f"d{k}"] == ((z ^ (z >> 31)) >> 40) / 2**24 * 2 - 1

@@ -133,3 +133,11 @@ def test_palettes(spark):
     entry = px.select("r", palettes.nearest_entry((F.col("r"), F.col("g"), F.col("b")), found).alias("e"))
     assert all(abs(found[r["e"]][0] - r["r"]) <= 2 for r in entry.collect())
     assert palettes.median_cut(palettes.color_histogram(px.limit(0)), 4) == [] and len(palettes.web_palette()) == 216
+
+
+def test_whole_image_kernels_take_any_width(spark):
+    rows = [(0, 0, [255, 0, 0, 0, 0, 255, 255, 0, 0, 255, 0, 0])]  # 6 wide, 2 high
+    df = spark.createDataFrame(rows, "vec_id long, label int, codes array<int>")
+    assert sorted((r["n"], r["x0"], r["y0"], r["x1"], r["y1"]) for r in images.components(df, width=6).collect()) == [(1, 3, 1, 4, 2), (1, 5, 0, 6, 1), (2, 0, 0, 1, 2)]
+    assert {r["pos"] for r in images.wand(df, 0, 1, 5, width=6).collect()} == {0, 6}
+    assert images.spectrum(df, width=6).where("u = 0 AND v = 0").first()["power"] == (4 * 255) ** 2

@@ -97,6 +97,11 @@ def dissolve_noise(x: Column, y: Column, level: int = 0, seed: int = 0) -> Colum
     return unit(_mixed(_plus(_times(_halves(x), DISSOLVE_X), _times(_halves(y), DISSOLVE_Y), _constant(level * DISSOLVE_LEVEL + seed)), DISSOLVE_SHIFTS))
 
 
+def signed_draw(seed: int, x: Column, y: Column, nth: int) -> Column:
+    """The nth number, from 1, of a place's own stream, in [-1, 1)."""
+    return unit(_mixed(_plus(hash_halves(seed, x, y), _constant(nth * GOLDEN)), DISSOLVE_SHIFTS)) * 2 - 1
+
+
 def _u64(v) -> np.ndarray:
     return np.asarray(v, np.int64).astype(np.uint64)
 

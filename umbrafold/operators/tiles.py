@@ -235,11 +235,13 @@ def disc_smooth(radius: int) -> Kernel:
     return run
 
 
-def clouds(seed: int, scale: float, octaves: int = 4) -> Kernel:
-    """Fractal noise as codes 0..255, of the place alone; it needs no margin."""
+def clouds(seed: int, scale: float, octaves: int = 4, persistence: float = 0.5, against: bool = False) -> Kernel:
+    """Fractal noise in [0, 1] of the place alone, or, with against, how far the image's codes as parts of 255 are from it; it needs no margin."""
 
     def run(canvas, margin, x0, y0):
-        y, x = np.mgrid[0 : canvas.shape[0] - 2 * margin, 0 : canvas.shape[1] - 2 * margin]
-        return np.floor((clouds_grid(seed, (x + x0 + 0.5) / scale, (y + y0 + 0.5) / scale, octaves) * 0.5 + 0.5) * 255 + 0.5)
+        own = _own(canvas, margin)
+        y, x = np.mgrid[0 : own.shape[0], 0 : own.shape[1]]
+        field = 0.5 * (clouds_grid(seed, (x + x0 + 0.5) / scale, (y + y0 + 0.5) / scale, octaves, persistence) + 1)
+        return np.abs(own / 255 - field) if against else field
 
     return run

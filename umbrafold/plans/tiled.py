@@ -117,6 +117,40 @@ _DISSOLVE = noise.start_sql("x", "(y + 8 * vec_id)", noise.DISSOLVE_X, noise.DIS
 QUERIES["blend_dissolve"] = (blend_dissolve, f"WITH {RGB_SQL}, {_steps_sql('rgb', 'u', _DISSOLVE, noise.DISSOLVE_SHIFTS)} SELECT vec_id, pos, round(CASE WHEN (z >> 40) / 16777216.0::DOUBLE < 0.6 THEN g ELSE r END, 9) AS out FROM u")
 
 
+
+def add_noise(spark, sf_dir: str) -> DataFrame:
+    """Uniform noise of a quarter, the same for all channels of even images, drawn for each channel of odd ones. Images stand side by side."""
+    px = rgb_pixels(spark, sf_dir)
+    x = F.col("x") + 8 * F.col("vec_id")
+    draws = px.select("vec_id", "pos", "r", "g", "b", *(noise.signed_draw(3, x, F.col("y"), k).alias(f"d{k}") for k in (1, 2, 3, 4)))
+    noisy = lambda c, k: F.round(F.least(F.greatest(F.col(c) + F.when(F.col("vec_id") % 2 == 0, F.col("d1")).otherwise(F.col(f"d{k}")) * 0.25, F.lit(0.0)), F.lit(1.0)), 9).alias(c)
+    return draws.select("vec_id", "pos", noisy("r", 2), noisy("g", 3), noisy("b", 4))
+
+
+def _drawn_sql(source: str, k: int) -> str:
+    """CTEs that end in d{k} with the kth draw as d{k}, from `source` with the hash as h."""
+    start = f"CAST((h::UHUGEINT + {k * noise.GOLDEN & noise.MASK}::UHUGEINT) % CAST('18446744073709551616' AS UHUGEINT) AS UBIGINT)"
+    return _steps_sql(source, f"m{k}", start, noise.DISSOLVE_SHIFTS) + f", d{k} AS (SELECT * EXCLUDE (z), (z >> 40) / 16777216.0::DOUBLE * 2 - 1 AS d{k} FROM m{k})"
+
+
+_HASHED = _steps_sql("rgb", "u", noise.start_sql("(x + 8 * vec_id)", "y", noise.HASH_X, noise.HASH_Y, 3 + noise.GOLDEN), noise.HASH_SHIFTS)
+_NOISY = lambda c, k: f"round(least(greatest({c} + CASE WHEN vec_id % 2 = 0 THEN d1 ELSE d{k} END * 0.25::DOUBLE, 0), 1), 9) AS {c}"
+QUERIES["add_noise"] = (add_noise, f"WITH {RGB_SQL}, {_HASHED}, h AS (SELECT * RENAME (z AS h) FROM u), {_drawn_sql('h', 1)}, {_drawn_sql('d1', 2)}, {_drawn_sql('d2', 3)}, {_drawn_sql('d3', 4)} SELECT vec_id, pos, {_NOISY('r', 2)}, {_NOISY('g', 3)}, {_NOISY('b', 4)} FROM d4")
+
+_SEED, _SCALE, _OCTAVES = 21, 10, 3
+_CORNER = lambda dx, dy: "(gx[{g}] * (fx - {dx}) + gy[{g}] * (fy - {dy}))".format(dx=dx, dy=dy, g=f"((perm[((yi + {dy} + perm[((xi + {dx}) & 255) + 1]) & 255) + 1]) & 7) + 1")
+_CLOUDS_SQL = f"""WITH {SHEET_SQL}, fixed AS (SELECT {noise.permutation(_SEED)} AS perm, {[f"{g[0]!r}" for g in noise.GRADIENTS]}::DOUBLE[] AS gx, {[f"{g[1]!r}" for g in noise.GRADIENTS]}::DOUBLE[] AS gy),
+scaled AS (SELECT image, x, y, v, k.k, (x + 0.5::DOUBLE) / {_SCALE} * pow(2, k.k) AS px, (y + 0.5::DOUBLE) / {_SCALE} * pow(2, k.k) AS py FROM sheet, range({_OCTAVES}) k(k)),
+lattice AS (SELECT image, x, y, v, k, CAST(floor(px) AS BIGINT) % 256 AS xi, CAST(floor(py) AS BIGINT) % 256 AS yi, px - floor(px) AS fx, py - floor(py) AS fy FROM scaled),
+corners AS (SELECT image, x, y, v, k, fx * fx * fx * (fx * (fx * 6 - 15) + 10) AS fu, fy * fy * fy * (fy * (fy * 6 - 15) + 10) AS fv, {_CORNER(0, 0)} AS n00, {_CORNER(1, 0)} AS n10, {_CORNER(0, 1)} AS n01, {_CORNER(1, 1)} AS n11 FROM lattice, fixed),
+lines AS (SELECT image, x, y, v, k, fv, n00 + fu * (n10 - n00) AS a, n01 + fu * (n11 - n01) AS b FROM corners),
+octave AS (SELECT image, x, y, v, least(greatest((a + fv * (b - a)) * sqrt(2), -1), 1) / pow(2, k) AS o FROM lines),
+field AS (SELECT image, x, y, v, 0.5 * (least(greatest(sum(o) / {sum(0.5**k for k in range(_OCTAVES))}::DOUBLE, -1), 1) + 1) AS t FROM octave GROUP BY ALL)
+SELECT image, x, y, round(@, 6) AS out FROM field"""
+_query("clouds", 0, tiles.clouds(_SEED, _SCALE, _OCTAVES), "zero", _CLOUDS_SQL.replace("@", "t"), 6)
+_query("difference_clouds", 0, tiles.clouds(_SEED, _SCALE, _OCTAVES, against=True), "zero", _CLOUDS_SQL.replace("@", "abs(v / 255.0::DOUBLE - t)"), 6)
+
+
 # effects along the outline of what a sheet covers
 def _outline_sql(reach: int, out: str) -> str:
     """`out` from s, the signed distance, and v, the coverage."""
