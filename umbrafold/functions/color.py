@@ -116,3 +116,32 @@ def widen(code: Column) -> Column:
 def narrow(code: Column) -> Column:
     """16 to 8 bits, rounded."""
     return F.floor((code + 128) / 257).cast("int")
+
+
+def color_ranges(c: Rgb) -> tuple[Column, ...]:
+    """Shares of red, yellow, green, cyan, blue, magenta, whites, neutrals and blacks in a colour of 0..1; they sum to 1.
+
+    What one channel has above both others is its primary's, what two have above the third their mixture's.
+    """
+    r, g, b = c
+    above = lambda x, y: F.greatest(x - y, F.lit(0.0))
+    top, low = F.greatest(*c), F.least(*c)
+    grey = 1 - (top - low)
+    whites, blacks = grey * F.greatest(2 * low - 1, F.lit(0.0)), grey * F.greatest(1 - 2 * top, F.lit(0.0))
+    return above(r, F.greatest(g, b)), above(F.least(r, g), b), above(g, F.greatest(r, b)), above(F.least(g, b), r), above(b, F.greatest(r, g)), above(F.least(r, b), g), whites, grey - whites - blacks, blacks
+
+
+def black_and_white(c: Rgb, weights: tuple[float, ...]) -> Column:
+    """Grey by the weights of the six hues: what is common to all channels counts whole."""
+    return F.least(*c) + sum((share * w for share, w in zip(color_ranges(c), weights, strict=False)), F.lit(0.0))
+
+
+def selective_color(c: Rgb, inks: list[tuple[float, float, float, float]], relative: bool = True) -> Rgb:
+    """The colour's cyan, magenta, yellow and black changed by its ranges' deltas, of what there is or of the whole; what exceeds 1 is kept aside."""
+    base = tuple(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)) for v in c)
+    shares = color_ranges(base)
+    delta = [sum((share * row[k] for share, row in zip(shares, inks, strict=True)), F.lit(0.0)) for k in range(4)]
+    light = F.greatest(*base)
+    parts = [F.when(light > 0, 1 - v / F.when(light > 0, light).otherwise(1.0)).otherwise(0.0) for v in base] + [1 - light]
+    moved = [F.least(F.greatest(v + (v * d if relative else d), F.lit(0.0)), F.lit(1.0)) for v, d in zip(parts, delta, strict=True)]
+    return tuple((1 - m) * (1 - moved[3]) + (v - u) for m, v, u in zip(moved, c, base, strict=False))

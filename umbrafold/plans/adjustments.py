@@ -37,6 +37,24 @@ _LUT = [v / 255 / 12.92 if v / 255 <= 0.04045 else ((v / 255 + 0.055) / 1.055) *
 pointwise.grey("decode_table", lambda v: F.get(F.array(*map(F.lit, _LUT)), F.round(v * 255).cast("int")), DECODE.format("v"))
 pointwise.coloured("weighted_luma_mask", lambda c: (tone.masked(color.luma601(c), color.luminance(c), c[0]),), {"out": "0.299 * r + 0.587 * g + 0.114 * b + (0.2126 * r + 0.7152 * g + 0.0722 * b - 0.299 * r - 0.587 * g - 0.114 * b) * r"})
 
+# colour ranges: the SQL names the hue of each order of the channels
+_HUES = "CASE WHEN r >= g AND g >= b THEN [{0}, {1}] WHEN g >= r AND r >= b THEN [{2}, {1}] WHEN g >= b AND b >= r THEN [{2}, {3}] WHEN b >= g AND g >= r THEN [{4}, {3}] WHEN b >= r AND r >= g THEN [{4}, {5}] ELSE [{0}, {5}] END"
+_SPLIT = ", o AS (SELECT *, greatest(r, g, b) AS top, least(r, g, b) AS low, r + g + b - greatest(r, g, b) - least(r, g, b) AS mid FROM rgb), t AS (SELECT *, {} FROM o)"
+_BW = (0.4, 0.6, 0.4, 0.6, 0.2, 0.8)
+_MIX = f"{_HUES.format(*_BW)} AS w"
+pointwise.coloured("black_and_white", lambda c: (color.black_and_white(c, _BW),), {"out": "low + (mid - low) * w[2] + (top - mid) * w[1]"}, _SPLIT.format(_MIX))
+#: (cyan, magenta, yellow, black) of the nine ranges.
+_INKS = [(-0.5, 0.2, 0.3, 0.0), (0.1, 0.0, -0.6, 0.1), (0.4, -0.3, 0.2, 0.0), (-0.2, 0.1, 0.0, -0.1), (0.0, -0.4, 0.3, 0.2), (0.3, 0.3, -0.3, 0.0), (0.1, 0.0, 0.2, -0.2), (0.0, 0.15, -0.1, 0.05), (0.2, -0.2, 0.0, 0.3)]
+_GREY = "(1 - (top - low))"
+_WHITES, _BLACKS = f"{_GREY} * greatest(2 * low - 1, 0)", f"{_GREY} * greatest(1 - 2 * top, 0)"
+_DELTAS = ", ".join(
+    f"(mid - low) * ({_HUES.format(*(f'{row[k]!r}' for row in _INKS[:6]))})[2] + (top - mid) * ({_HUES.format(*(f'{row[k]!r}' for row in _INKS[:6]))})[1] + {_WHITES} * {_INKS[6][k]} + ({_GREY} - {_WHITES} - {_BLACKS}) * {_INKS[7][k]} + {_BLACKS} * {_INKS[8][k]} AS d{k}" for k in range(4)
+)
+for _name, _relative in (("selective_color", True), ("selective_color_absolute", False)):
+    _INKED = lambda x, k, rel=_relative: UNIT.format(f"{x} + {f'({x}) * d{k}' if rel else f'd{k}'}")
+    _PART = lambda v: f"(CASE WHEN top > 0 THEN (top - {v}) / top ELSE 0 END)"
+    pointwise.coloured(_name, lambda c, rel=_relative: color.selective_color(c, _INKS, rel), {v: f"(1 - {_INKED(_PART(v), k)}) * (1 - {_INKED('(1 - top)', 3)})" for k, v in enumerate("rgb")}, _SPLIT.format(_DELTAS))
+
 # neighbourhoods and maps of places
 PLACES = {
     "diffuse": (lambda x, y: (x + (x * 7 + y * 3) % 3 - 1, y + (x * 5 + y * 11) % 3 - 1), "x + (x * 7 + y * 3) % 3 - 1", "y + (x * 5 + y * 11) % 3 - 1"),
