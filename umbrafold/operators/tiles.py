@@ -13,10 +13,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbrafold.functions.noise import SECOND_DIFFUSE, clouds_grid, hash_unit_grid
+from umbrafold.functions.noise import SECOND_DIFFUSE, SECOND_TILES, clouds_grid, hash_unit, hash_unit_grid
 
 TILES = "image long, tx long, ty long, width long, height long, pixels array<double>"
 _STRIPS = TILES + ", x0 long, y0 long, w long, h long"
@@ -245,3 +245,26 @@ def clouds(seed: int, scale: float, octaves: int = 4, persistence: float = 0.5,
         return np.abs(own / 255 - field) if against else field
 
     return run
+
+
+def shifted_cells(pixels: DataFrame, count: int, percent: float, seed: int, gap: Callable[[Column], Column]) -> DataFrame:
+    """pixels(image, x, y, v, width, height) to (image, x, y, v): the image in square cells, `count` across its shorter side, each moved by a seeded offset.
+
+    An offset is at most `percent` of a cell's side and at least a pixel. Of cells that overlap the later one in reading
+    order shows; gap gives what shows where none does, from the pixel itself. Every pixel goes to its new place once.
+    """
+    side = F.ceil(F.least("width", "height") / F.lit(count))
+    tx, ty = F.floor(F.col("x") / side), F.floor(F.col("y") / side)
+    single = lambda c: c.cast("float")  # noqa: E731  offsets are of 32-bit floats
+
+    def offset(of: int) -> Column:
+        reach = single(F.lit(percent)) / single(F.lit(100.0)) * single(F.col("side"))
+        a = (single(hash_unit(of, F.col("tx"), F.col("ty"))) * single(F.lit(2.0)) - single(F.lit(1.0))) * reach
+        whole = F.round(a).cast("long")
+        return F.when(whole != 0, whole).otherwise(F.when(a < 0, -1).otherwise(1))
+
+    celled = pixels.select("image", "x", "y", "v", "width", "height", side.alias("side"), tx.alias("tx"), ty.alias("ty"))
+    moved = celled.select("image", (F.col("x") + offset(seed)).alias("x"), (F.col("y") + offset(seed ^ SECOND_TILES)).alias("y"), "v", "width", "height", F.struct("ty", "tx").alias("cell"))
+    under = pixels.select("image", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), gap(F.col("v")).alias("v"), "width", "height", F.struct(F.lit(-1).cast("long").alias("ty"), F.lit(-1).cast("long").alias("tx")).alias("cell"))
+    shown = moved.where("x >= 0 AND y >= 0 AND x < width AND y < height").union(under)
+    return shown.groupBy("image", "x", "y").agg(F.max_by("v", "cell").alias("v"))

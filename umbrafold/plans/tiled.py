@@ -32,13 +32,18 @@ EDGES_SQL = {
 }
 
 
-def sheets(spark, sf_dir: str) -> DataFrame:
-    """The sheets as tiles."""
+def sheet_pixels(spark, sf_dir: str) -> DataFrame:
+    """The sheets' pixels where there is a vector."""
     px = pixels(spark, sf_dir)
     last = px.agg(F.max("vec_id").alias("m"))  # one row
     image, k = F.col("vec_id") % SHEETS, F.floor(F.col("vec_id") / SHEETS)
     rows = px.crossJoin(F.broadcast(last)).select(image.alias("image"), (k % ACROSS * 8 + F.col("x")).alias("x"), (F.floor(k / ACROSS) * 8 + F.col("y")).alias("y"), F.col("code").alias("v"), F.lit(WIDTH).alias("width"), ((F.floor(F.floor((F.col("m") - image) / SHEETS) / ACROSS) + 1) * 8).alias("height"))
-    return tiles.cut(rows, SIDE)
+    return rows
+
+
+def sheets(spark, sf_dir: str) -> DataFrame:
+    """The sheets as tiles."""
+    return tiles.cut(sheet_pixels(spark, sf_dir), SIDE)
 
 
 def around_sql(radius: int, edge: str, out: str) -> str:
@@ -107,6 +112,26 @@ d AS MATERIALIZED (SELECT image, x, y, least(greatest(x + {_DRAW.replace("z >>",
 SELECT d.image, d.x, d.y, CAST(q.v AS BIGINT) AS out FROM d JOIN sheet q ON q.image = d.image AND q.x = d.sx AND q.y = d.sy""")
 
 
+
+def cells_moved(spark, sf_dir: str) -> DataFrame:
+    """Five cells across, each moved by a third of its side at most, over the inverse image."""
+    px = tiles.spread(sheets(spark, sf_dir), SIDE)
+    tall = sheet_pixels(spark, sf_dir).groupBy("image").agg(F.max("width").alias("width"), F.max("height").alias("height"))  # a row for each sheet
+    out = tiles.shifted_cells(px.join(tall, "image"), 5, 33.0, 17, lambda v: 255 - v)
+    return out.select("image", "x", "y", F.col("v").cast("long").alias("out"))
+
+
+_CELL = lambda seed: noise.start_sql("tx", "ty", noise.HASH_X, noise.HASH_Y, seed + noise.GOLDEN)
+_AT = lambda z: f"(CAST({z} >> 40 AS FLOAT) * CAST(1.0 / 16777216 AS FLOAT) * CAST(2 AS FLOAT) - CAST(1 AS FLOAT)) * (CAST(33 AS FLOAT) / CAST(100 AS FLOAT) * CAST(side AS FLOAT))"
+_STEP = lambda a: f"CASE WHEN round({a}) <> 0 THEN CAST(round({a}) AS BIGINT) WHEN {a} < 0 THEN -1 ELSE 1 END"
+QUERIES["tiles"] = (cells_moved, f"""WITH {SHEET_SQL}, cells AS (SELECT image, side, a.i AS tx, b.i AS ty FROM (SELECT image, width, height, CAST(ceil(least(width, height) / 5.0) AS BIGINT) AS side FROM sizes) s, range(200) a(i), range(200) b(i) WHERE a.i * side < width AND b.i * side < height),
+{_steps_sql("cells", "u", _CELL(17), noise.HASH_SHIFTS)}, {_steps_sql("(SELECT * RENAME (z AS zx) FROM u)", "w", _CELL(17 ^ noise.SECOND_TILES), noise.HASH_SHIFTS)},
+moves AS MATERIALIZED (SELECT image, side, tx, ty, {_STEP(_AT("zx"))} AS ox, {_STEP(_AT("z"))} AS oy FROM w),
+near AS MATERIALIZED (SELECT p.image, p.x, p.y, p.v, p.width, p.height, m.tx, m.ty, m.side, p.x - m.ox AS sx, p.y - m.oy AS sy FROM sheet p JOIN moves m ON m.image = p.image AND abs(p.x // m.side - m.tx) <= 1 AND abs(p.y // m.side - m.ty) <= 1),
+hits AS (SELECT n.image, n.x, n.y, n.ty * 1000 + n.tx AS nr, q.v FROM near n JOIN sheet q ON q.image = n.image AND q.x = n.sx AND q.y = n.sy WHERE n.sx // n.side = n.tx AND n.sy // n.side = n.ty)
+SELECT p.image, p.x, p.y, CAST(coalesce(arg_max(h.v, h.nr), 255 - any_value(p.v)) AS BIGINT) AS out FROM sheet p LEFT JOIN hits h ON h.image = p.image AND h.x = p.x AND h.y = p.y GROUP BY p.image, p.x, p.y""")
+
+
 def blend_dissolve(spark, sf_dir: str) -> DataFrame:
     """The source at 60 % opacity shows whole where a pixel draws less than that. Images stand one below the other."""
     keep = noise.dissolve_noise(F.col("x"), F.col("y") + 8 * F.col("vec_id"), 0, 7) < 0.6
