@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbrafold.operators.tiles import TILES, _batch, _tiles_of
+from umbrafold.operators.tiles import TILES, _batch, _few, _tiles_of
 
 _PLANNED = TILES + ", to_width long, to_height long, axis long"
 _PARTS = _PLANNED + ", at long, n long"
@@ -67,7 +67,7 @@ def weights(src: int, dst: int, kind: str, lo: int, hi: int) -> np.ndarray:
 
 def _send(side: int, kind: str):
     def run(batches):
-        for batch in batches:
+        for batch in (p for b in batches for p in _few(b, side)):
             rows = []
             plan = zip(*(batch.column(c).to_pylist() for c in ("to_width", "to_height", "axis")), strict=True)
             for (image, tx, ty, width, height, tile), (to_width, to_height, axis) in zip(_tiles_of([batch], side), plan, strict=True):

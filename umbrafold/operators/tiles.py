@@ -20,6 +20,7 @@ from umbrafold.functions.noise import SECOND_DIFFUSE, SECOND_TILES, clouds_grid,
 
 TILES = "image long, tx long, ty long, width long, height long, pixels array<double>"
 _STRIPS = TILES + ", x0 long, y0 long, w long, h long"
+PART = 1 << 20  # pixels
 #: A kernel takes the canvas (a tile with its margin on all sides), the margin and the tile's place, and gives the tile.
 Kernel = Callable[[np.ndarray, int, int, int], np.ndarray]
 
@@ -33,6 +34,12 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(kinds)], schema=kinds)
 
 
+def _few(batch: pa.RecordBatch, side: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about a million pixels at most, so that what a task holds besides its batch does not grow with the batch."""
+    rows = max(1, PART // (side * side))
+    return (batch.slice(k, rows) for k in range(0, batch.num_rows, rows))
+
+
 def _tiles_of(batches, side: int) -> Iterator[tuple]:
     """(image, tx, ty, width, height, pixels as a matrix) of each row."""
     for batch in batches:
@@ -42,6 +49,19 @@ def _tiles_of(batches, side: int) -> Iterator[tuple]:
             yield image, tx, ty, width, height, flat.reshape(min(side, height - ty * side), min(side, width - tx * side))
 
 
+def _fill(side: int):
+    def run(batches):
+        for part in (p for b in batches for p in _few(b, side)):
+            places, values = part.column("at"), part.column("v").flatten().to_numpy(zero_copy_only=False)
+            first = np.concatenate([[0], np.cumsum(part.column("n").to_numpy())])
+            flat = np.zeros(first[-1])
+            flat[np.repeat(first[:-1], np.diff(places.offsets)) + places.flatten().to_numpy()] = values
+            pixels = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(flat))
+            yield pa.record_batch([*(part.column(c) for c in ("image", "tx", "ty", "width", "height")), pixels], schema=_kinds(TILES))
+
+    return run
+
+
 def cut(pixels: DataFrame, side: int) -> DataFrame:
     """pixels(image, x, y, v, width, height) to all tiles of their images. Pixels that no row gives are 0; those outside the image are left out. Of repeated ones the largest counts."""
     long = lambda c: F.col(c).cast("long").alias(c)
@@ -53,18 +73,9 @@ def cut(pixels: DataFrame, side: int) -> DataFrame:
     grid = sizes.select("*", F.explode(count("width")).alias("tx")).select("*", F.explode(count("height")).alias("ty"))
     grouped = grid.join(found, ["image", "tx", "ty"], "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<y:bigint,x:bigint,v:double>>")))
     w, h = F.least(F.lit(side), F.col("width") - F.col("tx") * side), F.least(F.lit(side), F.col("height") - F.col("ty") * side)
-    placed = grouped.select("*", F.transform("found", lambda p: (p["y"] - F.col("ty") * side) * w + p["x"] - F.col("tx") * side).alias("at"), (w * h).alias("n"))
-
-    def fill(batches):
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                flat = np.zeros(r["n"])
-                flat[np.array(r["at"], np.int64)] = [p["v"] for p in r["found"]]
-                rows.append((*(r[c] for c in ("image", "tx", "ty", "width", "height")), flat))
-            yield _batch(rows, TILES)
-
-    return placed.mapInArrow(fill, TILES)
+    at = F.transform("found", lambda p: ((p["y"] - F.col("ty") * side) * w + p["x"] - F.col("tx") * side).cast("int"))
+    placed = grouped.select("image", "tx", "ty", "width", "height", (w * h).alias("n"), at.alias("at"), F.col("found.v").alias("v"))
+    return placed.mapInArrow(_fill(side), TILES)
 
 
 def spread(tiles: DataFrame, side: int) -> DataFrame:
@@ -96,7 +107,7 @@ def _send(side: int, margin: int, wrap: bool):
                     part = tile[from_y - ty * side : from_y - ty * side + h, from_x - tx * side : from_x - tx * side + w]
                     rows.append((image, ux, uy, width, height, part.ravel(), x, y, w, h))
                     size += part.size
-            if size > 1 << 20:
+            if size > PART:
                 yield _batch(rows, _STRIPS)
                 rows, size = [], 0
         yield _batch(rows, _STRIPS)
