@@ -90,6 +90,18 @@ def test_interpolation_ends_and_easing(spark):
     assert {r["t"]: r["value"] for r in events.interpolated(keys, asks, "g", "ease_in").collect()}[15] == 2.5
 
 
+def test_a_long_track_takes_one_look_back(spark):
+    """Frames that reach to a group's end are computed anew for each row, and a second order sorts all asks again."""
+    n = 50_000
+    keys = spark.range(n).selectExpr("1 g", "id * 10 t", "cast(id * id AS double) value")
+    asks = spark.range(n).selectExpr("1 g", "id * 10 + 5 t")
+    df = events.interpolated(keys, asks, "g")
+    plan = df._jdf.queryExecution().executedPlan().toString().lower()
+    assert "unboundedfollowing" not in plan and plan.count("window [") == 2  # one over the keys alone
+    assert df.where("value != CASE WHEN t > 499990 THEN 49999D * 49999 ELSE ((t - 5) / 10 * (t - 5) / 10 + (t + 5) / 10 * (t + 5) / 10) / 2 END").count() == 0
+    assert df.count() == n
+
+
 def test_journal_recovery_and_replay(spark, tmp_path):
     lines = [json.dumps({"seq": k, "kind": "Command", "payload": str(k), "document_hash": "h"}) for k in range(4)]
     (tmp_path / "j.json").write_text("\n".join([*lines[:3], '{"seq": 3, "ki', lines[3]]))

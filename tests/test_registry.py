@@ -69,6 +69,17 @@ def test_tracks_use_every_event(spark, sf):
     assert got.count() == sum(types[u] * times[u] for u in types)
 
 
+def test_tracks_are_dealt_once_by_the_number_of_events(spark, sf, monkeypatch):
+    """The rows of all tracks, several for each event, are neither shuffled nor more in a task when there are more events."""
+    from umbrafold.plans import relational
+
+    monkeypatch.setattr(relational, "EVENTS_A_TASK", 100)
+    df = registry.queries()["keyframe_tracks"](spark, sf)
+    dealt = 1 + spark.read.parquet(f"{sf}/events.parquet").count() // 100
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == plan.count(f", {dealt}), REPARTITION_BY_NUM") > 0 and "BroadcastExchange" not in plan
+
+
 def test_focus_blend_gives_every_pixel(spark, sf):
     labels = spark.read.parquet(f"{sf}/embeddings.parquet").select("label").distinct().count()
     assert registry.queries()["focus_blend"](spark, sf).select("label", "pos").distinct().count() == 64 * labels

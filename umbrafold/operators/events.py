@@ -8,20 +8,25 @@ from pyspark.sql import functions as F
 EASING = {"linear": lambda f: f, "ease_in": lambda f: f * f, "ease_out": lambda f: 1 - (1 - f) * (1 - f), "hold": lambda f: F.lit(0.0)}
 
 
-def interpolated(keys: DataFrame, asks: DataFrame, group: str, ease: str = "linear") -> DataFrame:
+def interpolated(keys: DataFrame, asks: DataFrame, group: str | list[str], ease: str = "linear") -> DataFrame:
     """asks(group, t) with the value of keys(group, t, value) at t, between the keys before and after it, held beyond the ends.
 
-    Keys and asks are sorted together once; each ask looks back and ahead in its group, so no pair of rows is joined.
+    Keys learn the key after them among themselves, and a row before all of a group holds the first one's value. Then keys and
+    asks are sorted together once and each ask looks back only, so no pair of rows is joined and a group takes one pass.
     """
-    both = keys.select(group, "t", "value", F.lit(False).alias("ask")).union(asks.select(group, "t", F.lit(None).cast("double"), F.lit(True)))
-    back = Window.partitionBy(group).orderBy("t", "ask").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(group).orderBy("t", F.desc("ask")).rowsBetween(0, Window.unboundedFollowing)
-    key = F.when(~F.col("ask"), F.struct("t", "value"))
-    near = both.withColumn("p", F.last(key, True).over(back)).withColumn("n", F.first(key, True).over(ahead)).where("ask")
-    span = F.col("n.t") - F.col("p.t")
-    part = F.when(span == 0, 0.0).otherwise((F.col("t") - F.col("p.t")) / F.when(span == 0, 1).otherwise(span))
-    value = F.when(F.col("p").isNull(), F.col("n.value")).when(F.col("n").isNull(), F.col("p.value")).otherwise(F.col("p.value") + (F.col("n.value") - F.col("p.value")) * EASING[ease](part))
-    return near.select(group, "t", value.alias("value"))
+    by = [group] if isinstance(group, str) else group
+    order = Window.partitionBy(*by).orderBy("t")
+    chained = keys.select(*by, "t", "value", F.lead("t").over(order).alias("nt"), F.lead("value").over(order).alias("nv"), F.row_number().over(order).alias("nr"))
+    none = lambda c: F.lit(None).cast(chained.schema[c].dataType).alias(c)
+    key = F.struct(F.lit(1).alias("kind"), "t", "value", "nt", "nv")
+    held = F.struct(F.lit(0).alias("kind"), none("t"), "value", none("nt"), none("nv"))  # nulls are sorted first
+    marks = chained.select(*by, F.explode(F.when(F.col("nr") == 1, F.array(held, key)).otherwise(F.array(key))).alias("p"))
+    both = marks.select(*by, "p.t", "p.kind", "p").union(asks.select(*by, "t", F.lit(2), F.lit(None).cast(marks.schema["p"].dataType)))
+    back = Window.partitionBy(*by).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    near = both.select(*by, "t", "kind", F.last("p", True).over(back).alias("p")).where("kind = 2")
+    part = (F.col("t") - F.col("p.t")) / (F.col("p.nt") - F.col("p.t"))
+    value = F.when(F.col("p.nt").isNull() | (F.col("t") == F.col("p.t")), F.col("p.value")).otherwise(F.col("p.value") + (F.col("p.nv") - F.col("p.value")) * EASING[ease](part))
+    return near.select(*by, "t", value.alias("value"))
 
 
 def frame_times(fps: Column, length_ms: Column) -> Column:

@@ -84,6 +84,7 @@ def keyframe_asof(spark, sf_dir: str) -> DataFrame:
     return ev.interpolated(keys, asks, "user_id").withColumn("value", F.round("value", 4))
 
 
+EVENTS_A_TASK = 100_000
 _TRACKS = "k AS (SELECT user_id, event_type, epoch_us(ts) AS t, avg(value) AS value FROM events GROUP BY ALL), a AS (SELECT DISTINCT e.user_id, d.event_type, epoch_us(e.ts) AS t FROM events e JOIN (SELECT DISTINCT user_id, event_type FROM events) d ON d.user_id = e.user_id)"
 
 
@@ -94,10 +95,10 @@ _TRACKS = "k AS (SELECT user_id, event_type, epoch_us(ts) AS t, avg(value) AS va
 def keyframe_tracks(spark, sf_dir: str) -> DataFrame:
     """Each user's event types as tracks, all read at the time of each of the user's events; every event is a key and asks all tracks."""
     e = _table(spark, sf_dir, "events").select("user_id", "event_type", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast(ts AS TIMESTAMP_NTZ))").alias("t"), "value")
-    track = F.struct("user_id", "event_type").alias("track")
-    keys = e.groupBy(track, "t").agg(F.avg("value").alias("value"))
-    asks = e.select("user_id", "t").distinct().join(e.select("user_id", "event_type").distinct(), "user_id").select(track, "t")
-    return ev.interpolated(keys, asks, "track").select("track.user_id", "track.event_type", "t", F.round("value", 4).alias("value"))
+    e = e.repartition(1 + e.count() // EVENTS_A_TASK, "user_id")  # dealt once; all steps below stay within a user
+    keys = e.groupBy("user_id", "event_type", "t").agg(F.avg("value").alias("value"))
+    asks = e.select("user_id", "t").distinct().join(e.select("user_id", "event_type").distinct().hint("shuffle_hash"), "user_id")
+    return ev.interpolated(keys, asks, ["user_id", "event_type"]).select("user_id", "event_type", "t", F.round("value", 4).alias("value"))
 
 
 @query("WITH f AS (SELECT o_orderkey AS id, 1000 + CAST(o_orderkey % 7 AS INT) * 500 AS len, 12 + CAST(o_orderkey % 3 AS INT) * 6 AS fps FROM orders), g AS (SELECT id, len, fps, i FROM f, range(0, 200) r(i) WHERE i < ceil(len * fps / 1000)) SELECT id, CAST(i AS INT) AS frame, CAST(floor(i * 1000 / fps + 0.5) AS INT) AS start_ms, CAST(least(floor((i + 1) * 1000 / fps + 0.5), len) - floor(i * 1000 / fps + 0.5) AS INT) AS dur_ms FROM g")
