@@ -63,3 +63,11 @@ def test_a_place_draws_from_its_own_stream(spark):
             z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & M
             if k != 3:
                 assert r[f"d{k}"] == ((z ^ (z >> 31)) >> 40) / 2**24 * 2 - 1
+
+
+def test_draws_take_few_steps_in_the_plan(spark):
+    """The hash as an expression had thousands of nodes, evaluated one by one for each pixel; null coordinates draw nothing."""
+    df = spark.createDataFrame([(1, 2), (None, 2), (1, None)], "x long, y long")
+    out = df.select(*(noise.signed_draw(3, F.col("x"), F.col("y"), k).alias(f"d{k}") for k in (1, 2, 3, 4)), noise.dissolve_noise(F.col("x"), F.col("y")).alias("e"), noise.hash_unit(3, F.col("x"), F.col("y")).alias("u"))
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [[v is None for v in r] for r in out.collect()] == [[False] * 6, [True] * 6, [True] * 6]

@@ -1,18 +1,19 @@
 """Seeded noise as a pure function of absolute coordinates: the same pixel draws the same number in every tile.
 
-The generator works on unsigned 64-bit numbers that wrap. As Column expressions these are pairs of 32-bit halves held in
-longs, and a product is made of 16-bit factors, so that no step overflows in any mode of Spark; in kernels on tiles they are
-numpy's unsigned numbers. Both give the same bits.
+The generator works on unsigned 64-bit numbers that wrap, which Spark's own arithmetic refuses in ANSI mode. So columns of
+coordinates go through Arrow functions, in kernels on tiles the coordinates are arrays; both are numpy's unsigned numbers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from umbrafold.functions.binding import stepwise
-
 MASK = (1 << 64) - 1
 # Factors and shifts of the mixers.
 GOLDEN = 0x9E3779B97F4A7C15
@@ -26,97 +27,68 @@ Halves = tuple[Column, Column]
 _LOW = (1 << 32) - 1
 
 
-def _long(v: int) -> Column:
-    return F.lit(v).cast("long")
-
-
-def _low(c: Column) -> Column:
-    return c.bitwiseAND(_long(_LOW))
-
-
-def _halves(c: Column) -> Halves:
-    """High and low half of a long, negative ones as their two's complement."""
-    c = c.cast("long")
-    return F.shiftrightunsigned(c, 32), _low(c)
-
-
-def _product32(v: Column, k: int) -> Column:
-    """The low 32 bits of a 32-bit number times a 32-bit constant."""
-    return _low(v * (k & 0xFFFF) + F.shiftleft((v * (k >> 16)).bitwiseAND(_long(0xFFFF)), 16))
+def _u64(v) -> np.ndarray:
+    return np.asarray(v, np.int64).astype(np.uint64)
 
 
-def _times(z: Halves, k: int) -> Halves:
-    hi, lo = z
-    k1, k0 = k >> 32, k & _LOW
-    a, b = lo * (k0 & 0xFFFF), lo * (k0 >> 16)  # under 2^48 each
-    low = a + F.shiftleft(b.bitwiseAND(_long(0xFFFF)), 16)
-    high = F.shiftright(low, 32) + F.shiftright(b, 16) + _product32(hi, k0) + _product32(lo, k1)
-    return _low(high), _low(low)
+def _mixed_grid(z: np.ndarray, shifts: tuple[int, int, int]) -> np.ndarray:
+    """The finaliser: fold, multiply, fold, multiply, fold."""
+    a, b, c = (np.uint64(s) for s in shifts)
+    z = (z ^ (z >> a)) * np.uint64(MIX_1)
+    z = (z ^ (z >> b)) * np.uint64(MIX_2)
+    return z ^ (z >> c)
 
 
-def _plus(*terms: Halves) -> Halves:
-    low = sum((t[1] for t in terms[1:]), terms[0][1])
-    high = sum((t[0] for t in terms[1:]), terms[0][0]) + F.shiftright(low, 32)
-    return _low(high), _low(low)
+def _start_grid(x, y, kx: int, ky: int, add: int) -> np.ndarray:
+    return np.uint64(add & MASK) + _u64(x) * np.uint64(kx) + _u64(y) * np.uint64(ky)
 
 
-def _folded(z: Halves, n: int) -> Halves:
-    """z ^ (z >> n) for n up to 32."""
-    hi, lo = z
-    if n == 32:
-        return hi, lo.bitwiseXOR(hi)
-    return hi.bitwiseXOR(F.shiftright(hi, n)), lo.bitwiseXOR(F.shiftright(lo, n).bitwiseOR(_low(F.shiftleft(hi, 32 - n))))
+def _hash_grid(seed: int, x, y) -> np.ndarray:
+    return _mixed_grid(_start_grid(x, y, HASH_X, HASH_Y, seed + GOLDEN), HASH_SHIFTS)
 
 
-def _constant(v: int) -> Halves:
-    return _long((v & MASK) >> 32), _long(v & _LOW)
+def _bits(of: Callable[[np.ndarray, np.ndarray], np.ndarray], x: Column, y: Column) -> Column:
+    """What `of` makes of two columns of coordinates, as a long with the same 64 bits; null where one of them is."""
 
+    @F.arrow_udf("long")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        with np.errstate(over="ignore"):
+            z = of(*(v.fill_null(0).to_numpy(zero_copy_only=False) for v in (x, y)))
+        known = pc.and_(x.is_valid(), y.is_valid())
+        return pc.if_else(known, pa.array(z.view(np.int64)), None)
 
-def _mixed(start: Halves, shifts: tuple[int, int, int]) -> Halves:
-    """The finaliser: fold, multiply, fold, multiply, fold."""
-    a, b, c = shifts
-    return stepwise(start, lambda z: _times(_folded(z, a), MIX_1), lambda z: _times(_folded(z, b), MIX_2), lambda z: _folded(z, c))
+    return run(x.cast("long"), y.cast("long"))
 
 
 def hash_halves(seed: int, x: Column, y: Column) -> Halves:
     """64 well-mixed bits of a seed and a coordinate."""
-    return _mixed(_plus(_times(_halves(x), HASH_X), _times(_halves(y), HASH_Y), _constant(seed + GOLDEN)), HASH_SHIFTS)
+    z = _bits(lambda x, y: _hash_grid(seed, x, y), x, y)
+    return F.shiftrightunsigned(z, 32), z.bitwiseAND(F.lit(_LOW).cast("long"))
 
 
-def unit(z: Halves) -> Column:
+def _unit(of: Callable[[np.ndarray, np.ndarray], np.ndarray], x: Column, y: Column) -> Column:
     """The upper 24 bits as a number in [0, 1), exact."""
-    return F.shiftright(z[0], 8) / F.lit(float(1 << 24))
+    return F.shiftrightunsigned(_bits(of, x, y), 40) / F.lit(float(1 << 24))
 
 
 def hash_unit(seed: int, x: Column, y: Column) -> Column:
-    return unit(hash_halves(seed, x, y))
+    return _unit(lambda x, y: _hash_grid(seed, x, y), x, y)
 
 
 def dissolve_noise(x: Column, y: Column, level: int = 0, seed: int = 0) -> Column:
     """What a pixel of a dissolving layer draws in [0, 1): it shows where this is less than its alpha."""
-    return unit(_mixed(_plus(_times(_halves(x), DISSOLVE_X), _times(_halves(y), DISSOLVE_Y), _constant(level * DISSOLVE_LEVEL + seed)), DISSOLVE_SHIFTS))
+    return _unit(lambda x, y: _mixed_grid(_start_grid(x, y, DISSOLVE_X, DISSOLVE_Y, level * DISSOLVE_LEVEL + seed), DISSOLVE_SHIFTS), x, y)
 
 
 def signed_draw(seed: int, x: Column, y: Column, nth: int) -> Column:
     """The nth number, from 1, of a place's own stream, in [-1, 1)."""
-    return unit(_mixed(_plus(hash_halves(seed, x, y), _constant(nth * GOLDEN)), DISSOLVE_SHIFTS)) * 2 - 1
-
-
-def _u64(v) -> np.ndarray:
-    return np.asarray(v, np.int64).astype(np.uint64)
-
-
-def _mixed_grid(z: np.ndarray, shifts: tuple[int, int, int]) -> np.ndarray:
-    a, b, c = (np.uint64(s) for s in shifts)
-    z = (z ^ (z >> a)) * np.uint64(MIX_1)
-    z = (z ^ (z >> b)) * np.uint64(MIX_2)
-    return z ^ (z >> c)
+    return _unit(lambda x, y: _mixed_grid(_hash_grid(seed, x, y) + np.uint64(nth * GOLDEN & MASK), DISSOLVE_SHIFTS), x, y) * 2 - 1
 
 
 def hash_unit_grid(seed: int, x, y) -> np.ndarray:
     """hash_unit over arrays of coordinates, as 32-bit floats."""
     with np.errstate(over="ignore"):
-        z = _mixed_grid(np.uint64(seed & MASK) + _u64(x) * np.uint64(HASH_X) + _u64(y) * np.uint64(HASH_Y) + np.uint64(GOLDEN), HASH_SHIFTS)
+        z = _hash_grid(seed, x, y)
     return (z >> np.uint64(40)).astype(np.float32) * np.float32(1 / (1 << 24))
 
 
