@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from fixtures import corpus, frame, shingles
 
-from umbrafold.llm import sketch_join
+from umbrafold.llm import common, sketch_join
 from umbrafold.llm.common import mixed
 from umbrafold.llm.components import connected_components
 from umbrafold.llm.sketch_join import jaccard_components, short_sketch, sketch_distance
@@ -75,6 +75,37 @@ def test_links_of_big_groups_are_all_counted(spark, monkeypatch, block):
     assert {(x["doc_id"], x["n_shingles"], x["component_id"]) for x in jaccard_components(table, count_links=False).collect()} == brute(rows)
 
 
+def test_links_of_a_family_are_counted_without_a_row_for_each(spark, monkeypatch):
+    monkeypatch.setattr(sketch_join, "SMALL_GROUP", 8)
+    monkeypatch.setattr(sketch_join, "REPEATED", 1)
+    monkeypatch.setattr(sketch_join, "BLOCK", 100)
+    made, staged = {}, sketch_join.staged
+
+    def counting(df, name):
+        out = staged(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(sketch_join, "staged", counting)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join([*base[: k % 59], f"x{k}", *base[k % 59 + 1 :]])) for k in range(240)]
+    sets = {i: shingles(t) for i, t in rows}
+    links = {i: sum(100 * len(s & o) >= 75 * len(s | o) for o in sets.values()) - 1 for i, s in sets.items()}
+    assert {x["doc_id"]: x["n_links"] for x in jaccard_components(frame(spark, rows).repartition(3)).collect()} == links
+    assert sum(links.values()) > 20_000 and max(made.get(k, 0) for k in ("pairs", "links", "sets", "components", "members")) < 10 * len(rows)
+
+
+def test_words_are_hashed_as_words(monkeypatch):
+    r, seen = random.Random(1), {}
+    for piece in (common.PIECE, 50, 7, 1):
+        monkeypatch.setattr(common, "PIECE", piece)
+        for _ in range(200):
+            text = "".join(r.choices("abAB \t\n\x0b\x1c\u00e9\u3000", k=r.randint(0, 60))).encode()
+            found = common.word_hashes(text).tolist()
+            assert len(found) == len(common.words_of(text)) and all(seen.setdefault(w, h) == h for w, h in zip(common.words_of(text), found, strict=True))
+    assert len(set(seen.values())) == len(seen) > 500
+
+
 def test_links_of_odd_rows(spark):
     rows = [(i, t) for i, t in corpus() if i is not None and i not in (5009, 5010)]
     sets = {i: shingles(t) for i, t in rows}

@@ -91,6 +91,53 @@ class WordHashes(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint64)
 
 
+#: Words are polynomials of their bytes modulo 2 ** 64 at BASE: a number for each byte, letters in lower case, times the power of its place.
+BASE = 0x9E3779B97F4A7C13
+LETTERS = np.random.default_rng(20240502).integers(0, 1 << 64, 256, np.uint64)
+LETTERS[65:91] = LETTERS[97:123]
+SPACES = np.isin(np.arange(256), [32, *range(9, 14)])
+PIECE = 1 << 20  # bytes of text that are hashed at once, unless a word is longer
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]  # of BASE and of its inverse, as many as were needed so far
+
+
+def _powers_upto(n: int) -> list[np.ndarray]:
+    for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+        while len(_powers[k]) < n:
+            size = len(_powers[k])
+            _powers[k] = np.concatenate((_powers[k], _powers[k] * np.uint64(pow(base, size, 1 << 64))))
+    return _powers
+
+
+def _pieces(text: bytes):
+    """The text in parts of about PIECE bytes, cut at white space."""
+    at = 0
+    while len(text) - at > PIECE:
+        spaces = np.flatnonzero(SPACES[np.frombuffer(text, np.uint8, PIECE, at)])
+        to = at + (int(spaces[-1]) + 1 if len(spaces) else PIECE)
+        while not len(spaces) and to < len(text):  # a word of more than PIECE bytes
+            spaces = np.flatnonzero(SPACES[np.frombuffer(text, np.uint8, min(PIECE, len(text) - to), to)])
+            to += int(spaces[0]) + 1 if len(spaces) else min(PIECE, len(text) - to)
+        yield text[at:to]
+        at = to
+    yield text[at:]
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each of words_of(text), in order, without an object for each word."""
+    return _hashes(text) if len(text) <= PIECE else np.concatenate([_hashes(p) for p in _pieces(text)])
+
+
+def _hashes(text: bytes) -> np.ndarray:
+    codes = np.frombuffer(text, np.uint8)
+    spaces = np.concatenate(([True], SPACES.take(codes), [True]))
+    edges = np.flatnonzero(spaces[1:] != spaces[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    powers, inverse = _powers_upto(len(codes))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(LETTERS.take(codes) * powers[: len(codes)])))
+    own = (sums[ends] - sums[starts]) * inverse[starts]
+    return mixed(own ^ ((ends - starts).astype(np.uint64) * _WEIGHTS[0]))
+
+
 def distinct(x: np.ndarray) -> np.ndarray:
     """Sorted distinct values."""
     x = np.sort(x)

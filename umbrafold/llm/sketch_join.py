@@ -16,9 +16,12 @@ Of a text that occurs several times the first document alone gives keys, as long
 of bounded size; copies beside it would only bring pairs of the same two texts again.
 
 A word held by very many sets gathers, within each batch of rows, at one of them, so no task
-receives a row per holder. These holders are compared with each other later, in blocks of bounded size: all of
-them where links are counted, else only where they are not yet in one component. Two holders that share one of the few frequent
-keys before this one in both their orders have met at that key and don't meet again.
+receives a row per holder. These holders are compared with each other later, in blocks of bounded size, where they are
+not yet in one component. Two holders that share one of the few frequent keys before this one in both their orders have met at
+that key and don't meet again.
+
+Links are counted once the components are known, as none leads out of one: a component's sets meet in pairs of blocks of
+bounded size, and a task gives each set's number of links, never the pairs.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from umbrafold.llm.common import WordHashes, column_bytes, mixed, shingle_set, signed, slices, staged
+from umbrafold.llm.common import column_bytes, distinct, mixed, shingle_hashes, signed, slices, staged, word_hashes
 from umbrafold.llm.components import connected_components
 
 LEAST_BITS, MOST_BITS = 19, 21  # of the table of counts
@@ -44,7 +47,13 @@ LARGE, SALTS = 256, 32  # groups of more rows than LARGE are joined in SALTS par
 MOST_LARGE = 1_000_000  # groups of that kind whose keys go to every task; beyond it they are joined unsalted and adaptive execution splits them
 COPIES = 1 << 18  # buckets of texts that occur several times, of each of which the most frequent one goes to every task
 EARLIER = 4  # frequent keys before one's own that tell whether a pair has met already
-BLOCK = 1000  # holders of a frequent key that meet as many others in one group of the join
+BLOCK = 1000  # holders of a frequent key, or sets of a component, that meet as many others in one group
+BLOCK_SHINGLES = 1 << 20  # of a block of a component's sets
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """Sorted distinct shingle hashes of a whole text."""
+    return distinct(shingle_hashes(word_hashes(text)))
 
 
 def band_words(size: int) -> list[tuple[int, int]]:
@@ -99,6 +108,22 @@ def _digest(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
+SIZES = 2 / np.log(4 / 3)  # sets that link are at most two size steps apart
+PLACES = (1 << 24) - 1
+_sizes_upto = np.exp((np.arange(256) + 1) / SIZES)  # of the sets of a step
+
+
+def _size_step(n: int) -> int:
+    return int(np.log(n) * SIZES)
+
+
+def _may_link(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sets of these infos may link and share no key before this one: at 0.75 they differ in a seventh of both sizes together at most, so in no more words, and a key of a set's own may stand before them."""
+    u, v = (x >> 24) & 255, (y >> 24) & 255
+    place = np.maximum(x & PLACES, y & PLACES)
+    return (np.abs(u - v) <= 3) & (7 * (place - 1) <= _sizes_upto[u] + _sizes_upto[v] + 1)
+
+
 def _bucket(keys: np.ndarray, size: int) -> np.ndarray:
     """Places of keys in a table of `size` counts, a power of two."""
     return (keys >> np.uint64(65 - size.bit_length())).astype(np.int64)
@@ -122,12 +147,12 @@ def _describe(size: int):
     """For each document its set's size, digest and short sketch; at the end of a partition, how often sketch words of each of `size` buckets occur."""
 
     def run(batches):
-        hashes, seen, counts = WordHashes(), set(), np.zeros(size, np.int64)
+        seen, counts = set(), np.zeros(size, np.int64)
         names = ["doc_id", "n_shingles", "hi", "lo", "sketch", "parity", "buckets", "counts"]
         for batch in batches:
             n, hi, lo, sketch, parity, held = [], [], [], [], [], []
             for text in column_bytes(batch, "text"):
-                s = shingle_set(text, hashes)
+                s = shingle_set(text)
                 d = _digest(s)
                 n.append(len(s))
                 hi.append(int.from_bytes(d[:8], "little", signed=True))
@@ -175,15 +200,15 @@ def _is_copy(doc_id: int, digest: bytes, copied: tuple[np.ndarray, np.ndarray, n
 
 def _emit(shared):
     """Sketch keys (key, doc_id, info, hub). info: the document's weight, that is how often its keys occur on average, and
-    the key's place in its order; hub: for a frequent key the document of the batch, that of most weight, at which its holders gather."""
+    the set's step of size and the key's place in its order; hub: for a frequent key the document of the batch, that of most weight, at which its holders gather."""
 
     def run(batches):
         df, common, copied = shared.value
-        hashes, seen = WordHashes(), set()
+        seen = set()
         for batch in slices(batches, 2000):
             rows, hubs = [], {}
             for i, text in zip(batch.column("doc_id").to_pylist(), column_bytes(batch, "text"), strict=True):
-                s = shingle_set(text, hashes)
+                s = shingle_set(text)
                 if i is None or not len(s) or (d := _digest(s)) in seen or _is_copy(i, d, copied):
                     continue
                 seen.add(d)
@@ -199,7 +224,7 @@ def _emit(shared):
                     often.append(c[order] > common)
                     places.append(np.arange(len(order)))
                 k, o = np.concatenate(chosen), np.concatenate(often)
-                info = (int(np.minimum(count, 4 * common).mean()) << 32) + np.concatenate(places)
+                info = (int(np.minimum(count, 4 * common).mean()) << 32) + (_size_step(len(s)) << 24) + np.minimum(np.concatenate(places), PLACES)
                 rows.append((i, signed(k[~o]), info[~o]))
                 for x, y in zip(signed(k[o]).tolist(), info[o].tolist(), strict=True):
                     hubs.setdefault(x, []).append((-(y >> 32), i, y))
@@ -230,7 +255,7 @@ def _meet(batches):
 
     def out(a, b, key=None, info=None):
         n = len(a)
-        columns = [a, b, key, None if info is None else info & 0xFFFFFFFF]
+        columns = [a, b, key, None if info is None else info & PLACES]
         return pa.record_batch([pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64()) for x in columns], ["a", "b", "key", "place"])
 
     last = [np.empty(0, np.int64)] * 3
@@ -258,25 +283,23 @@ def _meet(batches):
             else:
                 last = [x[:0] for x in last]
         goes_on = int(len(starts) > 0 and big is not None and key[starts[0]] == big[0])
-        twos = goes_on + np.flatnonzero(sizes[goes_on:] == 2)
-        if len(twos):
-            yield out(doc[starts[twos]], doc[starts[twos] + 1])
-        for g in [0] * goes_on + (goes_on + np.flatnonzero(sizes[goes_on:] > 2)).tolist():
+        small = goes_on + np.flatnonzero((sizes[goes_on:] > 1) & (sizes[goes_on:] <= SMALL_GROUP))
+        for size in np.unique(sizes[small]).tolist():
+            first = starts[small[sizes[small] == size]][:, None]
+            x, y = ((first + pair).ravel() for pair in np.triu_indices(size, 1))
+            keep = _may_link(info[x], info[y])
+            yield out(doc[x[keep]], doc[y[keep]])
+        for g in [0] * goes_on + (goes_on + np.flatnonzero(sizes[goes_on:] > SMALL_GROUP)).tolist():
             group = slice(starts[g], starts[g] + sizes[g])
             members = doc[group]
-            if g < goes_on or len(members) > SMALL_GROUP:
-                big = big if g < goes_on else (int(key[starts[g]]), members[np.argmax(info[group])])
-                yield out(members, np.full(len(members), big[1]))
-                yield out(members, None, key[group], info[group])
-            else:
-                x, y = np.triu_indices(len(members), 1)
-                yield out(members[x], members[y])
+            big = big if g < goes_on else (int(key[starts[g]]), members[np.argmax(info[group])])
+            yield out(members, np.full(len(members), big[1]))
+            yield out(members, None, key[group], info[group])
 
 
 def _sets(batches):
-    hashes = WordHashes()
     for batch in batches:
-        sets = [signed(shingle_set(t, hashes)) for t in column_bytes(batch, "text")]
+        sets = [signed(shingle_set(t)) for t in column_bytes(batch, "text")]
         yield pa.record_batch([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
 
@@ -288,6 +311,13 @@ def _near(batches):
         yield pa.record_batch([batch.column("ra"), batch.column("rb")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the rows whose doc_id is in ids(doc_id), which holds none twice."""
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    some = docs.withColumn("bucket", bucket).join(F.broadcast(ids.select(bucket.alias("bucket")).distinct()), "bucket", "left_semi")  # at most 2 ** 20 numbers
+    return some.join(ids, "doc_id", "left_semi").select("doc_id", "text")
+
+
 def _verified(docs: DataFrame, sizes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of pairs(a, b), those between different sets that link, written; a < b are the sets' first documents."""
     x = sizes.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
@@ -297,9 +327,7 @@ def _verified(docs: DataFrame, sizes: DataFrame, pairs: DataFrame) -> DataFrame:
     near = near.select("ra", "rb", "na", "nb", "sa", "sb").mapInArrow(_near, "a long, b long")
     near = staged(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    some = docs.withColumn("bucket", bucket).join(F.broadcast(ids.select(bucket.alias("bucket")).distinct()), "bucket", "left_semi")  # at most 2 ** 20 numbers
-    sets = staged(some.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "doc_id long, shingles array<long>"), "sets")
+    sets = staged(_texts_of(docs, ids).mapInArrow(_sets, "doc_id long, shingles array<long>"), "sets")
     sa = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     sb = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -307,6 +335,76 @@ def _verified(docs: DataFrame, sizes: DataFrame, pairs: DataFrame) -> DataFrame:
     return staged(linked.select("a", "b").distinct(), "links")
 
 
+def linked_in(sets: list[np.ndarray], upto: int, start: int):
+    """For each of the first `upto` sets, which of those from the position `start` on link with it, itself among them."""
+    sizes = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    owner = np.repeat(np.arange(len(sets)), sizes)[order]
+    value = flat[order]
+    first = np.concatenate(([True], value[1:] != value[:-1]))
+    begin = np.flatnonzero(first)  # of the holders of each shingle, which stand in their own order
+    holders = np.diff(np.append(begin, len(owner)))
+    number = np.empty(len(flat), np.int64)
+    number[order] = np.cumsum(first) - 1
+    ends = np.cumsum(sizes)
+    for i in range(upto):
+        held = number[ends[i] - sizes[i] : ends[i]]
+        held = held[holders[held] > 1]
+        n = holders[held]
+        at = np.arange(n.sum()) + np.repeat(begin[held] - (np.cumsum(n) - n), n)
+        both = np.bincount(owner[at], minlength=len(sets))
+        both[i] = sizes[i]
+        yield np.flatnonzero(100 * both[start:] >= 75 * (sizes[i] + sizes[start:] - both[start:])) + start
+
+
+def _count_links(batches):
+    """Texts in order of component, pair of blocks and block to how many of the other documents' sets link with each, by document."""
+
+    def counted(place: list | None, ids: list[int], blocks: list[int], texts: list[bytes]):
+        sets = [shingle_set(t) for t in texts]
+        have = [k for k, s in enumerate(sets) if len(s)]
+        if len(have) < 2:
+            return
+        own, block, sets = np.array([ids[k] for k in have]), [blocks[k] for k in have], [sets[k] for k in have]
+        in_lo = len(sets) if place[-2] == place[-1] else sum(b == place[-2] for b in block)
+        far: dict[int, set] = {}
+        for i, found in enumerate(linked_in(sets, in_lo, 0 if in_lo == len(sets) else in_lo)):
+            others = own[found]
+            far.setdefault(int(own[i]), set()).update(others[others != own[i]].tolist())
+        near: dict[int, int] = {}
+        for i, others in far.items():
+            near[i] = near.get(i, 0) + len(others)
+            if in_lo < len(sets):
+                for j in others:
+                    near[j] = near.get(j, 0) + 1
+        if near:
+            yield pa.record_batch([pa.array(list(near), pa.int64()), pa.array(list(near.values()), pa.int64())], ["id", "n_links"])
+
+    at, rows = None, ([], [], [])
+    for batch in batches:
+        for *place, i, block, text in zip(*(batch.column(c).to_pylist() for c in ("component", "lo", "hi", "doc_id", "own")), column_bytes(batch, "text"), strict=True):
+            if place != at:
+                yield from counted(at, *rows)
+                at, rows = place, ([], [], [])
+            for x, value in zip(rows, (i, block, text), strict=True):
+                x.append(value)
+    yield from counted(at, *rows)
+
+
+def _degrees(docs: DataFrame, sizes: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, n_links) of the documents in found(id, component) that link: with how many others, by their whole sets."""
+    members = found.join(sizes.groupBy(F.col("doc_id").alias("id")).agg(F.sum("n_shingles").alias("n")), "id")
+    members = staged(members.select("component", F.col("id").alias("doc_id"), "n"), "members")
+    parts = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    texts = _texts_of(docs, members.select("doc_id")).join(members, "doc_id")
+    dealt = _join_groups(texts, parts, ["component"], "parts", ["doc_id"]).withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "doc_id", "own", "text")
+    counts = dealt.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "own").mapInArrow(_count_links, "id long, n_links long")
+    return counts.groupBy("id").agg(F.sum("n_links").alias("n_links"))
+
+
 def _join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, spread: list[str], how: str = "inner") -> DataFrame:
     """rows joined with groups(on, size, ...), which holds a row for each group; the rows of a large one come in SALTS parts, by a hash of `spread`."""
     large = groups.where(F.col(size) > LARGE).select(*on, F.lit(True).alias("is_large"))
@@ -350,13 +448,13 @@ def jaccard_components(documents: DataFrame, count_links: bool = True) -> DataFr
     same = several.join(whole.select("doc_id", F.col("rep").alias("v")), "doc_id").where("u <> v").select("u", "v")  # rows that repeat a doc_id
     found = staged(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(same)), "components")
 
-    # holders of a frequent key, all or those still in different components; of a pair that links, the first key that both hold
-    # stands no later in either order than the words that may differ, and no key before it is in both
+    # holders of a frequent key that are still in different components; of a pair that links, the first key that both hold
+    # stands no later in either order than the words that may differ and one key, and no key before it is in both
     hot = met.where("key IS NOT NULL").select("key", F.col("a").alias("doc_id"), "place")
     hot = hot.join(sizes, "doc_id").groupBy("key", F.col("rep").alias("id")).agg(F.min("place").alias("place"))
     hot = staged(hot.join(found, "id", "left").select("key", "id", "place", F.coalesce("component", "id").alias("c")), "hot")
     apart = hot.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("holders"))
-    apart = apart.where("holders > 1" if count_links else "c0 <> c1").select("key", "holders", F.ceil(F.col("holders") / BLOCK).cast("int").alias("parts"))
+    apart = apart.where("c0 <> c1").select("key", "holders", F.ceil(F.col("holders") / BLOCK).cast("int").alias("parts"))
     apart = staged(apart, "frequent")
     reps = sizes.where("doc_id = rep").select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), *[F.get("parity", F.lit(k)).alias(f"p{k}") for k in range(PARITY_LONGS)]).dropDuplicates(["id"])
     # holders of block i meet those of block j in group (i, j), i <= j
@@ -370,15 +468,14 @@ def jaccard_components(documents: DataFrame, count_links: bool = True) -> DataFr
     both = F.col("l.n") + F.col("r.n")
     differ = sum((F.bit_count(F.col(f"l.p{k}").bitwiseXOR(F.col(f"r.p{k}"))) for k in range(PARITY_LONGS)), F.lit(0))
     met_before = [F.coalesce(F.col(f"l.e{i}") == F.col(f"r.e{j}"), F.lit(False)) for i in range(EARLIER) for j in range(EARLIER)]
-    near = (7 * F.greatest("l.place", "r.place") <= both) & (7 * differ <= both) & (4 * F.least("l.n", "r.n") >= 3 * F.greatest("l.n", "r.n")) & ~reduce(or_, met_before)
+    near = (7 * (F.greatest("l.place", "r.place") - 1) <= both) & (7 * differ <= both) & (4 * F.least("l.n", "r.n") >= 3 * F.greatest("l.n", "r.n")) & ~reduce(or_, met_before)
     met_once = (F.col("l.key") == F.col("r.key")) & (F.col("l.lo") == F.col("r.lo")) & (F.col("l.hi") == F.col("r.hi")) & ((F.col("l.own") != F.col("r.own")) | (F.col("l.lo") == F.col("l.hi")))
-    one_way = F.col("l.id") < F.col("r.id") if count_links else F.col("l.c") < F.col("r.c")
-    cross = x.join(y, met_once & one_way & near).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+    cross = x.join(y, met_once & (F.col("l.c") < F.col("r.c")) & near).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
     more = _verified(docs, sizes, cross)
     links = links.union(more).distinct()
     found = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(same))
     if not count_links:
         return whole.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
-    named = found.join(degree, "id", "left").withColumnRenamed("id", "rep")
+    found = staged(found, "components")
+    named = found.join(_degrees(docs, sizes, found), "id", "left").withColumnRenamed("id", "rep")
     return whole.join(named, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
