@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from fixtures import corpus, frame, shingles, words
 from pyspark.sql import functions as F
@@ -162,6 +163,23 @@ def test_classes_of_near_texts(spark, monkeypatch):
     assert edit_embedding.near_classes(edit_embedding.own_fingerprints(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("blocks", [(0, 0), (0, 1)])
+def test_a_group_gives_fewer_pairs_than_rows(blocks):
+    """A family whose members are all near each other and in classes of their own, in one block or two."""
+    base = list(" ".join(words(8, 400)))
+    prints = edit_embedding._prints_of(["".join([*base[: 9 * k], "#", *base[9 * k + 1 :]]) for k in range(60)] + [" ".join(words(9, 400))])
+    block = [blocks[k >= 30] for k in range(61)]
+    names = ["band", "lo", "hi", "doc_id", "class", "block", "fingerprint"]
+    batch = pa.record_batch([pa.array(x) for x in ([7] * 61, [blocks[0]] * 61, [blocks[1]] * 61, range(61), range(61), block, prints)], names)
+    pairs = [(i, j) for out in edit_embedding._across(0.75)([batch]) for i, j in zip(*(out.column(c).to_pylist() for c in ("doc_id", "near_id")), strict=True)]
+    near = {(j, i) for i in range(61) for j in range(i) if blocks[0] == blocks[1] or block[i] != block[j] if edit_embedding.likeness(prints[i], prints[j]) >= 0.75}
+    top = list(range(61))
+    for i, j in pairs:
+        top = [min(top[i], top[j]) if t in (top[i], top[j]) else t for t in top]
+    assert len(near) > 500 and len(pairs) < 61 and {(j, i) for i, j in pairs} <= near
+    assert all(top[i] == top[j] for i, j in near)
+
+
 def test_packing(spark):
     rows = corpus(30) + [(7000 + k, "same length here") for k in range(50)]
     got = packing.pack_documents(frame(spark, rows), TOKENIZER, size=64).collect()

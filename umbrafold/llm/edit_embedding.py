@@ -312,16 +312,28 @@ def _pairs(rows: list[tuple[int, int, float]]) -> pa.RecordBatch:
 
 
 def _across(least: float):
-    """Rows in order of band, pair of blocks and block to the near pairs of different classes, one of each block where the blocks are two."""
+    """Rows in order of band, pair of blocks and block to near pairs of different classes, one of each block where the blocks are two.
+
+    A pair is given only where those before it in its group don't connect its classes, so a group gives fewer pairs than it has rows.
+    """
 
     def near(place: list | None, rows: list[tuple]):
         if len({cls for _, cls, _, _ in rows}) < 2:
             return
+        top = {cls: cls for _, cls, _, _ in rows}
+
+        def class_of(c: int) -> int:
+            while top[c] != c:
+                top[c] = top[top[c]]
+                c = top[c]
+            return c
+
         in_lo = sum(block == place[1] for _, _, block, _ in rows)
         for i, start, near_by in likenesses([r[3] for r in rows], in_lo, 0 if place[1] == place[2] else in_lo):
             for j in (np.flatnonzero(near_by >= least) + start).tolist():
                 (x, a, *_), (y, b, *_) = rows[i], rows[j]
-                if a != b:
+                if (a := class_of(a)) != (b := class_of(b)):
+                    top[max(a, b)] = min(a, b)
                     yield max(x, y), min(x, y), float(near_by[j - start])
 
     def run(batches):
@@ -387,11 +399,13 @@ def near_pairs(prints: DataFrame, least: float = LEAST) -> DataFrame:
     member = star.select("band", "doc_id").join(classes, "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("class"))
     member = staged(member, "members")
     several = member.groupBy("band").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("band")
-    rest = member.join(several, "band").join(known, "doc_id")
-    # copies of one text in one class ask once
-    rest = staged(rest.groupBy("band", "class", "fingerprint").agg(F.min("doc_id").alias("doc_id")), "rest")
+    digests = known.select("doc_id", F.xxhash64("fingerprint").alias("d0"), F.xxhash64(F.lit(1), "fingerprint").alias("d1"))
+    # copies of one text in one class ask once; fingerprints join where rows meet, ids alone are moved before
+    rest = member.join(several, "band").join(digests, "doc_id").groupBy("band", "class", "d0", "d1").agg(F.min("doc_id").alias("doc_id"))
+    rest = staged(rest.select("band", "class", "doc_id"), "rest")
     sizes = rest.groupBy("band").agg(((F.count("*") + (BLOCK - 1)) / BLOCK).cast("int").alias("blocks"))
     split = rest.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("blocks")).cast("int"))
-    meeting = split.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "doc_id", "class", "block", "fingerprint")
+    meeting = split.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "doc_id", "class", "block")
+    meeting = meeting.join(known, "doc_id").select("band", "lo", "hi", "doc_id", "class", "block", "fingerprint")
     across = meeting.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "block").mapInArrow(_across(least), PAIRS)
     return pairs.union(staged(across.groupBy("doc_id", "near_id").agg(F.max("likeness").alias("likeness")), "across"))
