@@ -3,10 +3,11 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import corpus, frame, shingles
 
-from umbrafold.llm import common, sketch_join
+from umbrafold.llm import common, ordinal, sketch_join
 from umbrafold.llm.common import mixed
 from umbrafold.llm.components import connected_components
 from umbrafold.llm.sketch_join import jaccard_components, short_sketch, sketch_distance
@@ -146,3 +147,20 @@ def test_copies_are_told_by_whole_digest():
     assert not any(_is_copy(1, d, (hi, lo, rep)) for d in digests[3:])
     assert not _is_copy(200, digests[0], (hi, lo ^ 1, rep))  # the first half alone is no match
     assert not _is_copy(1, digests[0], (hi[:0], lo[:0], rep[:0]))
+
+
+def test_a_batch_of_texts_is_worked_on_in_parts(monkeypatch):
+    """Neither texts nor sets nor sketch words of a whole Arrow batch are in memory at once, and the parts give what the whole gives."""
+    batch = pa.record_batch([pa.array(range(5000), pa.int64()), pa.array([f"a b {k} d e f" for k in range(5000)])], ["doc_id", "text"])
+    sets = list(sketch_join._sets([batch]))
+    assert max(b.num_rows for b in sets) <= common.AT_ONCE and sum(b.num_rows for b in sets) == 5000
+    told = list(sketch_join._describe(1 << 19)([batch]))
+    assert max(b.num_rows for b in told) <= sketch_join.GATHERED and sum(b.num_rows - b.column("n_shingles").null_count for b in told) == 5000
+
+    seen, model = [], ordinal.OrdinalModel({"bad": 0}, np.array([9.0]), np.array([3.0]))
+    plain = model.at_most(["bad bad", "good", None] * 300)[:, 0]
+    at_most = ordinal.OrdinalModel.at_most
+    monkeypatch.setattr(ordinal.OrdinalModel, "at_most", lambda self, texts, known: (seen.append(len(texts)), at_most(self, texts, known))[1])
+    kept = ordinal.harmless(pa.array(["bad bad", "good", None] * 300), model, ordinal.Known(model.features))
+    assert kept.to_pylist() == (1 - plain < 0.5).tolist() == [False, True, True] * 300 and max(seen) <= common.AT_ONCE
+    assert len(ordinal.harmless(pa.array([], pa.string()), model, ordinal.Known(model.features))) == 0

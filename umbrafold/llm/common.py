@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 SHINGLE = 5
 #: A key is sent to every task if it has more than one in so many rows; no more keys than this can.
 HOT_KEYS = 2000
+#: Texts of an Arrow batch that are Python objects at once.
+AT_ONCE = 200
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _WEIGHTS = tuple(np.uint64(w) for w in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
@@ -71,6 +73,12 @@ def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def each_bytes(batch: pa.RecordBatch, name: str):
+    """As column_bytes(), AT_ONCE texts at a time."""
+    for part in slices([batch], AT_ONCE):
+        yield from column_bytes(part, name)
+
+
 def words_of(text: bytes) -> list[bytes]:
     """A-Z in lower case, cut at the ASCII white space \\x20 and \\x09-\\x0D."""
     return text.lower().split()

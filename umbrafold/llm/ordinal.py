@@ -14,12 +14,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbrafold.llm.common import slices, staged
+from umbrafold.llm.common import AT_ONCE, slices, staged
 
 SAMPLE_ROWS = 20_000
 FEATURES = 512
@@ -37,9 +36,9 @@ class OrdinalModel:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def at_most(self, texts) -> np.ndarray:
-        """P(grade <= k) for each text and each grade but the last; only the features that a text has enter."""
-        known = Known(self.features)
+    def at_most(self, texts, known: Known | None = None) -> np.ndarray:
+        """P(grade <= k) for each text and each grade but the last; only the features that a text has enter. known: the features of words seen before."""
+        known = Known(self.features) if known is None else known
         score = np.array([sum(self.weights[f] * np.log1p(n) for f, n in sorted(counted(t, known).items())) for t in texts], float)
         return 1 / (1 + np.exp(-np.clip(self.thresholds[None, :] - score[:, None], -500, 500)))
 
@@ -186,8 +185,15 @@ def score_severity(documents: DataFrame, model: OrdinalModel) -> DataFrame:
 def keep_harmless(documents: DataFrame, model: OrdinalModel) -> DataFrame:
     """The rows of documents, all columns, whose p_toxic is below one half."""
 
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in texts:
-            yield pd.Series(1 - model.at_most(series)[:, 0] < 0.5)
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = Known(model.features)
+        for array in texts:
+            yield harmless(array, model, known)
 
-    return documents.where(F.pandas_udf(run, "boolean")("text"))
+    return documents.where(F.arrow_udf(run, "boolean")("text"))
+
+
+def harmless(texts: pa.Array, model: OrdinalModel, known: Known) -> pa.Array:
+    """Whether each text's p_toxic is below one half; AT_ONCE texts are Python objects at a time."""
+    below = [model.at_most(texts.slice(at, AT_ONCE).to_pylist(), known)[:, 0] for at in range(0, len(texts), AT_ONCE)]
+    return pa.array(1 - np.concatenate(below or [np.zeros(0)]) < 0.5)

@@ -36,11 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from umbrafold.llm.common import column_bytes, distinct, mixed, shingle_hashes, signed, slices, staged, word_hashes
+from umbrafold.llm.common import AT_ONCE, column_bytes, distinct, each_bytes, mixed, shingle_hashes, signed, slices, staged, word_hashes
 from umbrafold.llm.components import connected_components
 
 LEAST_BITS, MOST_BITS = 19, 21  # of the table of counts
 REPEATED = 64  # what a sketch word counts more for each holder beside others of the same batch
+GATHERED = 2000  # texts whose sketch words a worker holds at once
 SMALL_GROUP = 64
 PARITY_LONGS = 16
 LARGE, SALTS = 256, 32  # groups of more rows than LARGE are joined in SALTS parts
@@ -149,9 +150,9 @@ def _describe(size: int):
     def run(batches):
         seen, counts = set(), np.zeros(size, np.int64)
         names = ["doc_id", "n_shingles", "hi", "lo", "sketch", "parity", "buckets", "counts"]
-        for batch in batches:
+        for batch in slices(batches, GATHERED):
             n, hi, lo, sketch, parity, held = [], [], [], [], [], []
-            for text in column_bytes(batch, "text"):
+            for text in each_bytes(batch, "text"):
                 s = shingle_set(text)
                 d = _digest(s)
                 n.append(len(s))
@@ -205,9 +206,9 @@ def _emit(shared):
     def run(batches):
         df, common, copied = shared.value
         seen = set()
-        for batch in slices(batches, 2000):
+        for batch in slices(batches, GATHERED):
             rows, hubs = [], {}
-            for i, text in zip(batch.column("doc_id").to_pylist(), column_bytes(batch, "text"), strict=True):
+            for i, text in zip(batch.column("doc_id").to_pylist(), each_bytes(batch, "text"), strict=True):
                 s = shingle_set(text)
                 if i is None or not len(s) or (d := _digest(s)) in seen or _is_copy(i, d, copied):
                     continue
@@ -298,7 +299,7 @@ def _meet(batches):
 
 
 def _sets(batches):
-    for batch in batches:
+    for batch in slices(batches, AT_ONCE):
         sets = [signed(shingle_set(t)) for t in column_bytes(batch, "text")]
         yield pa.record_batch([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
