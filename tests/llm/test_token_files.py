@@ -168,3 +168,22 @@ def test_links_and_groups_of_given_tokens(spark):
     got = {r["doc_id"]: r for r in alignment.aligned(spark.createDataFrame(rows, alignment.TOKENS)).collect()}
     assert list(zip(got[1]["link_a"], got[1]["link_b"], strict=True)) == [(5, 8), (6, 8), (6, 9), (7, 10)]
     assert (got[1]["groups"], got[1]["n_groups"], got[2]["groups"], got[2]["link_a"]) == ("5,6|8,9;7|10", 2, "", [])
+
+
+def test_new_words_of_a_batch_are_tokenized_together_and_its_texts_aligned_at_once(spark):
+    """As the whole texts' ids; one call of the piece model for all new words of a batch."""
+    both, plain, calls = alignment.BothIds(BYTE_LEVEL, PIECES), alignment.BothIds(BYTE_LEVEL, PIECES), []
+    texts = [t or "" for _, t in corpus(20)] + odd_texts(1500, 11)
+    want = []
+    for t in texts:
+        a, b = (np.frombuffer(x, "<u4") for x in plain.encode(t))
+        want.append([*a.tolist(), *(b | alignment.OF_B).tolist()])
+    got = [np.frombuffer(x, "<u4") for x in both.encode_all(texts)]
+    assert [[*x[x < alignment.OF_B].tolist(), *x[x >= alignment.OF_B].tolist()] for x in got] == want
+    docs = frame(spark, list(enumerate(texts)))
+    assert alignment.aligned_texts(docs, BYTE_LEVEL, PIECES).exceptAll(alignment.aligned(alignment.tokenized(docs, BYTE_LEVEL, PIECES))).isEmpty()
+
+    encode = both.pieces.encode
+    both.pieces = type("Counting", (), {"encode": staticmethod(lambda x, **how: (calls.append(len(x)), encode(x, **how))[1])})
+    both.encode_all([f"the newword{k} of" for k in range(50)])
+    assert len(calls) == 1 and calls[0] >= 50

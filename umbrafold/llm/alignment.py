@@ -1,8 +1,8 @@
 """Alignment of two tokenizers over the same texts, by the byte offsets at which tokens end.
 
-Python only tokenizes: it gives each document its ids and the bytes at which its tokens end, for both tokenizers. What
-follows are array functions of Spark. The ends of both sides part the text at every token's end; each part lies in one token of
-either side, so it is one link, and an end that both sides have (array_intersect) closes a group.
+Tokens of both sides are merged by the bytes at which they end: each end closes a link, and an end that both sides have closes a
+group. Texts are cut into words over which no token of either side reaches, so a text's ids are its words' in a
+row; a task keeps the ids of words used lately, tokenizes the new words of a batch together and merges the ends of its texts at once.
 
 How many links of the corpus hold a pair of ids comes from one count of exploded links. Pairs that make up a given share of
 all links, which bounds their number, are sent to every task; the others are joined by shuffle.
@@ -10,6 +10,7 @@ all links, which bounds their number, are sent to every task; the others are joi
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import re
 from array import array
@@ -19,15 +20,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbrafold.llm.common import slices, staged
-from umbrafold.llm.token_ids import ByteLevelIds, IrregularSpace, Kept, cut, lengths
+from umbrafold.llm.common import AT_ONCE, slices, staged
+from umbrafold.llm.token_ids import LONGEST, ByteLevelIds, IrregularSpace, Kept, cut, lengths
 
 #: A pair is sent to every task if it holds more than one link in so many; no more pairs than this can.
 FREQUENT = 1 << 18
 #: Words whose ids a worker keeps, for both sides.
-KEPT = 120_000
+KEPT = 200_000
+#: What tells an id of B from one of A.
+OF_B = 1 << 31
 #: What a piece must not hold for the cuts of token_ids to hold on its side too.
 CROSSING = re.compile("[^▁]▁|[A-Za-z][.,]|\n")
+ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, link_a array<int>, link_b array<int>, groups string"
 TOKENS = "doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
 
 
@@ -48,6 +52,9 @@ class BothIds:
         self.a_lengths, self.b_lengths = lengths(self.a_bytes), lengths(self.b_bytes)
         self.crossed = any(CROSSING.search(names[i]) for i in ids if not self.pieces.is_byte(i))
         self.words = Kept(self._word, KEPT)
+        self.both = Kept(lambda word: self._both_of(word, self._pieces_of([word])[0]), KEPT)
+        a, b = len(self.a_lengths), len(self.b_lengths)
+        self.a_size, self.written = a, [f"{i}{c}" for c, n in ((",", a), ("|", a), (",", b), (";", b)) for i in range(n)]
 
     def _b(self, text: str) -> list[int]:
         """Of a space and the text, or, after a line feed, of the text without the space."""
@@ -80,6 +87,39 @@ class BothIds:
             return b"", b""
 
 
+    def _pieces_of(self, words: list[str]) -> list[list[int]]:
+        """Of words as _aligned_word() takes them, encoded at once."""
+        return self.pieces.encode([f"\n{w[1]}" if w in self.a.marks else w for w in words], num_threads=1)
+
+    def _both_of(self, word: str, b: list[int]) -> bytes | None:
+        """Ids of a word, those of B with the bit OF_B; none where bytes differ. b: what the piece model gives for the word, or for a mark behind a line feed."""
+        a, mark = self.a.word(word), word in self.a.marks  # first, as it tells of irregular space
+        if b"".join(map(self.b_bytes.__getitem__, b)) != (f" \n{word[1]}" if mark else f" {word}").encode():
+            return None
+        b = b[2:] if mark else b[1:] if word[0] == "\n" else b  # the first piece is the added space
+        return a + array("I", [x | OF_B for x in b]).tobytes()
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """For each text the ids of both sides, those of B with the bit OF_B, each side in order; none where bytes differ or the text is empty."""
+        words = [cut(t) if t and "\0" not in t and not self.crossed else [] for t in texts]
+        kept = self.both
+        new = [w for w in set().union(*words) if w not in kept and w not in kept.old and len(w) <= LONGEST]
+        for word, b in zip(new, self._pieces_of(new), strict=True):
+            with contextlib.suppress(IrregularSpace):  # its text is told by it once more
+                kept.keep(word, self._both_of(word, b))
+        return [self._encoded(t, w) for t, w in zip(texts, words, strict=True)]
+
+    def _encoded(self, text: str, words: list[str]) -> bytes:
+        if words:
+            try:  # no piece of either side reaches over a cut
+                found = list(map(self.both.__getitem__, words))
+                return b"" if None in found else b"".join(found)
+            except IrregularSpace:
+                pass
+        a, b = self.encode(text)
+        return a + (np.frombuffer(b, "<u4") | OF_B).astype("<u4").tobytes()
+
+
 def _piece_bytes(piece: str, is_byte: bool) -> bytes:
     return bytes([int(piece[3:5], 16)]) if is_byte else piece.replace("▁", " ").encode()
 
@@ -114,76 +154,80 @@ def tokenized(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenizer(a_path, b_path), TOKENS)
 
 
-SIDE, PLACE, LOW = 1 << 31, (1 << 31) - 1, (1 << 32) - 1
+LOW = (1 << 32) - 1
 
 
 def _long(value: int) -> Column:
     return F.lit(value).cast("long")
 
 
-def _places(n: Column) -> Column:
-    """0 to n, as an array."""
-    return F.sequence(F.lit(0), n)
+def aligned_batch(doc_id: pa.Array, a_at: np.ndarray, a: np.ndarray, a_ends: np.ndarray, b_at: np.ndarray, b: np.ndarray, b_ends: np.ndarray, written: tuple) -> pa.RecordBatch:
+    """ALIGNED rows of texts in a row. a, a_ends: ids of all texts and the bytes, counted over all, at which they end; a_at: where each text's ids begin, and the end; likewise b.
+
+    written: names of A ids before a comma, of A ids before a stroke, of B ids before a comma and before a semicolon, and how many A ids there are.
+    """
+    names, size = written
+    upto = np.concatenate(([0], a_ends))[a_at]  # bytes before each text
+    ends_a, ends_b = np.zeros(upto[-1] + 1, bool), np.zeros(upto[-1] + 1, bool)
+    ends_a[a_ends] = ends_b[b_ends] = True
+    before_a, before_b = (np.cumsum(x, dtype=np.int32) - x for x in (ends_a, ends_b))
+    common = ends_a & ends_b
+    groups = np.cumsum(common, dtype=np.int32)
+    ends = np.flatnonzero(ends_a | ends_b)
+    at = pa.array(np.searchsorted(ends, upto, "right"), pa.int32())
+    link_a, link_b = (pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (a[before_a[ends]], b[before_b[ends]]))
+    # a group's A tokens stand before its B tokens
+    order = np.argsort(np.concatenate((2 * (groups[a_ends] - common[a_ends]), 2 * (groups[b_ends] - common[b_ends]) + 1)), kind="stable")
+    name = np.concatenate((a + size * common[a_ends], 2 * size + b + (len(names) // 2 - size) * common[b_ends]))[order]
+    tokens = (a_at + b_at).tolist()
+    texts = ["".join(map(names.__getitem__, name[x:y].tolist()))[:-1] for x, y in zip(tokens, tokens[1:], strict=False)]
+    return pa.record_batch([doc_id.cast(pa.int64()), pa.array(np.diff(a_at)), pa.array(np.diff(b_at)), pa.array(np.diff(groups[upto].astype(np.int64))), link_a, link_b, pa.array(texts, pa.string())], [c.split()[0] for c in ALIGNED.split(", ")])
+
 
+def aligned(tokens: DataFrame) -> DataFrame:
+    """tokens(doc_id, a_ids, a_ends, b_ids, b_ends) to (doc_id, n_a, n_b, n_groups, link_a, link_b, groups).
 
-def _repeated(ids: Column, at: Column, place: str) -> Column:
-    """ids with a token once more for each of `at`, whose `place` it is: slices that each begin with the token the last ended with."""
+    link_a and link_b are the ids of each pair of an A and a B token whose bytes overlap, in order. groups is the text of the
+    groups between common ends, empty without tokens. Both sides must end at the same byte, and no token may be empty.
+    """
 
-    def piece(k: Column) -> Column:
-        start = F.coalesce(F.get(at, k - 1)[place], F.lit(0))
-        end = F.coalesce(F.get(at, k)[place], F.size(ids) - 1)
-        return F.slice(ids, start + 1, end - start + 1)
+    def run(batches):
+        for batch in slices(batches, AT_ONCE):
+            (a_at, a), (_, a_ends), (b_at, b), (_, b_ends) = (_flat(batch.column(c)) for c in ("a_ids", "a_ends", "b_ids", "b_ends"))
+            last = np.concatenate((a_ends, [0]))[np.maximum(a_at[1:], 1) - 1] * (np.diff(a_at) > 0)  # bytes of each text
+            start = np.cumsum(last) - last
+            size = int(a.max(initial=0)) + 1
+            names = [f"{i}{c}" for c, n in ((",", size), ("|", size), (",", int(b.max(initial=0)) + 1), (";", int(b.max(initial=0)) + 1)) for i in range(n)]
+            yield aligned_batch(batch.column("doc_id"), a_at, a, a_ends + np.repeat(start, np.diff(a_at)), b_at, b, b_ends + np.repeat(start, np.diff(b_at)), (names, size))
 
-    return F.flatten(F.transform(_places(F.size(at)), piece))
+    return tokens.select(*[c.split()[0] for c in TOKENS.split(", ")]).mapInArrow(run, ALIGNED)
 
 
-def _groups() -> Column:
-    """Text of all groups. Pairs of single tokens between two groups of several are written at once, as Spark writes an array of pairs."""
-    first, last, a, b = (F.col(c) for c in ("first", "last", "a_ids", "b_ids"))
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each list's values begin, and the end, and all values."""
+    at = np.concatenate(([0], np.cumsum([len(x) for x in column]))).astype(np.int64)
+    return at, column.flatten().to_numpy().astype(np.int64)
 
-    def piece(k: Column) -> Column:
-        s, e, before = F.get(first, k), F.get(last, k), F.get(last, k - 1)
-        i, j = F.coalesce(before["i"] + 2 - before["of_b"], F.lit(0)), F.coalesce(before["j"] + 1 + before["of_b"], F.lit(0))
-        n = F.coalesce(s["i"], F.size(a)) - i
-        pairs = F.when(n > 0, F.arrays_zip(F.slice(a, i + 1, n).alias("a"), F.slice(b, j + 1, n).alias("b")).cast("string"))
-        side = lambda ids, at, more: F.array_join(F.slice(ids, s[at] + 1, e[at] + more - s[at] + 1).cast("array<string>"), ",")
-        group = F.concat(side(a, "i", 1 - e["of_b"]), F.lit("|"), side(b, "j", e["of_b"]))
-        return F.when((n > 0) | s.isNotNull(), F.concat_ws(";", pairs, group))
 
-    out = F.array_join(F.transform(_places(F.size(first)), piece), ";")
-    for written, meant in (("[{", ""), ("}]", ""), ("}, {", ";"), (", ", "|")):
-        out = F.replace(out, F.lit(written), F.lit(meant))
-    return out
+def aligned_texts(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """aligned() of tokenized(): documents(doc_id, text, ...) to (doc_id, n_a, n_b, n_groups, link_a, link_b, groups), of AT_ONCE texts at a time."""
 
+    def run(batches):
+        both = both_ids(a_path, b_path)
+        for batch in slices(batches, AT_ONCE):
+            yield aligned_of(batch.column("doc_id"), both.encode_all([t or "" for t in batch.column("text").to_pylist()]), both)
 
-def aligned(tokens: DataFrame) -> DataFrame:
-    """tokens(doc_id, a_ids, a_ends, b_ids, b_ends) to (doc_id, n_a, n_b, n_groups, link_a, link_b, groups).
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ALIGNED)
 
-    link_a and link_b are the ids of each pair of an A and a B token whose bytes overlap, in order. groups is the text of the
-    groups between common ends, empty without tokens. Both sides must end at the same byte.
 
-    Every end closes a link. Ends of one side alone are few where tokenizers agree: at such an end the other side's token
-    goes on, so it is repeated in the list of links, and runs of such ends are the groups of several tokens. A lone end's
-    place among all ends, less the lone ends of B before it, is the place of the A token there; likewise for B. Each step
-    is a projection of its own, so that what lambdas refer to is computed once and what has none is compiled.
-    """
-    ids = ["doc_id", "a_ids", "b_ids"]
-    ends = tokens.select(*ids, F.array_intersect("a_ends", "b_ends").alias("both"), F.array_except("a_ends", "b_ends").alias("alone_a"), F.array_except("b_ends", "a_ends").alias("alone_b"))
-    later = lambda c, k: F.transform(c, lambda e: e + F.lit(k))  # noqa: E731  lone ends are told by a fraction
-    tagged = lambda c, side: F.transform(c, lambda e, t: F.shiftleft(e.cast("long"), 32) + (t + _long(side)))
-    merged = ends.select(*ids, F.size("both").cast("long").alias("n_groups"), F.sort_array(F.concat(F.col("both").cast("array<double>"), later("alone_a", 0.25), later("alone_b", 0.5))).alias("all_ends"), F.sort_array(F.concat(tagged("alone_a", 0), tagged("alone_b", SIDE))).alias("alone"))
-    found = merged.select(*ids, "n_groups", "alone", F.filter(_places(F.greatest(F.size("all_ends") - 1, F.lit(0))), lambda p: F.get("all_ends", p) != F.floor(F.get("all_ends", p))).alias("at"))
-
-    def lone(x: Column, k: Column) -> Column:
-        own, of_b, p = x.bitwiseAND(_long(PLACE)).cast("int"), F.shiftright(x, 31).bitwiseAND(_long(1)).cast("int"), F.get("at", k)
-        b_before = F.when(of_b == 1, own).otherwise(k - own)
-        return F.struct(p.alias("p"), (p - b_before).alias("i"), (p - k + b_before).alias("j"), of_b.alias("of_b"))
-
-    placed = found.select(*ids, "n_groups", F.transform("alone", lone).alias("lone"))
-    next_to = lambda d: lambda x, k: F.coalesce(F.get("lone", k + d)["p"], F.lit(-9)) != x["p"] + d
-    kept = ["doc_id", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), "n_groups"]
-    split = placed.select(*ids, *kept[1:], F.filter("lone", lambda x: x["of_b"] == 1).alias("a_goes_on"), F.filter("lone", lambda x: x["of_b"] == 0).alias("b_goes_on"), F.filter("lone", next_to(-1)).alias("first"), F.filter("lone", next_to(1)).alias("last"))
-    return split.select("doc_id", "n_a", "n_b", "n_groups", _repeated(F.col("a_ids"), F.col("a_goes_on"), "i").alias("link_a"), _repeated(F.col("b_ids"), F.col("b_goes_on"), "j").alias("link_b"), _groups().alias("groups"))
+def aligned_of(doc_id: pa.Array, found: list[bytes], both: BothIds) -> pa.RecordBatch:
+    """ALIGNED rows of what encode_all() gives; as both sides of a text have its bytes, their ends are counted over all texts."""
+    flat = np.frombuffer(b"".join(found), "<u4").astype(np.int64)
+    of_b = flat >= OF_B
+    at = np.cumsum([0, *(len(x) // 4 for x in found)])
+    b_at = np.concatenate(([0], np.cumsum(of_b)))[at]
+    a, b = flat[~of_b], flat[of_b] - OF_B
+    return aligned_batch(doc_id, at - b_at, a, np.cumsum(both.a_lengths[a], dtype=np.int64), b_at, b, np.cumsum(both.b_lengths[b], dtype=np.int64), (both.written, both.a_size))
 
 
 def links_of(alignments: DataFrame, *keys: str) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from umbrafold.llm.alignment import aligned, link_report, tokenized
+from umbrafold.llm.alignment import aligned_texts, link_report
 from umbrafold.llm.chat import format_conversations, read_back
 from umbrafold.llm.common import staged, table
 from umbrafold.llm.decontaminate import contained_items
@@ -81,7 +81,7 @@ def op12_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_report(aligned(tokenized(table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES)))
+    return link_report(aligned_texts(table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

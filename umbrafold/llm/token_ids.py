@@ -47,12 +47,15 @@ class Kept(dict):
         value = self.old.get(word)
         if value is None:
             value = self.find(word)
+        self.keep(word, value)
+        return value
+
+    def keep(self, word: str, value) -> None:
         if len(word) <= LONGEST:
             if len(self) >= self.limit:
                 self.old = self.copy()
                 self.clear()
             self[word] = value
-        return value
 
 
 class ByteLevelIds:
