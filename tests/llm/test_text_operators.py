@@ -431,3 +431,36 @@ def test_the_tree_decides_on_the_table(spark, sf):
 @pytest.mark.parametrize("source", ["<p", "<a <b>", "&#xZZ; &amp", "<script>never closed", "<!-- open", "</div></p>x", "<table><tr><td>a<td>b<tr><td>c</table>d", "<![CDATA[x]]>"])
 def test_broken_pages_do_not_crash(source):
     site_style_tree.kept_text(source, 0, np.zeros(0, np.int64))
+
+
+def test_sketches_bound_likeness_and_only_rows_that_may_be_near_go_on():
+    """The bound holds for all pairs of lengths; few documents that share a band by chance go on, near ones all do, also over batches' ends."""
+    r, texts = random.Random(3), []
+    base = "".join(r.choices("etaoin shrdlu,.", k=5000))
+    for n in (1, 2, 44, 63, 64, 70, 100, 128, 200, 256, 500, 1000, 4000):
+        for edits in (0, 0, n // 100, n // 30, n // 10):
+            text = list(base[: max(1, n + r.randint(-n // 8, n // 8))])
+            for _ in range(edits):
+                text[r.randrange(len(text))] = r.choice("xyz")
+            texts.append("".join(text))
+        texts.append("".join(r.choices("etaoin shr", k=n)))
+    prints = edit_embedding._prints_of(texts)
+    marks = edit_embedding.marked(pa.array(range(len(prints)), pa.int64()), prints)
+    sketch = edit_embedding._sketch(marks)
+    i, j = (x.ravel() for x in np.meshgrid(range(len(prints)), range(len(prints))))
+    bound = edit_embedding.at_most(tuple(c[i] for c in sketch), tuple(c[j] for c in sketch))
+    true = np.array([edit_embedding.likeness(prints[a], prints[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)])
+    assert (np.maximum(bound, 0) >= true - 1e-9).all() and (true >= 0.75).sum() > 200
+    assert edit_embedding.marked(pa.array([5]), ["0"]).column("bands").to_pylist() == [[]]
+
+    n, texts = 90, ["".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=3900)) for _ in range(89)]
+    prints = edit_embedding._prints_of([*texts, texts[-1][:-1] + "#"])
+    sketch = edit_embedding._sketch(edit_embedding.marked(pa.array(range(n), pa.int64()), prints))
+    for lo, hi, block in ((0, 0, [0] * n), (0, 1, [k % 2 for k in range(n)])):
+        columns = [[7] * n, [lo] * n, [hi] * n, list(range(n)), list(range(n)), block]
+        names = [c.split()[0] for c in edit_embedding.MEETING.split(", ")]
+        batch = pa.record_batch([*map(pa.array, columns), *map(pa.array, sketch)], [*names, "reach", "last", "before"])
+        for at_once in (7, 1 << 19):
+            found = edit_embedding._hopeful(0.75, at_once)([batch.slice(0, 89), batch.slice(89)])
+            kept = [x for out in found for x in out.column("doc_id").to_pylist()]
+            assert kept[-2:] == [n - 2, n - 1] and len(kept) < 10

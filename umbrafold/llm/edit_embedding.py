@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbrafold.llm.common import column_bytes, staged
+from umbrafold.llm.common import column_bytes, joined_apart, mixed, slices, staged
 from umbrafold.llm.components import connected_components
 
 SAMPLES = 48
@@ -260,8 +260,8 @@ def _ranges(cuts: np.ndarray, keys: pd.Series) -> pd.Series:
 LEAST = 0.75
 BANDED_OCTAVES = 3
 ROWS = 8  # unrelated texts agree in that many digits with a chance of about CHANCE ** ROWS, 4 in a thousand million
-SALTS = 16
 PART = 1000
+MARKED = 2000  # fingerprints that are marked together
 BLOCK = 512
 
 
@@ -272,17 +272,80 @@ def _draws(octave: int) -> np.ndarray:
     return np.arange(n * ROWS).reshape(ROWS, n).T if octave == _FIRST else np.arange(n * ROWS).reshape(n, ROWS)
 
 
-def bands_of(value: str) -> list[int]:
-    """Keys of a fingerprint: itself, and the draws of its last BANDED_OCTAVES octaves. Empty texts have none.
+MARKS = "doc_id long, fingerprint string, reach int, last long, before long, bands array<long>"
+SEEN = 64  # samples of an octave that a sketch has a bit for, at most
 
+
+def marked(ids: pa.Array, prints: list[str]) -> pa.RecordBatch:
+    """MARKS of fingerprints: a sketch and keys (bands). All of the prints are worked on together, octave by octave.
+
+    Bands are the fingerprint itself and the draws of its last BANDED_OCTAVES octaves. Empty texts have none.
     Draws that reach past the text's end say little and are left out, where more than two of a draw's digits do in the first octave; so texts of fewer than about 90 steps only meet their copies.
+    The sketch: the last octave and how many of its samples the text reaches (256 * octave + number), and of this octave and the one before the last bit of each digit, up to SEEN samples.
+    """
+    n = len(prints)
+    parts: dict[int, tuple[list[int], list[str]]] = {}
+    top = np.zeros(n, np.int64)
+    for i, value in enumerate(prints):
+        for x in value.split("|")[1:]:
+            k, digits = x.split(":")
+            rows, found = parts.setdefault(int(k), ([], []))
+            rows.append(i)
+            found.append(digits)
+            top[i] = int(k)  # in ascending order
+    some = np.flatnonzero(top)
+    owner, bands = [some], [np.array([xxhash.xxh64_intdigest(prints[i]) for i in some.tolist()], np.uint64)]
+    reach, bits = np.zeros(n, np.int32), np.zeros((2, n), np.uint64)
+    for k, (rows, found) in parts.items():
+        rows, digits = np.array(rows), np.frombuffer("".join(found).encode(), np.uint8).reshape(len(found), -1)
+        for back in (0, 1):
+            of = top[rows] == k + back
+            seen = (digits[of, :SEEN] & 1).astype(np.uint64)
+            bits[back, rows[of]] = (seen << np.arange(seen.shape[1], dtype=np.uint64)).sum(1, dtype=np.uint64)
+        last = top[rows] == k
+        reach[rows[last]] = 256 * k + (digits[last] != 48).sum(1)
+        near = top[rows] < k + BANDED_OCTAVES
+        rows, drawn = rows[near], np.ascontiguousarray(digits[near][:, _draws(k)])
+        told = (drawn == 48).sum(2) <= (2 if k == _FIRST else 0)
+        salts = mixed(np.arange(1, drawn.shape[1] + 1, dtype=np.uint64) + np.uint64(k << 32))
+        owner.append(np.repeat(rows, told.sum(1)))
+        bands.append(mixed(drawn.view("<u8")[..., 0] ^ salts)[told])
+    owner, bands = np.concatenate(owner), np.concatenate(bands)
+    order = np.argsort(owner, kind="stable")
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n)))).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[order].view(np.int64)))
+    columns = [ids, pa.array(prints, pa.string()), pa.array(reach), *(pa.array(x.view(np.int64)) for x in bits), lists]
+    return pa.record_batch(columns, [c.split()[0] for c in MARKS.split(", ")])
+
+
+def at_most(x: tuple[np.ndarray, np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """What the likeness() of two texts that are not empty can't exceed, from their sketches (reach, last, before) alone.
+
+    The longer text's last two octaves have at least half of the steps that are compared. There, digits whose bits differ do, and so do those that only one of the texts reaches; all others are taken to agree.
     """
-    octaves = _parsed(value)[1]
-    out = [value.encode()] if octaves else []
-    for k in sorted(octaves)[-BANDED_OCTAVES:]:
-        drawn, spare = octaves[k][_draws(k)], 2 if k == _FIRST else 0
-        out += [b"%d:%d:" % (k, b) + row.tobytes() for b, row in enumerate(drawn) if (row == 48).sum() <= spare]
-    return [xxhash.xxh64_intdigest(x) - (1 << 63) for x in out]
+    longer = x[0] >= y[0]
+    (rx, x_last, x_before), (ry, y_last, y_before) = ([np.where(c, u, v) for u, v in zip(p, q, strict=True)] for c, p, q in ((longer, x, y), (~longer, x, y)))
+    kx, cx, ky, cy = rx >> 8, rx & 255, ry >> 8, ry & 255
+    size = np.where(kx == _FIRST, cx, 2.0**kx * (1 + cx / SAMPLES))
+    first = np.maximum(kx - OCTAVES + 1, _FIRST)
+    total = size - np.where(first > _FIRST, 2.0**first, 0)
+
+    def differ(p: np.ndarray, q: np.ndarray, n: np.ndarray) -> np.ndarray:
+        n = np.minimum(n, SEEN)
+        told = np.where(n > 0, np.uint64(0xFFFFFFFFFFFFFFFF) >> (SEEN - np.maximum(n, 1)).astype(np.uint64), np.uint64(0))
+        return np.bitwise_count((p.view(np.uint64) ^ q.view(np.uint64)) & told).astype(np.int64)
+
+    same, full = kx == ky, np.where(kx - 1 == _FIRST, 2 << _FIRST, SAMPLES)
+    at_last = np.where(same, differ(x_last, y_last, cy) + cx - cy, cx)
+    reached = np.where(same, full, np.where(ky == kx - 1, cy, 0))
+    at_before = np.where(kx == _FIRST, 0, differ(x_before, np.where(same, y_before, y_last), reached) + full - reached)
+    weight = [np.where(k == _FIRST, 1.0, 2.0**k / SAMPLES) for k in (kx, kx - 1)]
+    share = 1 - (weight[0] * at_last + weight[1] * at_before) / np.maximum(total, 1)
+    return (share - CHANCE) / (1 - CHANCE)
+
+
+def _sketch(batch: pa.RecordBatch, prefix: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(batch.column(prefix + c).to_numpy() for c in ("reach", "last", "before"))
 
 
 def likenesses(prints: list[str], upto: int, start: int):
@@ -349,6 +412,50 @@ def _across(least: float):
     return run
 
 
+MEETING = "band long, lo int, hi int, doc_id long, class long, block int"
+
+
+def _hopeful(least: float, at_once: int = 1 << 19):
+    """Rows in order of band, pair of blocks and block to those that by their sketches may be near one of another class, of the other block where the blocks are two."""
+    names = [c.split()[0] for c in MEETING.split(", ")]
+
+    def kept(table: pa.Table) -> pa.RecordBatch:
+        batch = table.combine_chunks().to_batches()[0]
+        sketch, (band, lo, hi, _, cls, block) = _sketch(batch), (batch.column(c).to_numpy() for c in names)
+        edges = np.flatnonzero((band[1:] != band[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+        sizes = np.diff(np.concatenate(([0], edges, [len(band)])))
+        others = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(band)) - 1  # rows after each in its group
+        upto, keep, at = np.cumsum(others), np.zeros(len(band), bool), 0
+        while at < len(band):  # about at_once pairs, each row's together
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + at_once, "right")))
+            n = others[at:to]
+            i = np.repeat(np.arange(at, to), n)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            met = np.flatnonzero((cls[i] != cls[j]) & ((lo[i] == hi[i]) | (block[i] != block[j])))
+            i, j = i[met], j[met]
+            near = at_most(tuple(c[i] for c in sketch), tuple(c[j] for c in sketch)) >= least - 1e-9
+            keep[i[near]] = keep[j[near]] = True
+            at = to
+        return batch.select(names).filter(pa.array(keep))
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            place = [table.column(c).to_numpy() for c in names[:3]]
+            own = np.flatnonzero(np.any([p != p[-1] for p in place], axis=0))  # the last group may go on in the next batch
+            whole = int(own[-1]) + 1 if len(own) else 0
+            rest = table.slice(whole)
+            if whole:
+                yield kept(table.slice(0, whole))
+        if rest is not None:
+            yield kept(rest)
+
+    return run
+
+
 def near_classes(prints: DataFrame, least: float = LEAST) -> DataFrame:
     """Classes (doc_id, class_id) of the documents that near_pairs() connects; class_id is the smallest doc_id of the class. Documents without a pair are not listed."""
     pairs = near_pairs(prints, least)
@@ -359,53 +466,68 @@ def near_pairs(prints: DataFrame, least: float = LEAST) -> DataFrame:
     """Pairs (doc_id, near_id, likeness), likeness at least `least`, from (doc_id, fingerprint): documents that share a band, verified by whole fingerprints.
 
     Each document meets the smallest doc_id of each of its bands first. Where a band's documents are not in one class then, those of different classes
-    meet as well, in pairs of blocks of about BLOCK. So every near pair that shares a band is given or connected by pairs that are; a family of copies needs a pair each.
+    meet as well, in pairs of blocks of about BLOCK. Sketches tell beforehand which of those that meet can't be near, as their bound at_most() is below `least`: most bands are shared by chance,
+    ever more of them as documents do, and only the ids and sketches of these are moved. So every near pair that shares a band is given or connected by pairs that are; a family of copies needs a pair each.
     Two texts whose likeness is s all over, a share a = s + 0.09 (1 - s) of equal digits, share one of the about 15 bands of a text with a chance of
     1 - (1 - a ** ROWS) ** 15: 0.86 at 0.75, 0.97 at 0.8, more above and where edits lie together; copies always do. Empty texts have no bands; rows with a null doc_id are left out; the rows of a repeated doc_id are one document.
     """
 
-    def banded(batches):
+    def marks_of(batches):
         for batch in batches:
-            found = [bands_of(v) for v in batch.column("fingerprint").to_pylist()]
-            ids = np.repeat(batch.column("doc_id").to_numpy(), [len(x) for x in found])
-            yield pa.record_batch([pa.array([b for x in found for b in x], pa.int64()), pa.array(ids, pa.int64())], ["band", "doc_id"])
-
-    known = prints.select("doc_id", "fingerprint").where("doc_id IS NOT NULL")
-    keys = known.mapInArrow(banded, "band long, doc_id long")
-    first = keys.groupBy("band").agg(F.min("doc_id").alias("near_id"), F.count("*").alias("n")).where("n > 1")
-    # frequent bands and their first documents are split by a hash of the other document
-    salted = first.select("band", "near_id", (1 + F.col("n") / PART).cast("int").alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    star = keys.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["band", "salt"])
-    star = staged(star.select("band", "doc_id", "near_id", "parts"), "bands")
-    # from here on only documents that share a band matter
-    known = staged(known.join(star.select("doc_id").distinct(), "doc_id", "left_semi"), "known")
+            for part in slices([batch], MARKED):
+                yield marked(part.column("doc_id"), part.column("fingerprint").to_pylist())
+
+    known = prints.select("doc_id", "fingerprint").where("doc_id IS NOT NULL").mapInArrow(marks_of, MARKS)
+    marks = staged(known.where("reach > 0"), "marks")
+    known, sketches = marks.select("doc_id", "fingerprint"), marks.select("doc_id", "reach", "last", "before")
+    keys = marks.select("doc_id", F.explode("bands").alias("band"))
+    first = staged(keys.groupBy("band").agg(F.min("doc_id").alias("near_id"), F.count("*").alias("n")).where("n > 1"), "first")
+    total = first.agg(F.sum("n")).first()[0] or 0
+    star = joined_apart(keys, "band", first, "n", total).where("near_id IS NOT NULL")
+    star = staged(star.select("band", "doc_id", "near_id", (1 + F.col("n") / PART).cast("int").alias("parts")), "bands")
 
     asked = star.where("doc_id <> near_id").groupBy("doc_id", "near_id").agg(F.max("parts").alias("parts"))
     asked = staged(asked.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts")).cast("int")), "asked")
-    ends = asked.groupBy("near_id").agg(F.max("parts").alias("parts"))
-    ends = ends.join(known.select(F.col("doc_id").alias("near_id"), F.col("fingerprint").alias("other")), "near_id").distinct()
-    ends = ends.select("near_id", "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+    def with_both(asked: DataFrame, values: DataFrame) -> DataFrame:
+        """values' columns for doc_id, and for near_id with other_ before their names; an end that many ask is split in parts."""
+        other = values.toDF(*("near_id" if c == "doc_id" else f"other_{c}" for c in values.columns))
+        ends = asked.groupBy("near_id").agg(F.max("parts").alias("parts")).join(other, "near_id").distinct()
+        ends = ends.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        return asked.join(values, "doc_id").join(ends, ["near_id", "part"])
+
+    def hopeful(batches):
+        for batch in batches:
+            near = at_most(_sketch(batch), _sketch(batch, "other_")) >= least - 1e-9
+            yield batch.select(["doc_id", "near_id", "parts", "part"]).filter(pa.array(near))
+
+    asked = staged(with_both(asked, sketches).mapInArrow(hopeful, "doc_id long, near_id long, parts int, part int"), "hopeful")
 
     def verified(batches):
         for batch in batches:
-            values = (batch.column(c).to_pylist() for c in ("doc_id", "near_id", "fingerprint", "other"))
+            values = (batch.column(c).to_pylist() for c in ("doc_id", "near_id", "fingerprint", "other_fingerprint"))
             scored = [(i, j, likeness(x, y)) for i, j, x, y in zip(*values, strict=True)]
             yield _pairs([r for r in scored if r[2] >= least])
 
-    pairs = asked.join(known, "doc_id").join(ends, ["near_id", "part"]).select("doc_id", "near_id", "fingerprint", "other").mapInArrow(verified, PAIRS)
+    wanted = known.join(asked.select("doc_id").union(asked.select("near_id")).distinct(), "doc_id", "left_semi")
+    pairs = with_both(asked, staged(wanted, "known")).mapInArrow(verified, PAIRS)
     pairs = staged(pairs.groupBy("doc_id", "near_id").agg(F.max("likeness").alias("likeness")), "pairs")
 
     classes = connected_components(pairs.select(F.col("doc_id").alias("u"), F.col("near_id").alias("v"))).select(F.col("id").alias("doc_id"), "component")
-    member = star.select("band", "doc_id").join(classes, "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("class"))
+    # copies of one text in one class ask once, by the smallest of them
+    digests = marks.select("doc_id", F.xxhash64("fingerprint").alias("d0"), F.xxhash64(F.lit(1), "fingerprint").alias("d1"))
+    asking = digests.join(classes, "doc_id").groupBy("component", "d0", "d1").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    classes = staged(classes.join(asking.withColumn("asks", F.lit(True)), "doc_id", "left"), "asking")
+    member = star.select("band", "doc_id").join(classes, "doc_id", "left").where("component IS NULL OR asks").select("band", "doc_id", F.coalesce("component", "doc_id").alias("class"))
     member = staged(member, "members")
-    several = member.groupBy("band").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("band")
-    digests = known.select("doc_id", F.xxhash64("fingerprint").alias("d0"), F.xxhash64(F.lit(1), "fingerprint").alias("d1"))
-    # copies of one text in one class ask once; fingerprints join where rows meet, ids alone are moved before
-    rest = member.join(several, "band").join(digests, "doc_id").groupBy("band", "class", "d0", "d1").agg(F.min("doc_id").alias("doc_id"))
-    rest = staged(rest.select("band", "class", "doc_id"), "rest")
-    sizes = rest.groupBy("band").agg(((F.count("*") + (BLOCK - 1)) / BLOCK).cast("int").alias("blocks"))
-    split = rest.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("blocks")).cast("int"))
-    meeting = split.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "doc_id", "class", "block")
-    meeting = meeting.join(known, "doc_id").select("band", "lo", "hi", "doc_id", "class", "block", "fingerprint")
-    across = meeting.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "block").mapInArrow(_across(least), PAIRS)
+    several = member.groupBy("band").agg(F.min("class").alias("a"), F.max("class").alias("b"), ((F.count("*") + (BLOCK - 1)) / BLOCK).cast("int").alias("blocks")).where("a < b").select("band", "blocks")
+    split = member.join(several, "band").join(sketches, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("blocks")).cast("int"))
+    meeting = split.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "doc_id", "class", "block", "reach", "last", "before")
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "block")
+
+    # sketches first; fingerprints are moved only for those that may be near
+    meeting = staged(grouped(meeting).mapInArrow(_hopeful(least), MEETING), "meeting").distinct()
+    across = grouped(meeting.join(known, "doc_id").select("band", "lo", "hi", "doc_id", "class", "block", "fingerprint")).mapInArrow(_across(least), PAIRS)
     return pairs.union(staged(across.groupBy("doc_id", "near_id").agg(F.max("likeness").alias("likeness")), "across"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from umbrafold.llm.alignment import aligned_texts, link_report
 from umbrafold.llm.chat import format_conversations, read_back
-from umbrafold.llm.common import staged, table
+from umbrafold.llm.common import table
 from umbrafold.llm.decontaminate import contained_items
 from umbrafold.llm.edit_embedding import fingerprints, near_classes, own_fingerprints
 from umbrafold.llm.hmm import language_model_scores
@@ -48,7 +48,7 @@ def op4_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return fingerprints(docs, classes=near_classes(staged(own_fingerprints(docs), "fingerprints")))
+    return fingerprints(docs, classes=near_classes(own_fingerprints(docs)))
 
 
 def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
