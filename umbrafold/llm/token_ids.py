@@ -17,9 +17,11 @@ import numpy as np
 #: A space that begins a piece of its own, whatever stands before it.
 SPACE = re.compile("(?<=.) (?=[^\\s\u180e])", re.DOTALL)
 #: A comma or full stop after a letter and before a space or the end is a piece of its own.
-STOP = re.compile("(?<=[A-Za-z])([.,])(?= |\\Z)")
+STOP = re.compile("[.,](?<=[A-Za-z].)(?= |\\Z)")  # the mark first: others are passed over quickly
 #: Letters that make one piece of the pattern together, with a space before them if there is one.
 LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: Such letters, and marks behind them that are a piece of their own: all ASCII ones but the apostrophe, which may begin a piece with letters.
+TAILED = re.compile(f"({LETTERS.pattern})([!-&(-/:-@\\[-`{{-~]+)")
 LONGEST = 64
 
 
@@ -34,7 +36,7 @@ def cut(text: str) -> list[str]:
     too: a line feed leads its word, a stop follows a zero character, which the text must not hold. A word that is empty or
     begins with white space, other than one line feed and a visible character, tells of a longer run: then no cut holds.
     """
-    return STOP.sub(" \0\\1", text.replace("\n", " \n")).split(" ")
+    return STOP.sub(" \0\\g<0>", text.replace("\n", " \n")).split(" ")
 
 
 class Kept(dict):
@@ -71,6 +73,7 @@ class ByteLevelIds:
         self.characters = {b: c for c, b in _byte_of_character().items()}
         self.marks = {f"\0{m}": self.ids(m) for m in ".,"}
         self.line_feed, self.words = self.ids("\n"), Kept(self.word)
+        self.tails = Kept(self.ids, 10_000)
 
     def ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, None, False, False).ids).tobytes()
@@ -89,6 +92,8 @@ class ByteLevelIds:
             return self.marks[word]
         if LETTERS.fullmatch(word, 1) and word[0] == "\n":
             return self.line_feed + self._letters(word[1:])
+        if tailed := TAILED.fullmatch(word):
+            return (self.words.get(tailed[1]) or self._letters(f" {tailed[1]}")) + self.tails[tailed[2]]
         rest = word[1:] if word[:1] == "\n" else word
         if not rest[:1].strip("\u180e").strip():  # none, or more white space
             raise IrregularSpace
